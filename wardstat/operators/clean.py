@@ -161,15 +161,22 @@ def null_shares(df: DataFrame) -> DataFrame:
                   *[F.sum(col_of(c).isNull().cast("int")).alias(c) for c in df.columns])
 
 
-def sparse_columns(df: DataFrame, threshold: float = 0.39) -> list[str]:
-    row = null_shares(df).first()  # one row: the per-column null counts
-    n = row["__n"] or 0
-    return [c for c in df.columns if n and (row[c] or 0) / n > threshold]
+def null_counts(df: DataFrame) -> dict:
+    """``{column: null count}`` plus ``__n`` (one row to the driver)."""
+    row = null_shares(df).first()
+    return {"__n": row["__n"] or 0, **{c: row[c] or 0 for c in df.columns}}
+
 
+def sparse_columns(df: DataFrame, threshold: float = 0.39, counts: dict | None = None) -> list[str]:
+    counts = counts or null_counts(df)
+    n = counts["__n"]
+    return [c for c in df.columns if n and counts.get(c, 0) / n > threshold]
 
-def drop_sparse_columns(df: DataFrame, threshold: float = 0.39) -> tuple[DataFrame, list[str]]:
+
+def drop_sparse_columns(df: DataFrame, threshold: float = 0.39,
+                        counts: dict | None = None) -> tuple[DataFrame, list[str]]:
     """Drop columns whose missing share is above ``threshold``."""
-    gone = sparse_columns(df, threshold)
+    gone = sparse_columns(df, threshold, counts)
     return df.drop(*gone), gone
 
 
@@ -191,11 +198,14 @@ def mode_values(df: DataFrame, cols) -> DataFrame:
 
 # #50
 def impute(df: DataFrame, diag_prefix: str = "diag_", diag_fill: str = "0",
-           unknown: str = "Unknown") -> DataFrame:
+           unknown: str = "Unknown", counts: dict | None = None) -> DataFrame:
     """Nulls: ``diag_*`` to '0'; numeric to the exact median; other columns to
-    the mode (smallest on ties) or 'Unknown' when the column has no value."""
-    row = null_shares(df).first()
-    todo = [c for c in df.columns if (row[c] or 0) > 0]
+    the mode (smallest on ties) or 'Unknown' when the column has no value.
+    ``counts`` (null counts known from an earlier pass) saves a pass; columns
+    absent from it are counted."""
+    if counts is None or any(c not in counts for c in df.columns):
+        counts = {**(counts or {}), **null_counts(df)}
+    todo = [c for c in df.columns if counts.get(c, 0) > 0]
     if not todo:
         return df
     nums = set(numeric_columns(df))

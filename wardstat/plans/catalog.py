@@ -28,3 +28,17 @@ SELECT diag_1_category, count(*) AS n, round(avg(readmitted_binary) * 100, 6) AS
 FROM cleaned GROUP BY diag_1_category""")
 def q_rate_by_diag(spark, sf):
     return stats.rate_by(cleaned(spark, sf), "diag_1_category")
+
+
+def _load_all():
+    from . import queries_base  # noqa: F401
+
+
+_load_all()
+
+
+def _load_more():
+    from . import queries_profile  # noqa: F401
+
+
+_load_more()

@@ -218,3 +218,22 @@ def with_(*parts: str) -> str:
 CLEANED = with_(cleaned_ctes())
 FEATURED = with_(cleaned_ctes(), featured_ctes())
 SCORED = with_(cleaned_ctes(), scored_ctes())
+
+
+def loaded_cte() -> str:
+    sel = []
+    for c in ENC_COLS:
+        if c in ENC_STRING_COLS:
+            sel.append(f"CASE WHEN {ident(c)} IN ('None', '') THEN NULL ELSE {ident(c)} END AS {ident(c)}")
+        else:
+            sel.append(ident(c))
+    return f",\nloaded AS (SELECT {', '.join(sel)} FROM encounters)"
+
+
+LOADED = with_(loaded_cte())
+NULLED = with_(",\n" + nulled_cte())
+
+
+def hex60(expr: str) -> str:
+    """First 60 bits of md5(expr) as BIGINT (same as the Spark side)."""
+    return f"('0x' || substr(md5(CAST({expr} AS VARCHAR)), 1, 15))::BIGINT"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..operators import clean, features as feat
-from ..session import materialize
+from ..session import cut_lineage, materialize
 from ..sources.encounters import encounters
 from ..sources.tables import apply_na_tokens
 
@@ -31,12 +31,17 @@ def clean_encounters(raw: DataFrame, threshold: float = SPARSE_THRESHOLD) -> Dat
     first encounter per patient."""
     df = clean.null_if_marker(raw)
     df = clean.fill_marker(df, "A1Cresult", "NoTest")
-    df, _ = clean.drop_sparse_columns(df, threshold)
+    # the statistics below read this table twice more: write it once
+    df = cut_lineage(df)
+    counts = clean.null_counts(df)
+    df, _ = clean.drop_sparse_columns(df, threshold, counts)
     df = feat.icd9_categories(df)
     df = feat.diabetes_fields(df)
     df = feat.per_day_rates(df)
     df = feat.binary_target(df)
-    df = clean.impute(df)
+    # derived columns are null-free by construction
+    derived = {c: 0 for c in df.columns if c not in counts}
+    df = clean.impute(df, counts={**counts, **derived})
     return clean.first_encounter_per_patient(df)
 
 
@@ -110,3 +115,27 @@ def run_automated(spark: SparkSession, sf_dir: str) -> dict:
     c = materialize(cleaned(spark, sf_dir), spark, "cleaned")
     f = materialize(engineer(c), spark, "featured")
     return {"cleaned": c, "featured": f}
+
+
+def cleaning_report(spark: SparkSession, sf_dir: str, threshold: float = SPARSE_THRESHOLD) -> DataFrame:
+    """``(ord, metric, value)``: initial / final rows and columns, rows
+    removed, columns dropped, '?' markers converted, missing cells left."""
+    raw = raw_encounters(spark, sf_dir)
+    c = cleaned(spark, sf_dir)
+    filled = clean.fill_marker(clean.null_if_marker(raw), "A1Cresult", "NoTest")
+    dropped = len(clean.sparse_columns(filled, threshold))
+    mk = clean.marker_count(raw)
+    a = raw.agg(F.count(F.lit(1)).alias("ir")).crossJoin(mk)
+    nulls = None
+    for col in c.columns:
+        e = F.sum(F.col(f"`{col}`").isNull().cast("bigint"))
+        nulls = e if nulls is None else nulls + e
+    b = c.agg(F.count(F.lit(1)).alias("fr"), nulls.alias("fm"))
+    ab = a.crossJoin(b)
+    items = [("initial_rows", F.col("ir")), ("final_rows", F.col("fr")),
+             ("rows_removed", F.col("ir") - F.col("fr")), ("initial_columns", F.lit(len(raw.columns))),
+             ("final_columns", F.lit(len(c.columns))), ("columns_dropped", F.lit(dropped)),
+             ("markers_converted", F.col("markers_converted")), ("final_missing_values", F.col("fm"))]
+    return ab.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(n).alias("metric"), e.cast("double").alias("value"))
+        for i, (n, e) in enumerate(items)])).alias("m")).select("m.*")

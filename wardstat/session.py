@@ -31,6 +31,7 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "16g"))
     for k, v in {**DEFAULTS, **(extra or {})}.items():
         b = b.config(k, v)
@@ -76,3 +77,10 @@ def materialize(df, spark: SparkSession, name: str):
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder (never a local
+    checkpoint): the data is written once, later passes read it back."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
