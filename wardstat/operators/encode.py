@@ -7,8 +7,6 @@ broadcast back after a size check.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,6 +180,3 @@ def feature_summary(original: int, interaction: int, polynomial: int, binary: in
                               ("after_encoding", F.lit(after_encoding)),
                               ("after_selection", n_sel), ("reduction_percentage", red)])
 
-
-def log(x):  # pragma: no cover - tiny helper kept for notebooks
-    return math.log(x)

@@ -180,9 +180,10 @@ def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score",
                       eps: float = 1e-9) -> DataFrame:
     """F1 = 2PR / (P + R + eps) at every observed score (``>=``); the lowest
     threshold wins ties."""
-    p = pr_curve(df, label, score)
-    f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + eps)
-    p = p.withColumn("f1", f1)
+    p = score_prefix(df, label, score).filter(F.col("cum_pos") - F.col("pos") < F.col("P"))
+    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    rec = F.col("cum_pos") / F.col("P")
+    p = p.select(F.col("score").alias("threshold"), (2 * prec * rec / (prec + rec + eps)).alias("f1"))
     return p.agg(F.min_by("threshold", F.struct((-F.col("f1")).alias("nf"), F.col("threshold")))
                  .alias("threshold"), r6(F.max("f1")).alias("f1"))
 

@@ -42,3 +42,10 @@ def _load_more():
 
 
 _load_more()
+
+
+def _load_eval():
+    from . import queries_eval  # noqa: F401
+
+
+_load_eval()
