@@ -49,3 +49,10 @@ def _load_eval():
 
 
 _load_eval()
+
+
+def _load_neighbours():
+    from . import queries_neighbours  # noqa: F401
+
+
+_load_neighbours()
