@@ -10,15 +10,13 @@ task ever holds a whole class.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.columns import col_of, r6
 
-ROWS_PER_BUCKET = 200_000
+BUCKETS_PER_PARTITION = 4
 MAX_BUCKETS = 1 << 20
 
 
@@ -34,8 +32,10 @@ def md5_number(key) -> Column:
 def hash_rank(df: DataFrame, group_cols, key: str, rank_col: str = "_rank") -> DataFrame:
     """Exact 1-based rank of each row within ``group_cols`` ordered by md5(key)."""
     group_cols = list(group_cols)
-    n = df.count()
-    nb = int(min(MAX_BUCKETS, max(1, math.ceil(n / ROWS_PER_BUCKET))))
+    # any bucket count gives the exact rank; size it from the configured
+    # shuffle parallelism (no job), which is tuned to the data volume
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    nb = int(min(MAX_BUCKETS, max(1, parts * BUCKETS_PER_PARTITION)))
     h = md5_text(key)
     b = (F.conv(F.substring(h, 1, 6), 16, 10).cast("bigint") * nb / (1 << 24)).cast("int")
     d = df.withColumn("_h", h).withColumn("_b", b)
@@ -47,6 +47,13 @@ def hash_rank(df: DataFrame, group_cols, key: str, rank_col: str = "_rank") -> D
     return j.withColumn(rank_col, F.col("_off") + F.row_number().over(wi)).drop("_h", "_b", "_off")
 
 
+def minority_majority(df: DataFrame, label: str, minority) -> tuple[int, int]:
+    """(minority rows, other rows) in one aggregate."""
+    is_min = F.coalesce(col_of(label) == minority, F.lit(False))
+    r = df.agg(F.sum(is_min.cast("bigint")).alias("a"), F.sum((~is_min).cast("bigint")).alias("b")).first()
+    return int(r["a"] or 0), int(r["b"] or 0)
+
+
 def class_counts(df: DataFrame, label: str = codes.TARGET) -> DataFrame:
     return df.groupBy(col_of(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -98,8 +105,7 @@ def oversample_random(df: DataFrame, label: str = codes.TARGET, key: str = "enco
     draws are generated distributed (``range``) and joined on rank, so the
     copies never pass through one task."""
     mino = df.filter(col_of(label) == minority)
-    n_min = mino.count()
-    n_maj = df.filter(col_of(label) != minority).count()
+    n_min, n_maj = minority_majority(df, label, minority)
     need = n_maj - n_min
     if need <= 0 or n_min == 0:
         return df.withColumn("draw", F.lit(None).cast("bigint"))

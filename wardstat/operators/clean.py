@@ -161,6 +161,12 @@ def null_shares(df: DataFrame) -> DataFrame:
                   *[F.sum(col_of(c).isNull().cast("int")).alias(c) for c in df.columns])
 
 
+def null_count_columns(df: DataFrame) -> dict:
+    """Aggregate expressions: row count and null count per column."""
+    return {"__n": F.count(F.lit(1)),
+            **{c: F.sum(col_of(c).isNull().cast("int")) for c in df.columns}}
+
+
 def null_counts(df: DataFrame) -> dict:
     """``{column: null count}`` plus ``__n`` (one row to the driver)."""
     row = null_shares(df).first()

@@ -17,13 +17,27 @@ from .features import broadcast_if_small
 MAX_LEVELS = 10_000
 
 
+def levels_of(df: DataFrame, cols, max_levels: int = MAX_LEVELS) -> dict:
+    """Sorted distinct non-null levels of several columns in one job
+    (distinct (column, value) pairs; at most ``max_levels`` per column reach
+    the driver, more raise)."""
+    cols = list(cols)
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), col_of(c).cast("string").alias("v")) for i, c in enumerate(cols)]))
+        .alias("p")).select("p.c", "p.v").filter(F.col("v").isNotNull()).distinct()
+    rows = pairs.limit(len(cols) * max_levels + 1).collect()
+    out = {c: [] for c in cols}
+    for r in rows:
+        out[cols[r["c"]]].append(r["v"])
+    for c, v in out.items():
+        if len(v) > max_levels or len(rows) > len(cols) * max_levels:
+            raise ValueError(f"{c}: more than {max_levels} levels; use label_index or frequency_encode")
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
     """Sorted distinct non-null levels (refuses unbounded columns)."""
-    lv = df.select(col_of(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
-    rows = lv.limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{col}: more than {max_levels} levels; use label_index or frequency_encode")
-    return sorted(r["v"] for r in rows)
+    return levels_of(df, [col], max_levels)[col]
 
 
 # #106
@@ -31,8 +45,11 @@ def one_hot(df: DataFrame, cols, drop_first: bool = True, keep_source: bool = Fa
     """0/1 integer dummies ``<col>_<level>`` (first sorted level dropped when
     ``drop_first``); a null gives all zeros."""
     out = df
+    all_levels = levels_of(df, cols)
     for c in cols:
-        lv = levels(df, c)
+        lv = all_levels[c]
+        typed = df.schema[c].dataType
+        lv = [v if typed.simpleString() == "string" else v for v in lv]
         use = lv[1:] if drop_first else lv
         out = out.withColumns({f"{c}_{v}": F.coalesce((col_of(c) == F.lit(v)), F.lit(False)).cast("int")
                                for v in use})

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col_of, r6
 from ..session import cut_lineage
-from .balance import hash_rank, md5_number, md5_text
+from .balance import hash_rank, md5_number, md5_text, minority_majority
 
 CELL_TARGET = 256
 MAX_PIVOTS = 4096
@@ -104,8 +104,7 @@ def smote(df: DataFrame, key: str, vec: str, label: str = "label", minority: int
     Returns the input rows (``synthetic = 0``) plus the new ones (``= 1``,
     key = -(i + 1))."""
     mino = df.filter(col_of(label) == minority)
-    n_min = mino.count()
-    n_maj = df.filter(col_of(label) != minority).count()
+    n_min, n_maj = minority_majority(df, label, minority)
     need = n_maj - n_min
     base = df.select(col_of(key).alias(key), F.transform(col_of(vec), lambda x: x.cast("double")).alias(vec),
                      col_of(label).alias(label), F.lit(0).alias("synthetic"), col_of(key).alias("x_key"),

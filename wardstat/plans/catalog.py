@@ -9,17 +9,7 @@ from ..operators import stats
 from . import oracle_sql as O
 from .pipeline import cleaned
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+from .registry import ORACLE, QUERIES, register  # noqa: F401
 
 
 # flagship: readmission rate by ICD group of the primary diagnosis
@@ -29,30 +19,8 @@ FROM cleaned GROUP BY diag_1_category""")
 def q_rate_by_diag(spark, sf):
     return stats.rate_by(cleaned(spark, sf), "diag_1_category")
 
-
-def _load_all():
-    from . import queries_base  # noqa: F401
-
-
-_load_all()
-
-
-def _load_more():
-    from . import queries_profile  # noqa: F401
-
-
-_load_more()
-
-
-def _load_eval():
-    from . import queries_eval  # noqa: F401
-
-
-_load_eval()
-
-
-def _load_neighbours():
-    from . import queries_neighbours  # noqa: F401
-
-
-_load_neighbours()
+from . import queries_base  # noqa: E402,F401
+from . import queries_profile  # noqa: E402,F401
+from . import queries_eval  # noqa: E402,F401
+from . import queries_neighbours  # noqa: E402,F401
+from . import queries_models  # noqa: E402,F401
\ No newline at end of file

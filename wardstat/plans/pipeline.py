@@ -20,9 +20,20 @@ from ..sources.tables import apply_na_tokens
 SPARSE_THRESHOLD = 0.39
 
 
+_RAW_PLANS: dict = {}
+
+
 def raw_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw table as a CSV reader of the study sees it: 'None' / '' null."""
-    return apply_na_tokens(encounters(spark, sf_dir))
+    """The raw table as a CSV reader of the study sees it: 'None' / '' null.
+
+    The lazy plan (no data) is built once per session and folder: building
+    its 50 expression trees through Py4J costs more than a second of driver
+    time that does not depend on the data."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _RAW_PLANS:
+        _RAW_PLANS.clear() if len(_RAW_PLANS) > 8 else None
+        _RAW_PLANS[key] = apply_na_tokens(encounters(spark, sf_dir))
+    return _RAW_PLANS[key]
 
 
 def clean_encounters(raw: DataFrame, threshold: float = SPARSE_THRESHOLD) -> DataFrame:
@@ -31,8 +42,11 @@ def clean_encounters(raw: DataFrame, threshold: float = SPARSE_THRESHOLD) -> Dat
     first encounter per patient."""
     df = clean.null_if_marker(raw)
     df = clean.fill_marker(df, "A1Cresult", "NoTest")
-    # the statistics below read this table twice more: write it once
-    df = cut_lineage(df)
+    # the statistics below read this table twice more: write it once.
+    # (Null counts are a separate aggregate over the written Parquet, not a
+    # Dataset.observe: an Observation makes the session unserialisable, and
+    # Spark ML models that capture it then fail to score.)
+    df = cut_lineage(df, "nulled")
     counts = clean.null_counts(df)
     df, _ = clean.drop_sparse_columns(df, threshold, counts)
     df = feat.icd9_categories(df)

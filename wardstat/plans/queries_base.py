@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..operators import clean, features as feat
 from . import oracle_sql as O
-from .catalog import register
+from .registry import register
 from .pipeline import cleaned, featured, raw_encounters
 
 IDS = ["encounter_id"]

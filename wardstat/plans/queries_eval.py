@@ -9,7 +9,7 @@ from ..functions import codes
 from ..functions.columns import r6
 from ..operators import balance as bal, encode as enc, evaluate as ev, stats as st
 from . import oracle_sql as O
-from .catalog import register
+from .registry import register
 from .pipeline import cleaned, raw_encounters, scored
 from .queries_profile import KEY_NUMERICAL, union
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import neighbours as nb
 from ..sources.tables import table
-from .catalog import register
+from .registry import register
 
 DIST = ("list_reduce(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])), "
         "lambda acc, x: acc + x)")

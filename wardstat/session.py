@@ -23,6 +23,11 @@ DEFAULTS = {
     # lookups we broadcast are literal tables of at most a few hundred rows;
     # everything data-sized goes through sort-merge / AQE re-planning.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; wide
+    # projections (50-column adapter, one-pass profiles) would otherwise run
+    # interpreted.  Above this size Spark splits the stage out of whole-stage
+    # codegen instead (recommended value for HotSpot in Spark's docs).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -79,8 +84,9 @@ def materialize(df, spark: SparkSession, name: str):
     return spark.read.parquet(path)
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never a local
-    checkpoint): the data is written once, later passes read it back."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a Parquet table under the shared
+    checkpoint folder and reading it back: one job (an eager RDD checkpoint
+    would compute the plan twice), survives executor loss, and the re-read
+    gets column pruning and filter pushdown."""
+    return materialize(df, df.sparkSession, name)
