@@ -203,8 +203,9 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
         rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("corr")))
         if a != b:
             rows.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), r.alias("corr")))
-    return m.select(F.explode(F.array(*rows)).alias("r")).select(
-        "r.a", "r.b", r6(F.least(F.greatest(F.col("r.corr"), F.lit(-1.0)), F.lit(1.0))).alias("corr"))
+    c = F.col("r.corr")
+    clamped = F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))  # greatest skips nulls
+    return m.select(F.explode(F.array(*rows)).alias("r")).select("r.a", "r.b", r6(clamped).alias("corr"))
 
 
 def target_correlation(df: DataFrame, cols, target: str = TARGET, k: int | None = None) -> DataFrame:

@@ -320,8 +320,8 @@ def _corr_sql(a, b):
     n, sx, sy = "count(*)", f"sum({x})", f"sum({y})"
     sxy, sxx, syy = f"sum({x} * {y})", f"sum({x} * {x})", f"sum({y} * {y})"
     vx, vy = f"({n} * {sxx} - {sx} * {sx})", f"({n} * {syy} - {sy} * {sy})"
-    return (f"round(greatest(least(CASE WHEN {vx} > 0 AND {vy} > 0 THEN ({n} * {sxy} - {sx} * {sy}) "
-            f"/ sqrt({vx} * {vy}) END, 1.0), -1.0), 6)")
+    r = f"CASE WHEN {vx} > 0 AND {vy} > 0 THEN ({n} * {sxy} - {sx} * {sy}) / sqrt({vx} * {vy}) END"
+    return f"round(CASE WHEN ({r}) IS NOT NULL THEN greatest(least({r}, 1.0), -1.0) END, 6)"
 
 
 @register("correlation_matrix", O.CLEANED + " " + union(

@@ -46,14 +46,13 @@ def read_csv_tolerant(spark: SparkSession, path: str, sep: str = ",",
                       schema: T.StructType | None = None) -> DataFrame:
     """Skip malformed lines; decode as UTF-8 and fall back to Latin-1 per line.
 
-    Each line is read as bytes-preserving text with ISO-8859-1 (a lossless
-    byte->char map), re-encoded to bytes and decoded as UTF-8; lines whose
-    UTF-8 decode shows replacement characters keep the Latin-1 reading.
+    The text reader keeps each line's bytes; lines that are not valid UTF-8
+    are decoded from those bytes as Latin-1.  Lines with a wrong field count
+    or that the CSV parser rejects are dropped.
     """
-    raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)
-    as_bytes = F.encode(F.col("value"), "ISO-8859-1")
-    utf8 = F.decode(as_bytes, "UTF-8")
-    fixed = F.when(F.instr(utf8, "\ufffd") > 0, F.col("value")).otherwise(utf8)
+    raw = spark.read.option("lineSep", "\n").text(path)  # bytes kept as read
+    fixed = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
     lines = raw.select(F.regexp_replace(fixed, "\r$", "").alias("value"))
     header = lines.first()["value"]          # one row to the driver
     if schema is None:
