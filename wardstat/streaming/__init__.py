@@ -1 +1,10 @@
+"""Streaming.
 
+The analyses this library rebuilds are batch only: there is no stream,
+watermark, window-in-time or stateful operator to reproduce, so no streaming
+operator is built.  The row-level operators (marker handling, ICD groups,
+code lookups, flags, per-day rates) are stateless column expressions and can
+be applied unchanged to a ``readStream`` DataFrame; everything that needs the
+whole table (imputation statistics, de-duplication, profiles, models) is
+batch by nature.
+"""
