@@ -1,6 +1,7 @@
 """Partition and bucket independence: the scale paths (bucketed prefix sums,
 hash-bucket ranks, multi-pivot kNN) give the same answers as brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -60,8 +61,9 @@ def test_split_keeps_class_shares(spark):
 def brute_knn(points, k):
     out = {}
     for i, (ki, vi) in enumerate(points):
-        d = sorted((sum((a - b) ** 2 for a, b in zip(vi, vj)), kj) for kj, vj in points if kj != ki)
-        out[ki] = [kj for _, kj in d[:k]]
+        d = sorted((sum((a - b) ** 2 for a, b in zip(vi, vj)), hashlib.md5(str(kj).encode()).hexdigest(), kj)
+                   for kj, vj in points if kj != ki)
+        out[ki] = [kj for _, _, kj in d[:k]]
     return out
 
 
@@ -110,3 +112,17 @@ def test_tomek_links_mutual_opposite(spark):
                                "id long, v array<double>, y int")
     assert [tuple(r) for r in nb.tomek_links(df, "id", "v", "y").collect()] == [(1, 2)]
     assert sorted(r["id"] for r in nb.remove_tomek_links(df, "id", "v", "y").collect()) == [3, 4]
+
+
+def test_knn_with_hot_copies(spark, monkeypatch):
+    """A third of the rows are one repeated vector: exact result, copies first."""
+    rnd = random.Random(11)
+    pts = [(i, [rnd.gauss(0, 1) for _ in range(3)]) for i in range(200)]
+    pts += [(1000 + i, [0.5, 0.5, 0.5]) for i in range(100)]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    monkeypatch.setattr(nb, "CELL_TARGET", 16)
+    got = {}
+    for r in nb.knn(df, "id", "v", 4).collect():
+        got.setdefault(r["id"], []).append((r["nb_rank"], r["nb_key"]))
+    got = {k: [b for _, b in sorted(v)] for k, v in got.items()}
+    assert got == brute_knn(pts, 4)

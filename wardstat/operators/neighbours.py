@@ -1,6 +1,7 @@
 """Exact k nearest neighbours, SMOTE and Tomek links (#27, #124-#126).
 
-Exact kNN join by pivot cells, with no all-pairs enumeration:
+Exact kNN join by pivot cells, with no all-pairs enumeration (over
+distinct vectors; copies are handled in ``knn``):
 
 1. ``m`` pivots = the points first in md5 order (``m`` from the row count,
    capped; the pivot table is size-checked before it is broadcast).
@@ -39,14 +40,9 @@ def sqdist(a: Column, b: Column) -> Column:
     return F.aggregate(sq, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def knn(df: DataFrame, key: str, vec: str, k: int = 5, block=()) -> DataFrame:
-    """``(key, nb_rank, nb_key, dist2)``: the ``k`` nearest other rows of the
-    same ``block`` for every row, exact."""
-    block = list(block)
-    pts = df.select(*[col_of(b).alias(b) for b in block], col_of(key).alias("_id"),
-                    F.transform(col_of(vec), lambda x: x.cast("double")).alias("_v"))
-    # several passes read the points: write them once (reliable checkpoint)
-    pts = cut_lineage(pts)
+def _knn_distinct(pts: DataFrame, k: int, block) -> DataFrame:
+    """Pivot-cell kNN over ``(block.., _id, _v)`` rows whose vectors are
+    distinct within a block; ``(_q, nb_key, dist2, nb_rank)``."""
     st = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     n, dim = st["n"], (st["d"] or 0)
     m = int(min(MAX_PIVOTS, max(1, math.ceil(n / CELL_TARGET))))
@@ -83,9 +79,43 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, block=()) -> DataFrame:
     queries = withp.select(*block, F.col("_id").alias("_q"), F.col("_v").alias("_qv"), "cell")
     pairs = queries.join(cand, block + ["cell"]).filter(F.col("_q") != F.col("_id"))
     pairs = pairs.select("_q", F.col("_id").alias("nb_key"), sqdist("_qv", "_v").alias("dist2"))
-    w = Window.partitionBy("_q").orderBy("dist2", "nb_key")
+    w = Window.partitionBy("_q").orderBy("dist2", md5_text("nb_key"), "nb_key")
+    return pairs.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
+
+
+def knn(df: DataFrame, key: str, vec: str, k: int = 5, block=()) -> DataFrame:
+    """``(key, nb_rank, nb_key, dist2)``: the ``k`` nearest other rows of the
+    same ``block`` for every row, exact; ties by (md5(key), key).
+
+    Copies are collapsed first: the search runs over distinct vectors, and
+    each row's candidates are its own copies (distance 0) plus the first
+    ``k + 1`` members (md5 order) of each neighbouring vector.  A vector
+    repeated in a third of all rows is therefore one search point, its
+    member ranks come from the bucketed ``hash_rank`` and its rows meet a
+    candidate list of at most ``(k + 1)(k + 1)`` entries."""
+    block = list(block)
+    pts = df.select(*[col_of(b).alias(b) for b in block], col_of(key).alias("_id"),
+                    F.transform(col_of(vec), lambda x: x.cast("double")).alias("_v"))
+    # several passes read the points: write them once (Parquet lineage cut)
+    pts = cut_lineage(pts, "knn_points")
+    # distinct vectors; representative = first member in md5 order
+    dv = pts.groupBy(*block, "_v").agg(
+        F.min_by("_id", F.struct(md5_text("_id"), F.col("_id"))).alias("_vid"),
+        F.count(F.lit(1)).alias("_m"))
+    dv = cut_lineage(dv, "knn_vectors")
+    withv = pts.join(dv.select(*block, "_v", "_vid"), block + ["_v"])
+    ranked = hash_rank(withv.select(*block, "_id", "_vid"), block + ["_vid"], "_id", "_mr")
+    heads = ranked.filter(F.col("_mr") <= k + 1).select("_vid", F.col("_id").alias("_cand"))
+    nn = _knn_distinct(dv.select(*block, F.col("_vid").alias("_id"), "_v"), k, block)
+    # candidate list per vector: own copies at 0, heads of neighbour vectors
+    own = heads.select("_vid", "_cand", F.lit(0.0).alias("dist2"))
+    other = nn.select(F.col("_q").alias("_vid"), F.col("nb_key").alias("_nv"), "dist2") \
+        .join(heads.withColumnRenamed("_vid", "_nv"), "_nv").select("_vid", "_cand", "dist2")
+    cands = own.unionByName(other)
+    pairs = withv.select("_id", "_vid").join(cands, "_vid").filter(F.col("_cand") != F.col("_id"))
+    w = Window.partitionBy("_id").orderBy("dist2", md5_text("_cand"), "_cand")
     out = pairs.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
-    return out.select(F.col("_q").alias(key), "nb_rank", "nb_key", "dist2")
+    return out.select(F.col("_id").alias(key), "nb_rank", F.col("_cand").alias("nb_key"), "dist2")
 
 
 def uniform01(seed_text: Column) -> Column:

@@ -27,7 +27,7 @@ def emb_binary(spark, sf):
 @register("knn_within_label", E + f"""
 , p AS (SELECT a.vec_id, b.vec_id AS nb_key, {DIST} AS dist2 FROM e a JOIN e b
         ON a.label = b.label AND a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist2, nb_key) AS nb_rank FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist2, md5(CAST(nb_key AS VARCHAR)), nb_key) AS nb_rank FROM p)
 SELECT vec_id, CAST(nb_rank AS INTEGER) AS nb_rank, nb_key, round(dist2, 6) AS dist2 FROM r WHERE nb_rank <= 5""")
 def q_knn(spark, sf):
     k = nb.knn(emb(spark, sf), "vec_id", "embedding", 5, block=["label"])
@@ -37,7 +37,7 @@ def q_knn(spark, sf):
 SMOTE_SQL = E + f"""
 , mino AS (SELECT * FROM e WHERE y = 1),
 nn AS (SELECT * FROM (SELECT a.vec_id, b.vec_id AS nb_key, row_number() OVER (PARTITION BY a.vec_id
-         ORDER BY {DIST}, b.vec_id) AS nb_rank FROM mino a JOIN mino b ON a.vec_id <> b.vec_id) WHERE nb_rank <= 5),
+         ORDER BY {DIST}, md5(CAST(b.vec_id AS VARCHAR)), b.vec_id) AS nb_rank FROM mino a JOIN mino b ON a.vec_id <> b.vec_id) WHERE nb_rank <= 5),
 rk AS (SELECT vec_id, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS row_ FROM mino),
 cnt AS (SELECT (SELECT count(*) FROM e WHERE y = 0) - (SELECT count(*) FROM mino) AS need,
                (SELECT count(*) FROM mino) AS n_min),
@@ -68,7 +68,7 @@ def q_smote(spark, sf):
 
 @register("tomek_links", E + f"""
 , nn AS (SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id
-         ORDER BY {DIST}, b.vec_id) AS rk FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE rk = 1),
+         ORDER BY {DIST}, md5(CAST(b.vec_id AS VARCHAR)), b.vec_id) AS rk FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE rk = 1),
 m AS (SELECT x.a, x.b FROM nn x JOIN nn y ON x.a = y.b AND x.b = y.a)
 SELECT m.a, m.b FROM m JOIN e ea ON ea.vec_id = m.a JOIN e eb ON eb.vec_id = m.b
 WHERE ea.y <> eb.y AND m.a < m.b""")
