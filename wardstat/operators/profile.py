@@ -298,9 +298,11 @@ def key_insights(df: DataFrame, numeric_cols, target: str = codes.TARGET) -> Dat
         .alias("insight")).select(F.lit(2).alias("n"), "insight")
     sk = skewed_columns(df, numeric_cols)
     sk = sk.withColumn("_r", F.row_number().over(Window.orderBy("ord"))).filter(F.col("_r") <= 3)
-    l3 = sk.agg(F.concat(F.lit("3. Skewed features requiring transformation: "), F.concat_ws(
-        ", ", F.transform(F.array_sort(F.collect_list(F.struct("ord", "column"))), lambda s: s["column"])))
-        .alias("insight")).select(F.lit(3).alias("n"), "insight")
+    l3 = sk.agg(F.array_sort(F.collect_list(F.struct("ord", "column"))).alias("_sk")) \
+        .filter(F.size("_sk") > 0).select(  # the line is left out when nothing is skewed
+            F.lit(3).alias("n"), F.concat(F.lit("3. Skewed features requiring transformation: "),
+                                          F.concat_ws(", ", F.transform("_sk", lambda s: s["column"])))
+            .alias("insight"))
     l4 = riskiest_level(df, "age", target).select(
         F.lit(4).alias("n"), F.concat(F.lit("4. Highest readmission risk age group: "), "level").alias("insight"))
     l5 = riskiest_level(df, "diag_1_category", target).select(

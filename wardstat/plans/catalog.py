@@ -23,4 +23,5 @@ from . import queries_base  # noqa: E402,F401
 from . import queries_profile  # noqa: E402,F401
 from . import queries_eval  # noqa: E402,F401
 from . import queries_neighbours  # noqa: E402,F401
-from . import queries_models  # noqa: E402,F401
\ No newline at end of file
+from . import queries_models  # noqa: E402,F401
+from . import queries_reports  # noqa: E402,F401
