@@ -10,8 +10,6 @@ runs the running sum inside each bucket.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,37 +26,40 @@ def _counts(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def score_prefix(df: DataFrame, label: str = "label", score: str = "score",
-                 descending: bool = True) -> DataFrame:
-    """Per distinct score: ``pos``, ``neg`` and inclusive running sums
-    ``cum_pos``, ``cum_neg`` in score order, plus totals ``P``, ``N``."""
-    g = _counts(df, label, score)
-    st = g.agg(F.min("score").alias("lo"), F.max("score").alias("hi"),
-               F.count(F.lit(1)).alias("k"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    if st["k"] == 0:
-        return g.select("score", "pos", "neg", F.lit(0).cast("bigint").alias("cum_pos"),
-                        F.lit(0).cast("bigint").alias("cum_neg"), F.lit(0).cast("bigint").alias("P"),
-                        F.lit(0).cast("bigint").alias("N"))
-    nb = int(min(MAX_BUCKETS, max(1, math.ceil(st["k"] / SCORES_PER_BUCKET))))
-    lo, hi = float(st["lo"]), float(st["hi"])
-    span = hi - lo
-    if nb == 1 or span == 0:
-        b = F.lit(0)
-    else:
-        b = F.least(F.floor((F.col("score") - F.lit(lo)) / F.lit(span) * nb), F.lit(nb - 1)).cast("int")
+                 descending: bool = True, groups=()) -> DataFrame:
+    """Per distinct score (within ``groups``): ``pos``, ``neg`` and inclusive
+    running sums ``cum_pos``, ``cum_neg`` in score order, plus the group
+    totals ``P``, ``N``.
+
+    Per-group statistics (range, distinct scores, totals) are a small table
+    joined back, not a driver round trip; the bucket count of each group
+    follows its number of distinct scores."""
+    groups = list(groups)
+    g = df.groupBy(*[F.col(c) for c in groups], F.col(score).alias("score")).agg(
+        F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
+        F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
+    st = g.groupBy(*groups).agg(
+        F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.count(F.lit(1)).alias("_k"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    nb = F.least(F.lit(MAX_BUCKETS), F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(SCORES_PER_BUCKET))))
+    st = st.withColumn("_nb", nb.cast("int"))
+    span = F.col("_hi") - F.col("_lo")
+    raw = F.least(F.floor((F.col("score") - F.col("_lo")) / span * F.col("_nb")), F.col("_nb") - 1)
+    b = F.when((F.col("_nb") <= 1) | (span == 0), F.lit(0)).otherwise(raw).cast("int")
     if descending:
-        b = F.lit(nb - 1) - b  # bucket 0 holds the highest scores
-    gb = g.withColumn("bucket", b)
-    tot = gb.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    wo = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= nb rows
-    off = tot.select("bucket", F.coalesce(F.sum("bp").over(wo), F.lit(0)).alias("op"),
+        b = F.col("_nb") - 1 - b  # bucket 0 holds the highest scores
+    gb = (g.join(F.broadcast(st), groups) if groups else g.crossJoin(F.broadcast(st))).withColumn("bucket", b)
+    tot = gb.groupBy(*groups, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    wo = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*groups, "bucket", F.coalesce(F.sum("bp").over(wo), F.lit(0)).alias("op"),
                      F.coalesce(F.sum("bn").over(wo), F.lit(0)).alias("on"))
     order = F.col("score").desc() if descending else F.col("score").asc()
-    wi = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    j = gb.join(off, "bucket")
-    return j.select("score", "pos", "neg",
-                    (F.col("op") + F.sum("pos").over(wi)).alias("cum_pos"),
-                    (F.col("on") + F.sum("neg").over(wi)).alias("cum_neg"),
-                    F.lit(st["P"]).cast("bigint").alias("P"), F.lit(st["N"]).cast("bigint").alias("N"))
+    wi = Window.partitionBy(*groups, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    j = gb.join(off, groups + ["bucket"])
+    return j.select(*groups, "score", "pos", "neg",
+                    (F.col("op") + F.sum("pos").over(wi)).cast("bigint").alias("cum_pos"),
+                    (F.col("on") + F.sum("neg").over(wi)).cast("bigint").alias("cum_neg"),
+                    F.col("P").cast("bigint").alias("P"), F.col("N").cast("bigint").alias("N"))
 
 
 # #92
@@ -217,14 +218,12 @@ def model_comparison(df: DataFrame, threshold: float = 0.5, model: str = "model"
         ("tn", ~y, ~pred), ("fp", ~y, pred), ("fn", y, ~pred), ("tp", y, pred)]])
     prec, rec, f1 = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
     acc = (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
-    # AUC per model: grouped by (model, score); per-model ranks from a window
-    # partitioned by model over its distinct scores
-    g = df.groupBy(model, score).agg(F.sum(y.cast("bigint")).alias("pos"),
-                                     F.sum((~y).cast("bigint")).alias("neg"))
-    w = Window.partitionBy(model).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    auc = g.groupBy(model).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)),
-                                            F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+    # AUC per model from grouped, bucketed prefix sums (no per-model task)
+    p = score_prefix(df, label, score, descending=False, groups=[model])
+    below = F.col("cum_neg") - F.col("neg")
+    auc = p.groupBy(model).agg(F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
+                                            F.first("P").cast("double") * F.first("N").cast("double"))
+                               .alias("roc_auc"))
     out = cm.select(model, r6(acc).alias("accuracy"), r6(prec).alias("precision"),
                     r6(rec).alias("recall"), r6(f1).alias("f1")).join(auc, model)
     rank = F.row_number().over(Window.orderBy(F.col("f1").desc(), F.col(model)))
