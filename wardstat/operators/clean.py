@@ -238,22 +238,24 @@ def impute(df: DataFrame, diag_prefix: str = "diag_", diag_fill: str = "0",
 def first_encounter_per_patient(df: DataFrame, key: str = "patient_nbr",
                                 order_col: str = "encounter_id",
                                 strict_first_non_null: bool = False) -> DataFrame:
-    """One row per ``key``: the values of the row with the smallest ``order_col``.
-
-    ``min_by`` is a declarative aggregate with a partial stage, so a patient
-    with a third of all rows is reduced map-side.  With
-    ``strict_first_non_null`` each column takes its first non-null value
-    (pandas ``groupby().first()``)."""
-    others = [c for c in df.columns if c != key]
+    """One row per ``key``: the row with the smallest ``order_col`` (a unique
+    business key such as the encounter id).
+
+    The first id per patient is a partial aggregate; a left-semi join on
+    (patient, id) keeps those rows.  Unlike a ``min_by`` over a struct of all
+    columns, this lets Catalyst prune columns down to the scan, so a query
+    that needs three columns reads and shuffles three columns, and the
+    composite join key spreads a patient with a third of all rows.
+    With ``strict_first_non_null`` each column takes its first non-null
+    value in ``order_col`` order (pandas ``groupby().first()``)."""
     if strict_first_non_null:
+        others = [c for c in df.columns if c != key]
         aggs = [F.min(col_of(order_col)).alias(order_col) if c == order_col else
                 F.expr(f"min_by(`{c}`, `{order_col}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(c)
                 for c in others]
         return df.groupBy(key).agg(*aggs).select(*df.columns)
-    s = F.struct(*[col_of(c) for c in others])
-    return (df.groupBy(key).agg(F.min_by(s, col_of(order_col)).alias("_r"))
-            .select(col_of(key), *[F.col(f"_r.`{c}`").alias(c) for c in others])
-            .select(*df.columns))
+    firsts = df.groupBy(col_of(key).alias(key)).agg(F.min(col_of(order_col)).alias(order_col))
+    return df.join(firsts, [key, order_col], "left_semi")
 
 
 # #53
