@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col_of, r6
+from ..functions.columns import col_of
 from ..session import cut_lineage
 from .balance import hash_rank, md5_number, md5_text, minority_majority
 
@@ -197,4 +197,4 @@ def rounded_vector(c: str) -> Column:
     return F.transform(F.col(c), lambda x: F.round(x, 6))
 
 
-__all__ = ["knn", "smote", "tomek_links", "remove_tomek_links", "smote_tomek", "rounded_vector", "r6"]
+__all__ = ["knn", "smote", "tomek_links", "remove_tomek_links", "smote_tomek", "rounded_vector"]

@@ -242,19 +242,6 @@ def status_distribution(df: DataFrame, slice_cols, target: str = TARGET) -> Data
                       r6(F.coalesce("n", F.lit(0)) * 100.0 / F.col("total")).alias("pct"))
 
 
-def status_distribution_sets(df: DataFrame, grouping_sets, target: str = TARGET) -> DataFrame:
-    """Several slicings in one pass with GROUPING SETS; ``slice`` names the set."""
-    cols = sorted({c for gs in grouping_sets for c in gs})
-    view = df.select(*[col_of(c).cast("string").alias(c) for c in cols], col_of(target).alias("status"))
-    sets = ", ".join("(" + ", ".join([f"`{c}`" for c in gs] + ["status"]) + ")" for gs in grouping_sets)
-    gid = "grouping_id(" + ", ".join([f"`{c}`" for c in cols] + ["status"]) + ")"
-    view.createOrReplaceTempView("_sd_view")
-    counts = df.sparkSession.sql(
-        f"SELECT {', '.join('`'+c+'`' for c in cols)}, status, {gid} AS gid, count(*) AS n "
-        f"FROM _sd_view GROUP BY GROUPING SETS ({sets})")
-    return counts
-
-
 def slice_by_type_control(df: DataFrame) -> DataFrame:
     return status_distribution(df, ["diab_type", "diab_control"])
 

@@ -3,8 +3,6 @@ oracle SQL for each name that has an exact SQL form."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import stats
 from . import oracle_sql as O
 from .pipeline import cleaned

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import codes
 from ..operators import clean, profile as pf, stats as st
 from . import oracle_sql as O
