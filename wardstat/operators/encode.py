@@ -76,6 +76,8 @@ def label_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Sorted code 0..n-1 per distinct value (null stays null)."""
     out = out or f"{col}_idx"
     lv = df.select(col_of(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+    if lv.limit(MAX_LEVELS + 1).count() > MAX_LEVELS:  # the ranking window runs on the levels
+        raise ValueError(f"{col}: more than {MAX_LEVELS} levels; use frequency_encode")
     lv = lv.select("_v", (F.dense_rank().over(Window.orderBy("_v")) - 1).alias(out))  # distinct levels only
     return df.join(broadcast_if_small(lv), col_of(col).eqNullSafe(F.col("_v")), "left").drop("_v")
 

@@ -89,16 +89,28 @@ def next_order_gap(orders: DataFrame) -> DataFrame:
     return j.select("o_orderkey", gap.alias("gap_days"))
 
 
-def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encounter_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined, narrow per-order table every encounter column derives
+    from: keys, market segment, line aggregates and the next-order gap."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lineitem = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-
     base = (orders.join(next_order_gap(orders), "o_orderkey")
             .join(per_order_lines(lineitem), F.col("o_orderkey") == F.col("l_orderkey"), "left")
             .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left"))
+    return base.select("o_orderkey", "o_custkey", "c_mktsegment", "n_lines", "qty", "n_a", "n_n", "n_r",
+                       "p_min", "p_max", "gap_days")
+
+
+_COLUMNS: list = []
+
 
+def encounter_columns() -> list:
+    """The 50 encounter columns as expressions over ``encounter_base`` (built
+    once: they refer to columns by name and apply to any base table)."""
+    if _COLUMNS:
+        return _COLUMNS
     k = F.col("o_orderkey")
     c = F.col("o_custkey")
     z = lambda name: F.coalesce(F.col(name), F.lit(0))
@@ -153,4 +165,13 @@ def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(gap.isNull(), F.lit("NO")).when(gap < 30, F.lit("<30"))
         .otherwise(F.lit(">30")).alias("readmitted"),
     ]
-    return base.select(*cols)
+    _COLUMNS.extend(cols)
+    return _COLUMNS
+
+
+def encounters_from_base(base: DataFrame) -> DataFrame:
+    return base.select(*encounter_columns())
+
+
+def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encounters_from_base(encounter_base(spark, sf_dir))
