@@ -39,11 +39,27 @@ def assemble(df: DataFrame, features, label: str = codes.TARGET, keep=("encounte
 
 
 # #130 - #134 ------------------------------------------------------------------
-def logistic(max_iter: int = 1000, reg: float = 0.0, weight_col: str | None = None) -> LogisticRegression:
-    lr = LogisticRegression(maxIter=max_iter, regParam=reg, elasticNetParam=0.0)
+def logistic(max_iter: int = 1000, reg: float = 0.0, weight_col: str | None = None,
+             standardization: bool = False) -> LogisticRegression:
+    """L2 logistic regression; ``reg`` is Spark's ``regParam`` (see
+    ``l2_reg_param`` for the C-style strength).  Inputs are scaled upstream,
+    so Spark's internal standardisation is off by default."""
+    lr = LogisticRegression(maxIter=max_iter, regParam=reg, elasticNetParam=0.0,
+                            standardization=standardization)
     return lr.setWeightCol(weight_col) if weight_col else lr
 
 
+def l2_reg_param(n_rows: int, C: float = 1.0) -> float:
+    """``C * sum(loss) + ||w||^2 / 2`` divided by ``C n`` is Spark's objective
+    ``mean(loss) + regParam ||w||^2 / 2`` with ``regParam = 1 / (C n)``."""
+    return 1.0 / (C * max(n_rows, 1))
+
+
+def fit_logistic(train: DataFrame, C: float = 1.0, max_iter: int = 1000, weight_col: str | None = None):
+    """The study's default model: L2 with C = 1 on pre-scaled features."""
+    return logistic(max_iter, l2_reg_param(train.count(), C), weight_col).fit(train)
+
+
 def tree(depth: int = 10) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(maxDepth=depth, seed=SEED)
 
@@ -128,15 +144,16 @@ def cross_val_metrics(data: DataFrame, make_estimator, k: int = 5, threshold: fl
 
 
 # #139
-def baseline_estimators(weight_col: str | None = None) -> dict:
-    return {"Logistic Regression": logistic(weight_col=weight_col), "Decision Tree": tree(),
+def baseline_estimators(weight_col: str | None = None, n_train: int | None = None) -> dict:
+    reg = l2_reg_param(n_train) if n_train else 0.0
+    return {"Logistic Regression": logistic(reg=reg, weight_col=weight_col), "Decision Tree": tree(),
             "Random Forest": forest(weight_col=weight_col), "Gradient Boosting": boosted(weight_col=weight_col)}
 
 
 def train_and_compare(train: DataFrame, test: DataFrame, estimators: dict | None = None,
                       threshold: float = 0.5):
     """Fit every estimator, score the test table, compare (sorted by F1)."""
-    estimators = estimators or baseline_estimators()
+    estimators = estimators or baseline_estimators(n_train=train.count())
     fitted, scored = {}, None
     for name, est in estimators.items():
         m = est.fit(train)

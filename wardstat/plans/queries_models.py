@@ -48,8 +48,7 @@ def q_train_compare(spark, sf):
 @register("logistic_scored_test")
 def q_logistic(spark, sf):
     train, test = split_scaled(spark, sf)
-    m = ml.logistic().fit(train)
-    return ml.score(m, test)
+    return ml.score(ml.fit_logistic(train), test)
 
 
 @register("forest_importance")
@@ -88,14 +87,16 @@ def q_mlp(spark, sf):
 def q_cv(spark, sf):
     train, _ = split_scaled(spark, sf)
     folds = bal.stratified_folds(train.withColumn("_y", F.col("label").cast("int")), 5, label="_y").drop("_y")
-    return ml.cross_val_metrics(cut_lineage(folds), lambda: ml.logistic(), k=5)
+    folds = cut_lineage(folds)
+    reg = ml.l2_reg_param(folds.count() * 4 // 5)  # C = 1 on the training folds
+    return ml.cross_val_metrics(folds, lambda: ml.logistic(reg=reg), k=5)
 
 
 @register("class_weighted_logistic")
 def q_weighted(spark, sf):
     train, test = split_scaled(spark, sf)
     w = bal.with_weights(train.withColumn("_y", F.col("label").cast("int")), "_y").drop("_y")
-    m = ml.logistic(weight_col="weight").fit(w)
+    m = ml.fit_logistic(w, weight_col="weight")
     from ..operators.evaluate import binary_metrics, roc_auc
     s = ml.score(m, test)
     return binary_metrics(s, 0.5).crossJoin(roc_auc(s))
@@ -104,7 +105,7 @@ def q_weighted(spark, sf):
 @register("run_metadata")
 def q_meta(spark, sf):
     train, test = split_scaled(spark, sf)
-    m = ml.logistic().fit(train)
+    m = ml.fit_logistic(train)
     from ..operators.evaluate import binary_metrics
     met = binary_metrics(ml.score(m, test), 0.5).first().asDict()
     return ml.run_metadata(spark, "Logistic Regression", MODEL_FEATURES, met, train.count(), test.count())
