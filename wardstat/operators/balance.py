@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.columns import col_of, r6
+from ..session import cut_lineage
 
 BUCKETS_PER_PARTITION = 4
 MAX_BUCKETS = 1 << 20
@@ -29,8 +30,10 @@ def md5_number(key) -> Column:
     return F.conv(F.substring(md5_text(key), 1, 15), 16, 10).cast("bigint")
 
 
-def hash_rank(df: DataFrame, group_cols, key: str, rank_col: str = "_rank") -> DataFrame:
-    """Exact 1-based rank of each row within ``group_cols`` ordered by md5(key)."""
+def hash_rank(df: DataFrame, group_cols, key: str, rank_col: str = "_rank",
+              keep_total: bool = False, total_col: str = "_n") -> DataFrame:
+    """Exact 1-based rank of each row within ``group_cols`` ordered by
+    md5(key); with ``keep_total`` also the group's row count."""
     group_cols = list(group_cols)
     # any bucket count gives the exact rank; size it from the configured
     # shuffle parallelism (no job), which is tuned to the data volume
@@ -38,13 +41,17 @@ def hash_rank(df: DataFrame, group_cols, key: str, rank_col: str = "_rank") -> D
     nb = int(min(MAX_BUCKETS, max(1, parts * BUCKETS_PER_PARTITION)))
     h = md5_text(key)
     b = (F.conv(F.substring(h, 1, 6), 16, 10).cast("bigint") * nb / (1 << 24)).cast("int")
-    d = df.withColumn("_h", h).withColumn("_b", b)
+    # the rows are read twice (bucket counts, then the ranking): write once
+    d = cut_lineage(df.withColumn("_h", h).withColumn("_b", b), "hash_rank_input")
     cnt = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select(*group_cols, "_b", F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off"))
+    wt = Window.partitionBy(*group_cols)
+    off = cnt.select(*group_cols, "_b", F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off"),
+                     F.sum("_bn").over(wt).alias(total_col))
     wi = Window.partitionBy(*group_cols, "_b").orderBy("_h", col_of(key))
     j = d.join(off, group_cols + ["_b"])
-    return j.withColumn(rank_col, F.col("_off") + F.row_number().over(wi)).drop("_h", "_b", "_off")
+    out = j.withColumn(rank_col, F.col("_off") + F.row_number().over(wi)).drop("_h", "_b", "_off")
+    return out if keep_total else out.drop(total_col)
 
 
 def minority_majority(df: DataFrame, label: str, minority) -> tuple[int, int]:
@@ -63,12 +70,10 @@ def stratified_split(df: DataFrame, test_frac: float = 0.2, label: str = codes.T
                      key: str = "encounter_id") -> DataFrame:
     """Adds ``split`` ('train' / 'test'): per class, the ``round(frac * n_c)``
     rows first in md5 order go to test, so class shares are kept."""
-    r = hash_rank(df, [label], key)
-    cc = class_counts(df, label)
-    j = r.join(F.broadcast(cc), col_of(label).eqNullSafe(F.col("_cls")))
+    r = hash_rank(df, [label], key, keep_total=True)
     k = F.round(F.col("_n") * F.lit(test_frac)).cast("bigint")
-    return j.withColumn("split", F.when(F.col("_rank") <= k, "test").otherwise("train")) \
-        .drop("_rank", "_cls", "_n")
+    return r.withColumn("split", F.when(F.col("_rank") <= k, "test").otherwise("train")) \
+        .drop("_rank", "_n")
 
 
 # #120
@@ -79,11 +84,9 @@ def stratified_sample(df: DataFrame, n: int, label: str = codes.TARGET,
     total = df.count()
     if total <= n:
         return df
-    r = hash_rank(df, [label], key)
-    cc = class_counts(df, label)
-    j = r.join(F.broadcast(cc), col_of(label).eqNullSafe(F.col("_cls")))
+    r = hash_rank(df, [label], key, keep_total=True)
     k = F.floor(F.lit(n) * F.col("_n") / F.lit(total))
-    return j.filter(F.col("_rank") <= k).drop("_rank", "_cls", "_n")
+    return r.filter(F.col("_rank") <= k).drop("_rank", "_n")
 
 
 # #121

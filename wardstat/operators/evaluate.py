@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
+from ..session import cut_lineage
 
 SCORES_PER_BUCKET = 50_000
 MAX_BUCKETS = 2_000_000
@@ -38,6 +39,9 @@ def score_prefix(df: DataFrame, label: str = "label", score: str = "score",
     g = df.groupBy(*[F.col(c) for c in groups], F.col(score).alias("score")).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
         F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
+    # four branches read the score counts: write them once instead of
+    # re-running the upstream plan per branch
+    g = cut_lineage(g, "score_counts")
     st = g.groupBy(*groups).agg(
         F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.count(F.lit(1)).alias("_k"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))

@@ -229,17 +229,19 @@ def target_correlation(df: DataFrame, cols, target: str = TARGET, k: int | None
 
 # #84 - #87
 def status_distribution(df: DataFrame, slice_cols, target: str = TARGET) -> DataFrame:
-    """Count and percent of target 0 and 1 per slice, zero-filled: the
-    (slice x {0, 1}) grid is the distinct slices crossed with the two classes."""
+    """Count and percent of target 0 and 1 per slice, zero-filled: one
+    aggregate per slice with both class counts, then two rows per slice."""
     slice_cols = list(slice_cols)
-    counts = df.groupBy(*[col_of(c).alias(c) for c in slice_cols], col_of(target).alias("status")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    per_slice = counts.groupBy(*slice_cols).agg(F.sum("n").alias("total"))
-    classes = df.sparkSession.createDataFrame([(0,), (1,)], "status int")
-    grid = per_slice.crossJoin(F.broadcast(classes))  # 2 rows per slice
-    out = grid.join(counts, slice_cols + ["status"], "left")
-    return out.select(*slice_cols, "status", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-                      r6(F.coalesce("n", F.lit(0)) * 100.0 / F.col("total")).alias("pct"))
+    y = col_of(target)
+    per = df.groupBy(*[col_of(c).alias(c) for c in slice_cols]).agg(
+        F.sum(F.when(y == 0, 1).otherwise(0)).cast("bigint").alias("_n0"),
+        F.sum(F.when(y == 1, 1).otherwise(0)).cast("bigint").alias("_n1"),
+        F.count(F.lit(1)).alias("_total"))
+    rows = per.select(*slice_cols, "_total", F.explode(F.array(
+        F.struct(F.lit(0).alias("status"), F.col("_n0").alias("n")),
+        F.struct(F.lit(1).alias("status"), F.col("_n1").alias("n")))).alias("_r"))
+    return rows.select(*slice_cols, F.col("_r.status").alias("status"), F.col("_r.n").alias("n"),
+                       r6(F.col("_r.n") * 100.0 / F.col("_total")).alias("pct"))
 
 
 def slice_by_type_control(df: DataFrame) -> DataFrame:
