@@ -268,10 +268,11 @@ def univariate_odds_categorical(df: DataFrame, col: str, target: str = TARGET) -
     cnt = df.filter(col_of(col).isNotNull()).groupBy(col_of(col).cast("string").alias("level")).agg(
         F.sum((col_of(target) == 1).cast("bigint")).alias("pos"),
         F.sum((col_of(target) == 0).cast("bigint")).alias("neg"))
-    ref = cnt.agg(F.min("level").alias("ref_level"))
-    j = cnt.crossJoin(ref).join(
-        cnt.select(F.col("level").alias("ref_level"), F.col("pos").alias("rp"), F.col("neg").alias("rn")),
-        "ref_level")
+    # reference level = first in sorted order; a window over the (bounded)
+    # level counts reads them once instead of re-joining them to themselves
+    w = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    j = cnt.select("level", "pos", "neg", F.first("level").over(w).alias("ref_level"),
+                   F.first("pos").over(w).alias("rp"), F.first("neg").over(w).alias("rn"))
     ok = (F.col("pos") > 0) & (F.col("neg") > 0) & (F.col("rp") > 0) & (F.col("rn") > 0)
     lo = F.log(F.col("pos") / F.col("neg"))
     rlo = F.log(F.col("rp") / F.col("rn"))
