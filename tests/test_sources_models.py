@@ -102,3 +102,12 @@ def test_closed_form_odds_equals_glm(spark):
     fit = GeneralizedLinearRegression(family="binomial", link="logit").fit(data)
     assert abs(fit.coefficients[0] - closed["gender[T.Male]"]["coef"]) < 1e-4
     assert abs(fit.summary.coefficientStandardErrors[0] - closed["gender[T.Male]"]["stderr"]) < 1e-4
+
+
+def test_stage_tables_released(spark):
+    from wardstat import session as S
+    df = S.cut_lineage(spark.range(10), "probe")
+    assert df.count() == 10
+    path = S._STAGE_TABLES[-1]
+    assert S.release_stage_tables(spark) >= 1
+    assert not os.path.exists(path.replace("file:", ""))

@@ -8,6 +8,7 @@ setting is absent (local tests).
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -72,6 +73,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_STAGE_TABLES: list = []
+
+
+def release_stage_tables(spark: SparkSession | None = None) -> int:
+    """Delete the stage tables this process wrote under the checkpoint
+    folder (through the Hadoop FileSystem API, so any shared file system
+    works).  DataFrames read from them are invalid afterwards."""
+    spark = spark or SparkSession.getActiveSession()
+    n = 0
+    if spark is None:
+        return n
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGE_TABLES:
+        p = jvm.org.apache.hadoop.fs.Path(_STAGE_TABLES.pop())
+        try:
+            if p.getFileSystem(conf).delete(p, True):
+                n += 1
+        except Exception:  # noqa: BLE001 - best effort clean-up
+            pass
+    return n
+
+
+def _release_at_exit():
+    try:
+        release_stage_tables()
+    except Exception:  # noqa: BLE001
+        pass
+
+
+atexit.register(_release_at_exit)
+
+
 def materialize(df, spark: SparkSession, name: str):
     """Cut lineage by writing ``df`` as Parquet under the checkpoint folder.
 
@@ -81,6 +115,7 @@ def materialize(df, spark: SparkSession, name: str):
     """
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
+    _STAGE_TABLES.append(path)
     return spark.read.parquet(path)
 
 
