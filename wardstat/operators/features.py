@@ -34,15 +34,15 @@ def diabetes_fields(df: DataFrame, diag_cols=("diag_1", "diag_2", "diag_3")) ->
     its type, control flag, complication flag and complication category."""
     code = first_matching_code(list(diag_cols), DIAB_KEYS)
     desc = map_lookup(F.col("diab_code"), [(c, d) for c, _, d in codes.DIABETES_CODES])
-    return (df.withColumn("diab_code", code)
-            .withColumn("_desc", desc)
-            .withColumn("diab_type", map_lookup(F.col("diab_code"),
-                                                [(c, t) for c, t, _ in codes.DIABETES_CODES]).cast("int"))
-            .withColumn("diab_control", F.col("_desc").contains(codes.CONTROL_PHRASE).cast("int"))
-            .withColumn("diab_complication_binary",
-                        F.col("_desc").contains(codes.COMPLICATION_PHRASE).cast("int"))
-            .withColumn("diab_complication_categories", complication_category(F.col("_desc")))
-            .drop("_desc"))
+    dtype = map_lookup(F.col("diab_code"), [(c, t) for c, t, _ in codes.DIABETES_CODES]).cast("int")
+    # two projections (code, then everything read from it): fewer plan
+    # analyses than one withColumn per field
+    out = df.withColumns({"diab_code": code}).withColumns({"_desc": desc, "diab_type": dtype})
+    return out.withColumns({
+        "diab_control": F.col("_desc").contains(codes.CONTROL_PHRASE).cast("int"),
+        "diab_complication_binary": F.col("_desc").contains(codes.COMPLICATION_PHRASE).cast("int"),
+        "diab_complication_categories": complication_category(F.col("_desc")),
+    }).drop("_desc")
 
 
 def lookup_code(df: DataFrame, col: str, pairs, out: str) -> DataFrame:
