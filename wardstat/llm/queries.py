@@ -3,7 +3,9 @@ production parameters, to its whole table and derives the contract's columns."""
 
 from __future__ import annotations
 
-from . import fm_quality, ftrl_toxicity
+from pyspark.sql import functions as F
+
+from . import fm_quality, ftrl_toxicity, simhash_golay, spaced_seeds
 from .common import table
 
 QUERIES: dict = {}
@@ -20,6 +22,21 @@ def op1_fm_quality(spark, sf_dir):
     return fm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op2_simhash_golay(spark, sf_dir):
+    return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
 @query
 def op3_ftrl_toxicity(spark, sf_dir):
     return ftrl_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_spaced_seed_decontamination(spark, sf_dir):
+    found = spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.array_distinct("overlaps.item_id"))
+    return found.select(
+        "doc_id", (F.size("overlaps") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"),
+        F.array_join(ids.cast("array<string>"), ",").alias("items"),
+        F.array_join(F.transform("overlaps", lambda o: F.concat_ws(":", o["item_id"], o["first"], o["last"])), ",").alias("runs"))
