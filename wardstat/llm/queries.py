@@ -5,13 +5,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fm_quality, ftrl_toxicity, simhash_golay, spaced_seeds
+from . import bpe_chunks, fm_quality, ftrl_toxicity, simhash_golay, spaced_seeds
 from .common import table
 
+#: vocabulary of the BPE query, in the public_tokenizers package
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -32,6 +41,11 @@ def op3_ftrl_toxicity(spark, sf_dir):
     return ftrl_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_bpe_chunks(spark, sf_dir, vocabulary=None):
+    return bpe_chunks.encode_rows(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path())
+
+
 @query
 def op10_spaced_seed_decontamination(spark, sf_dir):
     found = spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
