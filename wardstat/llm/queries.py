@@ -5,14 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, fm_quality, ftrl_toxicity, simhash_golay, spaced_seeds
+from . import bpe_chunks, fm_quality, ftrl_toxicity, simhash_golay, spaced_seeds, stream_dedup, text_density
 from .common import table
+from .oracle import ORACLE  # noqa: F401
 
 #: vocabulary of the BPE query, in the public_tokenizers package
 VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES: dict = {}
-ORACLE: dict = {}
 
 
 def vocabulary_path() -> str:
@@ -41,6 +41,16 @@ def op3_ftrl_toxicity(spark, sf_dir):
     return ftrl_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_text_density(spark, sf_dir):
+    return text_density.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_stream_dedup(spark, sf_dir):
+    return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 @query
 def op9_bpe_chunks(spark, sf_dir, vocabulary=None):
     return bpe_chunks.encode_rows(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path())
