@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, fm_quality, ftrl_toxicity, simhash_golay, spaced_seeds, stream_dedup, text_density
+from . import bpe_chunks, fm_quality, ftrl_toxicity, line_dedup, simhash_golay, spaced_seeds, stream_dedup, text_density
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -46,6 +46,12 @@ def op5_text_density(spark, sf_dir):
     return text_density.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op6_segment_line_dedup(spark, sf_dir):
+    kept = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query
 def op7_stream_dedup(spark, sf_dir):
     return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
