@@ -31,6 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
+from . import sieve
 
 
 @dataclass(frozen=True)
@@ -39,28 +40,6 @@ class LineParams:
     min_chars: int = 20     # shorter lines always stay
 
 
-SIEVE_BITS = 1 << 24        # size of the broadcast bitmap: 2 MB
-
-
-def _sieve(ids: DataFrame, col: str) -> DataFrame:
-    """Bitmap rows (at most SIEVE_BITS / 32768 of 4 KB) of the ids' hashes."""
-    at = F.pmod(F.xxhash64(col), F.lit(SIEVE_BITS)) + 1
-    return (ids.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-            .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
-
-
-def _sift(rows: DataFrame, col: str, sieve: DataFrame, how: str) -> DataFrame:
-    """Rows whose hash is in the sieve ('in': all true ones and few others),
-    or the remaining ones ('out')."""
-    at = F.pmod(F.xxhash64(col), F.lit(SIEVE_BITS)) + 1
-    hit = (rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_bit", F.bitmap_bit_position(at))
-           .join(F.broadcast(sieve.withColumnRenamed("bucket", "_bucket")), "_bucket", "left"))
-    byte = F.conv(F.hex(F.substring("bitmap", (F.col("_bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    is_in = F.coalesce(
-        F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return hit.where(is_in if how == "in" else ~is_in).drop("_bucket", "_bit", "bitmap")
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
@@ -156,7 +135,7 @@ def near_lines(lines: DataFrame, p: LineParams) -> DataFrame:
     probe = lines.select(F.explode(probe_keys(F.col("line"), p)).alias("key"), F.col("id").alias("b"))
     pairs = cut_lineage(index.join(probe, "key").where("a <> b")
                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line_pairs")
-    some = _sift(lines.select("id", "line"), "id", _sieve(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a"), "in")
+    some = sieve.sift(lines.select("id", "line"), "id", sieve.build(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a"))
     texts = cut_lineage(some.select("id", F.split("line", "").alias("chars")), "line_chars")
     return (pairs.join(texts.select(F.col("id").alias("a"), F.col("chars").alias("chars_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("chars").alias("chars_b")), "b")
@@ -184,11 +163,11 @@ def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
 def deduplicate(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """``docs`` with the remaining text, ``n_lines`` and ``n_dropped``."""
     gone = cut_lineage(dropped_lines(docs, p).withColumnRenamed("doc_id", "_id"), "dropped_lines")
-    sieve = cut_lineage(_sieve(gone, "_id"), "dropped_sieve")
+    some = cut_lineage(sieve.build(gone, "_id"), "dropped_sieve")
     lines = F.split("text", "\n", -1)
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
-    touched = _sift(docs, "doc_id", sieve, "in").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    untouched = _sift(docs, "doc_id", sieve, "out")
+    touched = sieve.sift(docs, "doc_id", some).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    untouched = sieve.sift(docs, "doc_id", some, inside=False)
     left = F.filter(lines, lambda x, i: ~F.array_contains("dropped", i))
     touched = (touched.withColumn("n_lines", n_lines)
                .withColumn("n_dropped", F.coalesce(F.size(F.filter("dropped", lambda i: i < F.col("n_lines"))), F.lit(0)).cast("long"))

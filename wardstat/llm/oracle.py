@@ -9,9 +9,8 @@ g AS (SELECT norm, count(*) AS group_size, first(doc_id ORDER BY length(t) DESC,
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)"""
 
 ORACLE["op6_segment_line_dedup"] = """
-WITH l AS (SELECT doc_id, u.pos - 1 AS pos, u.line FROM (
-             SELECT doc_id, unnest(list_transform(range(1, len(string_split(text, chr(10))) + 1),
-                    i -> {'pos': i, 'line': string_split(text, chr(10))[i]})) AS u FROM documents WHERE text IS NOT NULL)),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+           FROM documents WHERE text IS NOT NULL),
 d AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS f FROM l WHERE length(line) >= 20 GROUP BY line),
 pairs AS (
   SELECT x.line AS a, y.line AS b, x.f AS fa, y.f AS fb FROM d x JOIN d y

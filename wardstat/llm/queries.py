@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, fm_quality, ftrl_toxicity, line_dedup, simhash_golay, spaced_seeds, stream_dedup, text_density
+from . import bpe_chunks, fm_quality, ftrl_toxicity, line_dedup, pii_disclosure, simhash_golay, spaced_seeds, stream_dedup, text_density
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -57,6 +57,11 @@ def op7_stream_dedup(spark, sf_dir):
     return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+@query
+def op8_pii_disclosure(spark, sf_dir):
+    return pii_disclosure.digest(pii_disclosure.find(table(spark, sf_dir, "documents")))
+
+
 @query
 def op9_bpe_chunks(spark, sf_dir, vocabulary=None):
     return bpe_chunks.encode_rows(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path())
