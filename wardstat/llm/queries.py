@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, fm_quality, ftrl_toxicity, line_dedup, pii_disclosure, simhash_golay, spaced_seeds, stream_dedup, text_density
+from . import bpe_chunks, fm_quality, ftrl_toxicity, line_dedup, pii_disclosure, simhash_golay, spaced_seeds, stream_dedup, suffix_dedup, text_density
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -41,6 +41,11 @@ def op3_ftrl_toxicity(spark, sf_dir):
     return ftrl_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.cut(table(spark, sf_dir, "documents"), length=50)
+
+
 @query
 def op5_text_density(spark, sf_dir):
     return text_density.extract(table(spark, sf_dir, "pages"))
