@@ -34,7 +34,9 @@ PART = 1000      # rows of a group that are compared with one copy of the kept t
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CONF = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE,
          "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
+         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+         # many small stores: no disk space set aside ahead of their logs
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
