@@ -8,15 +8,18 @@ two lines within the threshold, one segment of the shorter stands unchanged
 in the longer one, at a place that its own length and the difference in
 length bound closely.  The segments of every distinct line form an index
 keyed on (length, segment number, content); every line probes it with its
-few fitting substrings, and the pairs are verified by a banded bit-parallel
-edit distance: one word of 2 * threshold + 1 bits per error count, moved
-along the diagonal with three shifts and masks a character.
+few fitting substrings.  Pairs whose letter counts differ by more than the
+threshold allows are not let through the join; the others are verified by a
+banded bit-parallel edit distance: one word of 2 * threshold + 1 bits per
+error count, moved along the diagonal with three shifts and masks a
+character.
 
 Scale: all joins run over distinct lines, so a line that a third of all rows
-share is one row after a partial aggregate.  Texts move only where they are
-needed: a bitmap of fixed size, built from the ids in question, sieves the
-lines to verify and the documents to rebuild before the shuffle.  DataFrame
-and SQL functions only.
+share is one row after a partial aggregate.  What is shuffled for a line is
+its digests and keys; texts move only where they are needed: a bitmap of
+fixed size, built from the ids in question, sieves the lines to verify and
+the documents to rebuild before the shuffle.  DataFrame and SQL functions
+only.
 
 Defined results: null texts stay null and count no lines; empty texts have
 one empty line; rows that share an id are one document (line numbers apply to
@@ -49,6 +52,25 @@ def _keyed(docs: DataFrame, p: LineParams) -> DataFrame:
             .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "pos", "line"))
 
 
+COUNTED = "etanoirs"        # letters whose counts (a byte each) go with a line's keys
+
+
+def letter_counts(line: Column) -> Column:
+    counts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 256).cast("long"), 8 * i)
+              for i, c in enumerate(COUNTED)]
+    return sum(counts[1:], counts[0])
+
+
+def counts_differ(a: Column, b: Column) -> Column:
+    """A lower bound of how much the letter counts differ in all; an edit
+    changes it by 2 at most."""
+    total = F.lit(0)
+    for i in range(len(COUNTED)):
+        d = F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)))
+        total = total + F.least(d, F.lit(256) - d)
+    return total
+
+
 def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
     """First position (from 1) and length of segment ``i`` of a line of
     length ``n``; the last n % parts segments are one longer."""
@@ -80,9 +102,8 @@ def probe_keys(line: Column, p: LineParams) -> Column:
     return F.array(*keys)
 
 
-def within(ca: Column, cb: Column, threshold: int) -> Column:
-    """True where the edit distance of two lines, given as stored arrays of
-    their characters, is at most ``threshold``.
+def within(a: Column, b: Column, threshold: int) -> Column:
+    """True where the edit distance of two lines is at most ``threshold``.
 
     Bit d + threshold of word e says: the characters of b read so far match a
     prefix of a that is d longer, with e errors.  Reading a character keeps
@@ -104,7 +125,7 @@ def within(ca: Column, cb: Column, threshold: int) -> Column:
     def step(state, j):
         same = F.lit(0)
         for d in range(-t, t + 1):
-            ok = (j + d >= 0) & F.get(ca, j + d).eqNullSafe(F.get(cb, j))
+            ok = (j + d >= 0) & F.get(state["ca"], j + d).eqNullSafe(F.get(state["cb"], j))
             same = same + F.when(ok, F.lit(1 << (d + t))).otherwise(0)
         words = []
         for e in range(t + 1):
@@ -113,11 +134,12 @@ def within(ca: Column, cb: Column, threshold: int) -> Column:
                 before = state[names[e - 1]]
                 w = w.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1))
             words.append(w)
-        return F.struct(*[w.alias(k) for w, k in zip(spread(words), names)])
+        return F.struct(*[w.alias(k) for w, k in zip(spread(words), names)], state["ca"].alias("ca"), state["cb"].alias("cb"))
 
-    n = F.size(cb)
-    goal = F.size(ca) - n + t
-    first = F.struct(*[w.cast("int").alias(k) for w, k in zip(start, names)])
+    n = F.length(b)
+    goal = F.length(a) - n + t
+    # the characters ride in the state, so the lines are split once
+    first = F.struct(*[w.cast("int").alias(k) for w, k in zip(start, names)], F.split(a, "").alias("ca"), F.split(b, "").alias("cb"))
 
     def reached(state):
         any_word = state[names[0]]
@@ -129,26 +151,34 @@ def within(ca: Column, cb: Column, threshold: int) -> Column:
     return (goal >= 0) & (goal <= 2 * t) & F.aggregate(steps, first, step, reached)
 
 
-def near_lines(lines: DataFrame, p: LineParams) -> DataFrame:
-    """Pairs ``a, b`` of ids of distinct lines (id, line) within the threshold."""
-    index = lines.select(F.explode(index_keys(F.col("line"), p)).alias("key"), F.col("id").alias("a"))
-    probe = lines.select(F.explode(probe_keys(F.col("line"), p)).alias("key"), F.col("id").alias("b"))
-    pairs = cut_lineage(index.join(probe, "key").where("a <> b")
+def near_lines(distinct: DataFrame, keyed: DataFrame, p: LineParams) -> DataFrame:
+    """Pairs ``a, b`` of ids of distinct lines within the threshold.
+    ``distinct``: id, digests h1 and h2, letters, index, probe; ``keyed``: h1, h2 and
+    line of every line."""
+    index = distinct.select(F.explode("index").alias("key"), F.col("id").alias("a"), F.col("letters").alias("letters_a"))
+    probe = distinct.select(F.explode("probe").alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
+    alike = counts_differ(F.col("letters_a"), F.col("letters_b")) <= 2 * p.threshold
+    pairs = cut_lineage(index.join(probe, "key").where((F.col("a") != F.col("b")) & alike)
                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line_pairs")
-    some = sieve.sift(lines.select("id", "line"), "id", sieve.build(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a"))
-    texts = cut_lineage(some.select("id", F.split("line", "").alias("chars")), "line_chars")
-    return (pairs.join(texts.select(F.col("id").alias("a"), F.col("chars").alias("chars_a")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("chars").alias("chars_b")), "b")
-            .where(within(F.col("chars_a"), F.col("chars_b"), p.threshold)).select("a", "b"))
+    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+                        .join(distinct.select("id", "h1", "h2"), "id"), "asked_lines")
+    texts = cut_lineage(sieve.sift(keyed.select("h1", "h2", "line"), "h1", cut_lineage(sieve.build(asked, "h1"), "asked_sieve"))
+                        .groupBy("h1", "h2").agg(F.first("line").alias("line")).join(asked, ["h1", "h2"]).select("id", "line"), "line_texts")
+    return (pairs.join(texts.withColumnsRenamed({"id": "a", "line": "line_a"}), "a")
+            .join(texts.withColumnsRenamed({"id": "b", "line": "line_b"}), "b")
+            .where(within(F.col("line_a"), F.col("line_b"), p.threshold)).select("a", "b"))
 
 
 def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """doc_id and the line numbers (from 0) that go, for documents that lose any."""
     keyed = _keyed(docs, p)
     distinct = cut_lineage(
-        keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("line").alias("line"), F.count("*").alias("n"))
+        keyed.select("h1", "h2", "doc_id", "pos", letter_counts(F.col("line")).alias("letters"), index_keys(F.col("line"), p).alias("index"),
+                     probe_keys(F.col("line"), p).alias("probe"))
+        .groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("letters").alias("letters"),
+                                 F.first("index").alias("index"), F.first("probe").alias("probe"), F.count("*").alias("n"))
         .withColumn("id", F.monotonically_increasing_id()), "distinct_lines")
-    near = near_lines(distinct, p)
+    near = near_lines(distinct, keyed, p)
     order = distinct.select("id", "first")
     late = (near.join(order.withColumnsRenamed({"id": "a", "first": "first_a"}), "a")
             .join(order.withColumnsRenamed({"id": "b", "first": "first_b"}), "b")
