@@ -186,8 +186,9 @@ def links(distinct_fp: DataFrame, max_bits: int = SIMHASH_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = SIMHASH_BITS,
                     keep: list[str] | None = None) -> DataFrame:
-    """Every row with its fingerprint and ``component_id``, the smallest id
-    reachable over links of at most ``max_bits`` differing bits."""
+    """Every row with its fingerprint, ``component_id``, the smallest id
+    reachable over links of at most ``max_bits`` differing bits, and ``root``,
+    the component's smallest fingerprint as a signed number."""
     keep = list(keep or [])
     fp = cut_lineage(fingerprints(docs, shingle, keep), "fingerprints")
     groups = fp.groupBy("fp").agg(F.min("doc_id").alias("low"))
@@ -195,6 +196,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = SIMHASH_B
     named = (groups.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left")
              .withColumn("root", F.coalesce("root", "fp")))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.select("fp", "root").join(low, "root").select("fp", "component_id")
+    ids = named.select("fp", "root").join(low, "root").select("fp", "root", "component_id")
     return (fp.join(ids, "fp")
-            .select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+            .select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"))

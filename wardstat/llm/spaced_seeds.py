@@ -186,4 +186,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, p: SeedParams = SeedParams()
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: SeedParams = SeedParams()) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, unchanged."""
-    return overlaps(docs, benchmark, p, docs.columns).where(F.size("overlaps") == 0).select(*docs.columns)
+    whole = docs.select("text", F.struct("*").alias("__row"))
+    return overlaps(whole, benchmark, p, ["__row"]).where(F.size("overlaps") == 0).select("__row.*")
