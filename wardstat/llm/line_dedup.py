@@ -194,13 +194,15 @@ def deduplicate(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """``docs`` with the remaining text, ``n_lines`` and ``n_dropped``."""
     gone = cut_lineage(dropped_lines(docs, p).withColumnRenamed("doc_id", "_id"), "dropped_lines")
     some = cut_lineage(sieve.build(gone, "_id"), "dropped_sieve")
+    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
     lines = F.split("text", "\n", -1)
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
-    touched = sieve.sift(docs, "doc_id", some).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    untouched = sieve.sift(docs, "doc_id", some, inside=False)
     left = F.filter(lines, lambda x, i: ~F.array_contains("dropped", i))
-    touched = (touched.withColumn("n_lines", n_lines)
-               .withColumn("n_dropped", F.coalesce(F.size(F.filter("dropped", lambda i: i < F.col("n_lines"))), F.lit(0)).cast("long"))
-               .withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_id", "dropped"))
-    untouched = untouched.withColumn("n_lines", n_lines).withColumn("n_dropped", F.lit(0).cast("long"))
-    return touched.unionByName(untouched)
+    touched = (sieve.sift(rows, "doc_id", some).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+               .select("_row", n_lines.alias("n_lines"),
+                       F.coalesce(F.size(F.filter("dropped", lambda i: i < n_lines)), F.lit(0)).cast("long").alias("n_dropped"),
+                       F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")))
+    untouched = sieve.sift(rows, "doc_id", some, inside=False).select("_row", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), "text")
+    new = ["n_lines", "n_dropped"]
+    return (touched.unionByName(untouched)
+            .select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in new], *new))
