@@ -13,10 +13,8 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from wardstat.session import get_session
     s = get_session(master="local[*]", shuffle_partitions=8)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="wardstat-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    if not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wardstat-test-ckpt-"))
     yield s
 
 

@@ -67,11 +67,10 @@ def brute_knn(points, k):
     return out
 
 
-def test_knn_many_pivots_equals_brute_force(spark, monkeypatch):
+def test_knn_many_pivots_equals_brute_force(spark):
     rnd = random.Random(3)
     pts = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(400)]
     df = spark.createDataFrame(pts, "id long, v array<double>")
-    monkeypatch.setattr(nb, "CELL_TARGET", 16)   # 25 cells: exercises pruning
     got = {}
     for r in nb.knn(df, "id", "v", 3).collect():
         got.setdefault(r["id"], []).append((r["nb_rank"], r["nb_key"]))
@@ -114,15 +113,53 @@ def test_tomek_links_mutual_opposite(spark):
     assert sorted(r["id"] for r in nb.remove_tomek_links(df, "id", "v", "y").collect()) == [3, 4]
 
 
-def test_knn_with_hot_copies(spark, monkeypatch):
+def test_knn_with_hot_copies(spark):
     """A third of the rows are one repeated vector: exact result, copies first."""
     rnd = random.Random(11)
     pts = [(i, [rnd.gauss(0, 1) for _ in range(3)]) for i in range(200)]
     pts += [(1000 + i, [0.5, 0.5, 0.5]) for i in range(100)]
     df = spark.createDataFrame(pts, "id long, v array<double>")
-    monkeypatch.setattr(nb, "CELL_TARGET", 16)
     got = {}
     for r in nb.knn(df, "id", "v", 4).collect():
         got.setdefault(r["id"], []).append((r["nb_rank"], r["nb_key"]))
     got = {k: [b for _, b in sorted(v)] for k, v in got.items()}
     assert got == brute_knn(pts, 4)
+
+
+def test_knn_in_rare_and_null_blocks(spark):
+    """Bounds are per block: a block of 1/50 of the rows, and the null block,
+    get all their neighbours."""
+    rnd = random.Random(12)
+    pts = [(i, [rnd.gauss(0, 1) for _ in range(2)], 1 if i % 50 == 0 else None if i % 50 == 1 else 0) for i in range(1500)]
+    df = spark.createDataFrame(pts, "id long, v array<double>, b int")
+    got = {}
+    for r in nb.knn(df, "id", "v", 5, block=["b"]).collect():
+        got.setdefault(r["id"], []).append((r["nb_rank"], r["nb_key"]))
+    got = {k: [b for _, b in sorted(v)] for k, v in got.items()}
+    want = {}
+    for block in (1, None):
+        want |= brute_knn([(i, v) for i, v, b in pts if b == block], 5)
+    assert len(got) == len(pts) and {k: got[k] for k in want} == want
+
+
+def test_null_labels_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "encounter_id long, y int")
+    assert bal.stratified_split(df, 0.2, "y").count() == 100
+    assert bal.stratified_folds(df, 5, "y").count() == 100
+    assert bal.with_weights(df, "y").count() == 100
+    assert bal.undersample(df, 1.0, "y").where("y IS NULL").count() == 20
+    assert bal.oversample_tile(df, "y").where("y IS NULL").count() == 20
+
+
+def test_label_index_of_many_levels(spark):
+    from wardstat.operators import encode as enc
+    df = spark.range(30000).select(F.md5(F.col("id").cast("string")).alias("c")).unionByName(
+        spark.createDataFrame([(None,)], "c string"))
+    got = [tuple(r) for r in enc.label_index(df, "c").collect()]
+    order = {v: i for i, v in enumerate(sorted(c for c, _ in got if c is not None))}
+    assert all(i == order.get(c) for c, i in got) and len(order) == 30000
+
+
+def test_threshold_grid_is_half_open():
+    assert len(ev.threshold_grid(0.1, 0.9, 0.05)) == 16 and len(ev.threshold_grid(0.1, 0.9, 0.01)) == 80
+    assert max(ev.threshold_grid(0.1, 0.9, 0.01)) == 0.89

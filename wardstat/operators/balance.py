@@ -18,7 +18,6 @@ from ..functions.columns import col_of, r6
 from ..session import cut_lineage
 
 BUCKETS_PER_PARTITION = 4
-MAX_BUCKETS = 1 << 20
 
 
 def md5_text(key) -> Column:
@@ -38,7 +37,7 @@ def hash_rank(df: DataFrame, group_cols, key: str, rank_col: str = "_rank",
     # any bucket count gives the exact rank; size it from the configured
     # shuffle parallelism (no job), which is tuned to the data volume
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    nb = int(min(MAX_BUCKETS, max(1, parts * BUCKETS_PER_PARTITION)))
+    nb = max(1, parts * BUCKETS_PER_PARTITION)
     h = md5_text(key)
     b = (F.conv(F.substring(h, 1, 6), 16, 10).cast("bigint") * nb / (1 << 24)).cast("int")
     # the rows are read twice (bucket counts, then the ranking): write once
@@ -46,10 +45,13 @@ def hash_rank(df: DataFrame, group_cols, key: str, rank_col: str = "_rank",
     cnt = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wt = Window.partitionBy(*group_cols)
-    off = cnt.select(*group_cols, "_b", F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off"),
-                     F.sum("_bn").over(wt).alias(total_col))
+    off = cnt.select(*[col_of(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], F.col("_b").alias("_ob"),
+                     F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off"), F.sum("_bn").over(wt).alias(total_col))
     wi = Window.partitionBy(*group_cols, "_b").orderBy("_h", col_of(key))
-    j = d.join(off, group_cols + ["_b"])
+    same = F.col("_b") == F.col("_ob")
+    for i, c in enumerate(group_cols):         # a null group is a group
+        same = same & col_of(c).eqNullSafe(F.col(f"_g{i}"))
+    j = d.join(off, same).drop("_ob", *[f"_g{i}" for i in range(len(group_cols))])
     out = j.withColumn(rank_col, F.col("_off") + F.row_number().over(wi)).drop("_h", "_b", "_off")
     return out if keep_total else out.drop(total_col)
 
@@ -92,12 +94,13 @@ def stratified_sample(df: DataFrame, n: int, label: str = codes.TARGET,
 # #121
 def undersample(df: DataFrame, ratio: float = 1.0, label: str = codes.TARGET,
                 key: str = "encounter_id", minority: int = 1) -> DataFrame:
-    """Keep every minority row and the first ``ratio * n_minority`` majority
-    rows in md5 order."""
-    n_min = df.filter(col_of(label) == minority).count()
-    r = hash_rank(df.filter(col_of(label) != minority), [label], key)
+    """Keep every minority row and, of each other class (a null label is one),
+    the first ``ratio * n_minority`` rows in md5 order."""
+    is_min = col_of(label).eqNullSafe(F.lit(minority))
+    n_min = df.filter(is_min).count()
+    r = hash_rank(df.filter(~is_min), [label], key)
     kept = r.filter(F.col("_rank") <= int(ratio * n_min)).drop("_rank")
-    return kept.unionByName(df.filter(col_of(label) == minority))
+    return kept.unionByName(df.filter(is_min))
 
 
 # #122
@@ -136,7 +139,7 @@ def oversample_tile(df: DataFrame, label: str = codes.TARGET, minority: int = 1,
         "copy", F.explode(F.sequence(F.lit(1), F.lit(max(factor, 0)))))
     if factor <= 0:
         mino = mino.limit(0)
-    return df.filter(col_of(label) != minority).withColumn("copy", F.lit(0)).unionByName(mino)
+    return df.filter(~col_of(label).eqNullSafe(F.lit(minority))).withColumn("copy", F.lit(0)).unionByName(mino)
 
 
 # #127
@@ -150,12 +153,12 @@ def class_weights(df: DataFrame, label: str = codes.TARGET, normalise: bool = Fa
     out = cc.select(F.col("_cls").alias("class"), F.col("_n").alias("n"), w.alias("weight"))
     if normalise:
         out = out.withColumn("weight", F.col("weight") / F.avg("weight").over(Window.partitionBy()))
-    return out.select("class", "n", r6("weight").alias("weight"))
+    return out.select("class", "n", "weight")
 
 
 def with_weights(df: DataFrame, label: str = codes.TARGET, weight_col: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(F.col("class").alias("_cls"), F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), col_of(label) == F.col("_cls")).drop("_cls")
+    return df.join(w, col_of(label).eqNullSafe(F.col("_cls"))).drop("_cls")
 
 
 # #128

@@ -141,9 +141,11 @@ def fill_marker(df: DataFrame, col: str = "A1Cresult", value: str = "NoTest") ->
 
 # #48
 def constant_columns(df: DataFrame) -> DataFrame:
-    """``(column, n_distinct)`` for columns holding a single non-null value;
-    one aggregate pass with exact distinct counts."""
-    agg = df.agg(*[F.countDistinct(col_of(c)).alias(c) for c in df.columns])
+    """``(column, n_distinct)`` for columns holding a single non-null value
+    (1) or none (0): the smallest equals the largest, so one aggregate with a
+    partial stage and no distinct set does."""
+    agg = df.agg(*[F.when(F.min(col_of(c)).isNull(), 0).when(F.min(col_of(c)) == F.max(col_of(c)), 1).otherwise(2).alias(c)
+                   for c in df.columns])
     stacked = unpivot_one_row(agg, df.columns, "column", "n_distinct", "bigint")
     return stacked.filter(F.col("n_distinct") <= 1)
 

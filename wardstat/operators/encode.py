@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.columns import col_of, r6
+from ..session import cut_lineage
 from .features import broadcast_if_small
 
 MAX_LEVELS = 10_000
@@ -75,11 +76,16 @@ def one_hot_pipeline(cols, output_prefix: str = "oh_"):
 def label_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Sorted code 0..n-1 per distinct value (null stays null)."""
     out = out or f"{col}_idx"
-    lv = df.select(col_of(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    if lv.limit(MAX_LEVELS + 1).count() > MAX_LEVELS:  # the ranking window runs on the levels
-        raise ValueError(f"{col}: more than {MAX_LEVELS} levels; use frequency_encode")
-    lv = lv.select("_v", (F.dense_rank().over(Window.orderBy("_v")) - 1).alias(out))  # distinct levels only
-    return df.join(broadcast_if_small(lv), col_of(col).eqNullSafe(F.col("_v")), "left").drop("_v")
+    # any number of levels: range-partition the distinct ones, rank inside a
+    # range, add the counts of the ranges before it
+    lv = df.select(col_of(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct().repartitionByRange("_v")
+    lv = cut_lineage(lv.withColumn("_part", F.spark_partition_id()), "levels")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    off = lv.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select(
+        "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_v")) - 1
+    lv = lv.join(off, "_part").select("_v", (rank + F.col("_off")).cast("int").alias(out))
+    return df.join(lv, col_of(col).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
 # #109

@@ -143,7 +143,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
 
 # #99
 def threshold_grid(lo: float, hi: float, step: float) -> list[float]:
-    n = int(round((hi - lo) / step)) + 1
+    """lo, lo + step, ... below hi (half open, as in the study)."""
+    n = int(round((hi - lo) / step))
     return [round(lo + i * step, 10) for i in range(n)]
 
 

@@ -76,7 +76,8 @@ def lookup_label_normalised(df: DataFrame, feature: str, sectioned: DataFrame,
     out = out or f"{feature}_label"
     m = (sectioned.filter(F.col("feature") == feature)
          .select(normalise_key("key").alias("_k"),
-                 F.when(F.trim("label").rlike(codes.MISSING_LABEL_PATTERN), F.lit(codes.MISSING_LABEL))
+                 F.when(F.trim("label").rlike(codes.MISSING_LABEL_PATTERN) | F.lower(F.trim("label")).isin("", "nan"),
+                        F.lit(codes.MISSING_LABEL))
                  .otherwise(F.trim("label")).alias("_lab")))
     j = df.withColumn("_nk", normalise_key(feature)).join(
         broadcast_if_small(m), F.col("_nk") == F.col("_k"), "left")

@@ -18,6 +18,7 @@ from pyspark.ml.feature import RFormula, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,8 +104,8 @@ def f1_evaluator() -> MulticlassClassificationEvaluator:
 
 
 def forest_grid(rf: RandomForestClassifier):
-    """24 points: trees {100, 200} x depth {10, 15, 20} x min rows per leaf
-    {1, 2} x min rows per split {2, 5}.  Spark has no minimum-rows-to-split
+    """The 24-point grid trees {100, 200} x depth {10, 15, 20} x min rows per
+    leaf {1, 2} x min rows per split {2, 5}; 18 of its points differ.  Spark has no minimum-rows-to-split
     rule; a split needs at least ``2 * minInstancesPerNode`` rows, so the split
     axis is expressed through ``minInstancesPerNode = ceil(split / 2)`` where it
     is stricter than the leaf value."""
@@ -113,8 +114,9 @@ def forest_grid(rf: RandomForestClassifier):
         for d in (10, 15, 20):
             for leaf in (1, 2):
                 for split in (2, 5):
-                    points.append({rf.numTrees: n, rf.maxDepth: d,
-                                   rf.minInstancesPerNode: max(leaf, -(-split // 2))})
+                    point = {rf.numTrees: n, rf.maxDepth: d, rf.minInstancesPerNode: max(leaf, -(-split // 2))}
+                    if point not in points:
+                        points.append(point)
     return points
 
 
@@ -226,7 +228,7 @@ def univariate_glm(df: DataFrame, cols, target: str = codes.TARGET) -> DataFrame
         try:
             m = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100).fit(data)
             rows += glm_terms(m, [c], c)
-        except Exception:  # noqa: BLE001 - a failing fit is reported as data
+        except IllegalArgumentException:       # the solver refused the column; anything else is an error of the job
             rows.append((c, "ERROR", None, None, None, None))
     return _glm_frame(spark, rows)
 
@@ -246,6 +248,7 @@ def multivariable_glm(df: DataFrame, numeric, categorical, target: str = codes.T
     m = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100).fit(data)
     rows = glm_terms(m, names)
     src = list(numeric) + list(categorical)
+    src.sort(key=len, reverse=True)            # diag_1_category before diag_1
     mapped = [(next((s for s in src if t == s or t.startswith(s + "_")), t), t, c, e, z, p)
               for _, t, c, e, z, p in rows]
     return _glm_frame(df.sparkSession, mapped)

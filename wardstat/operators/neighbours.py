@@ -4,10 +4,10 @@ Exact kNN join by pivot cells, with no all-pairs enumeration (over
 distinct vectors; copies are handled in ``knn``):
 
 1. ``m`` pivots = the points first in md5 order (``m`` from the row count,
-   capped; the pivot table is size-checked before it is broadcast).
+   its square root).
 2. Every point gets its distance to all pivots, its cell (nearest pivot) and
    the distance to that pivot; per cell, radius ``r`` and count.
-3. Per cell an upper bound ``theta`` on the k-NN distance of any of its
+3. Per block and cell an upper bound ``theta`` on the k-NN distance of any of its
    points: the smallest ``B`` with at least ``k + 1`` points inside
    ``d(p_c, p_c') + r_c' <= B``, then ``theta = r_c + B``.
 4. A point ``s`` is a candidate for cell ``c`` only when
@@ -30,9 +30,7 @@ from ..functions.columns import col_of
 from ..session import cut_lineage
 from .balance import hash_rank, md5_number, md5_text, minority_majority
 
-CELL_TARGET = 256
-MAX_PIVOTS = 4096
-MAX_PIVOT_VALUES = 4_000_000  # pivots x dimensions broadcast at most
+TOLERANCE = 1e-9
 
 
 def sqdist(a: Column, b: Column) -> Column:
@@ -43,12 +41,10 @@ def sqdist(a: Column, b: Column) -> Column:
 def _knn_distinct(pts: DataFrame, k: int, block) -> DataFrame:
     """Pivot-cell kNN over ``(block.., _id, _v)`` rows whose vectors are
     distinct within a block; ``(_q, nb_key, dist2, nb_rank)``."""
-    st = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    n, dim = st["n"], (st["d"] or 0)
-    m = int(min(MAX_PIVOTS, max(1, math.ceil(n / CELL_TARGET))))
-    if m * max(dim, 1) > MAX_PIVOT_VALUES:
-        m = max(1, MAX_PIVOT_VALUES // max(dim, 1))
-    # 1. pivots: a bounded top-m by hash, gathered into one broadcast row
+    n = pts.count()
+    # 1. pivots: the first sqrt(n) points by hash, so that the distances to
+    # all pivots and the candidates of a cell grow alike; one row of them
+    m = max(1, math.isqrt(n))
     piv = (pts.select("_id", "_v", md5_text("_id").alias("_h")).orderBy("_h", "_id").limit(m)
            .withColumn("pidx", F.row_number().over(Window.orderBy("_h", "_id")) - 1))
     piv_row = piv.agg(F.array_sort(F.collect_list(F.struct("pidx", "_v"))).alias("_pv"))
@@ -57,27 +53,43 @@ def _knn_distinct(pts: DataFrame, k: int, block) -> DataFrame:
         "_dp", F.transform("_pv", lambda p: F.sqrt(sqdist(p["_v"], F.col("_v"))))).drop("_pv")
     withp = withp.withColumn("_dmin", F.array_min("_dp")) \
         .withColumn("cell", (F.array_position("_dp", F.col("_dmin")) - 1).cast("int"))
-    cells = withp.groupBy("cell").agg(F.max("_dmin").alias("r"), F.count(F.lit(1)).alias("cnt"))
+    # counts and radii per (block, cell): a pair never crosses blocks, so a
+    # bound taken over all blocks would be too tight for a rare one
+    cells = withp.groupBy(*block, "cell").agg(F.max("_dmin").alias("r"), F.count(F.lit(1)).alias("cnt"))
     # 3. theta per cell from pivot-to-pivot distances (m x m, bounded)
     pp = piv.select(F.col("pidx").alias("c"), F.col("_v").alias("vc")).crossJoin(
         F.broadcast(piv.select(F.col("pidx").alias("c2"), F.col("_v").alias("vc2"))))
     pp = pp.select("c", "c2", F.sqrt(sqdist("vc", "vc2")).alias("dcc"))
-    pp = pp.join(F.broadcast(cells.select(F.col("cell").alias("c2"), F.col("r").alias("r2"), "cnt")), "c2")
+    names = [f"_b{i}" for i in range(len(block))]
+    own = [col_of(b).alias(n) for b, n in zip(block, names)]
+    pp = pp.join(cells.select(*own, F.col("cell").alias("c2"), F.col("r").alias("r2"), "cnt"), "c2")
     pp = pp.withColumn("ub", F.col("dcc") + F.col("r2"))
-    wc = Window.partitionBy("c").orderBy("ub", "c2").rowsBetween(Window.unboundedPreceding, 0)
+    wc = Window.partitionBy(*names, "c").orderBy("ub", "c2").rowsBetween(Window.unboundedPreceding, 0)
     pp = pp.withColumn("cum", F.sum("cnt").over(wc))
-    bound = pp.filter(F.col("cum") >= k + 1).groupBy("c").agg(F.min("ub").alias("B"))
-    reach = cells.join(bound, cells["cell"] == bound["c"], "left").select(
-        "cell", (F.col("r") + F.col("r") + F.coalesce("B", F.lit(float("inf")))).alias("reach"))
-    reach_row = reach.agg(F.map_from_entries(F.collect_list(F.struct("cell", "reach"))).alias("_reach"))
+    bound = pp.filter(F.col("cum") >= k + 1).groupBy(*names, F.col("c").alias("_c")).agg(F.min("ub").alias("_bound"))
+    same = F.col("cell") == F.col("_c")
+    for b, n in zip(block, names):
+        same = same & col_of(b).eqNullSafe(F.col(n))
+    reach = cells.join(bound, same, "left").select(
+        *own, "cell", (F.col("r") + F.col("r") + F.coalesce("_bound", F.lit(float("inf")))).alias("reach"))
+    # one map of at most ``m`` cells per block; the tolerance keeps points
+    # that rounding puts just outside the bound
+    reach_row = reach.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("cell", "reach"))).alias("_reach"))
     # 4. replicate each point to the cells it can be a neighbour in
-    cand = withp.crossJoin(F.broadcast(reach_row)).select(
+    here = F.lit(True)
+    for b, n in zip(block, names):
+        here = here & col_of(b).eqNullSafe(F.col(n))
+    cand = withp.join(reach_row, here).select(
         *block, "_id", "_v", F.explode(F.filter(
             F.sequence(F.lit(0), F.lit(m - 1)),
-            lambda i: F.element_at("_dp", i + 1) <= F.coalesce(F.try_element_at("_reach", i), F.lit(-1.0)))
+            lambda i: F.element_at("_dp", i + 1) * (1 - TOLERANCE) <= F.coalesce(F.try_element_at("_reach", i), F.lit(-1.0)))
         ).alias("cell"))
     queries = withp.select(*block, F.col("_id").alias("_q"), F.col("_v").alias("_qv"), "cell")
-    pairs = queries.join(cand, block + ["cell"]).filter(F.col("_q") != F.col("_id"))
+    near = cand.select(*own, F.col("_id"), F.col("_v"), F.col("cell").alias("_c"))
+    meet = F.col("cell") == F.col("_c")
+    for b, n in zip(block, names):
+        meet = meet & col_of(b).eqNullSafe(F.col(n))
+    pairs = queries.join(near, meet).filter(F.col("_q") != F.col("_id"))
     pairs = pairs.select("_q", F.col("_id").alias("nb_key"), sqdist("_qv", "_v").alias("dist2"))
     w = Window.partitionBy("_q").orderBy("dist2", md5_text("nb_key"), "nb_key")
     return pairs.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
@@ -103,7 +115,12 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, block=()) -> DataFrame:
         F.min_by("_id", F.struct(md5_text("_id"), F.col("_id"))).alias("_vid"),
         F.count(F.lit(1)).alias("_m"))
     dv = cut_lineage(dv, "knn_vectors")
-    withv = pts.join(dv.select(*block, "_v", "_vid"), block + ["_v"])
+    named = [f"_b{i}" for i in range(len(block))]
+    heads_of = dv.select(*[col_of(b).alias(n) for b, n in zip(block, named)], F.col("_v").alias("_w"), "_vid")
+    same = F.col("_v").eqNullSafe(F.col("_w"))
+    for b, n in zip(block, named):
+        same = same & col_of(b).eqNullSafe(F.col(n))
+    withv = pts.join(heads_of, same).drop("_w", *named)
     ranked = hash_rank(withv.select(*block, "_id", "_vid"), block + ["_vid"], "_id", "_mr")
     heads = ranked.filter(F.col("_mr") <= k + 1).select("_vid", F.col("_id").alias("_cand"))
     nn = _knn_distinct(dv.select(*block, F.col("_vid").alias("_id"), "_v"), k, block)

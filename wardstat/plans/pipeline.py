@@ -86,18 +86,23 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neural_clean(raw: DataFrame) -> DataFrame:
     """Neural-path cleaning (no de-duplication): ID labels, hospice filter,
-    constant drugs dropped, markers, A1C, ICD groups, diabetes fields, rates,
-    target, age-band exclusion, encounter-count filter, range trim."""
+    constant drugs dropped, markers, A1C, sparse columns dropped, ICD groups,
+    diabetes fields, rates, target, imputation, age-band exclusion,
+    encounter-count filter, range trim."""
     df = feat.id_labels(raw)
     df = feat.died_or_hospice(df)
     df = clean.exclude_codes(df, "discharge_disposition_id", codes.DEAD_OR_HOSPICE)
     df = df.drop(*codes.CONSTANT_MEDICATIONS)
     df = clean.null_if_marker(df)
     df = clean.fill_marker(df, "A1Cresult", "NoTest")
+    counts = clean.null_counts(df)
+    df, _ = clean.drop_sparse_columns(df, SPARSE_THRESHOLD, counts)
     df = feat.icd9_categories(df)
     df = feat.diabetes_fields(df)
     df = feat.per_day_rates(df)
     df = feat.binary_target(df)
+    # derived columns are null-free by construction
+    df = clean.impute(df, counts={**counts, **{c: 0 for c in df.columns if c not in counts}})
     df = clean.exclude_levels(df)
     df = clean.entity_count_filter(df)
     return clean.range_trim(df)

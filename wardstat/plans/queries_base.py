@@ -342,7 +342,7 @@ def q_cleaning_report(spark, sf):
 # --- the neural path, end to end ---------------------------------------------------
 NEURAL_OUT = ["encounter_id", "patient_nbr", "admission_type_id", "admission_type_desc",
               "discharge_disposition_desc", "admission_source_id", "admission_source_desc",
-              "died_or_hospice", "race", "A1Cresult", "diag_1_category", "diab_type",
+              "died_or_hospice", "race", "A1Cresult", "diag_1", "diag_2", "diag_3", "diag_1_category", "diab_type",
               "meds_per_day", "readmitted_binary"]
 
 
@@ -363,7 +363,8 @@ s1 AS (SELECT encounter_id, patient_nbr,
     CASE WHEN diag_3 = '?' THEN NULL ELSE diag_3 END AS diag_3,
     age, time_in_hospital, num_lab_procedures, num_medications, number_diagnoses, readmitted
   FROM loaded WHERE NOT coalesce(discharge_disposition_id IN (11, 13, 14, 19, 20, 21), false)),
-s2 AS (SELECT * FROM s1 WHERE NOT coalesce(age IN ('[0-10)', '[10-20)', '[90-100)'), false)),
+mode_race AS (SELECT race AS m FROM s1 WHERE race IS NOT NULL GROUP BY race ORDER BY count(*) DESC, race LIMIT 1),
+s2 AS (SELECT * REPLACE (coalesce(race, (SELECT m FROM mode_race), 'Unknown') AS race) FROM s1 WHERE NOT coalesce(age IN ('[0-10)', '[10-20)', '[90-100)'), false)),
 s3 AS (SELECT * FROM s2 WHERE patient_nbr IN (SELECT patient_nbr FROM s2 GROUP BY patient_nbr
          HAVING count(DISTINCT encounter_id) <= 13)),
 s4 AS (SELECT * FROM s3 WHERE num_lab_procedures <= 99 AND num_medications <= 63
@@ -373,7 +374,8 @@ s5 AS (SELECT *, coalesce(CASE WHEN diag_1 IN (SELECT code FROM dmap) THEN diag_
          CASE WHEN diag_3 IN (SELECT code FROM dmap) THEN diag_3 END, '250') AS diab_code FROM s4)
 SELECT s5.encounter_id, s5.patient_nbr, s5.admission_type_id, atl.v AS admission_type_desc,
   dd.v AS discharge_disposition_desc, s5.admission_source_id, src.v AS admission_source_desc,
-  s5.died_or_hospice, s5.race, s5."A1Cresult", {O.icd_sql('s5.diag_1')} AS diag_1_category,
+  s5.died_or_hospice, s5.race, s5."A1Cresult", coalesce(s5.diag_1, '0') AS diag_1, coalesce(s5.diag_2, '0') AS diag_2,
+  coalesce(s5.diag_3, '0') AS diag_3, {O.icd_sql('s5.diag_1')} AS diag_1_category,
   m.dtype AS diab_type, s5.num_medications / greatest(s5.time_in_hospital, 1)::DOUBLE AS meds_per_day,
   CAST(coalesce(s5.readmitted = '<30', false) AS INTEGER) AS readmitted_binary
 FROM s5 LEFT JOIN atl ON s5.admission_type_id = atl.k LEFT JOIN dd ON s5.discharge_disposition_id = dd.k

@@ -74,9 +74,8 @@ def q_auc(spark, sf):
     return ev.roc_auc(scored(spark, sf))
 
 
-GRID = ev.threshold_grid(0.1, 0.9, 0.05)
-SWEEP = S + f"""
-, grid(threshold) AS (VALUES {", ".join(f"(CAST({t!r} AS DOUBLE))" for t in GRID)}),
+SWEEP = S + """
+, grid AS (SELECT round(0.1 + range * 0.05, 10) AS threshold FROM range(16)),
 sw AS (SELECT threshold, CAST(sum(CASE WHEN label = 1 AND score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS tp,
   CAST(sum(CASE WHEN label <> 1 AND score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS fp,
   CAST(sum(CASE WHEN label = 1 AND NOT score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS fn
@@ -361,7 +360,7 @@ def q_tile(spark, sf):
 SELECT readmitted_binary AS class, count(*) AS n,
   round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM cleaned GROUP BY readmitted_binary""")
 def q_weights(spark, sf):
-    return bal.class_weights(cleaned(spark, sf))
+    return bal.class_weights(cleaned(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
 @register("class_balance", O.CLEANED + """

@@ -57,15 +57,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is made
-    and registered, so that lineage cuts always land in one shared place.
+    Only with a local master (tests) a scratch folder is made where the
+    setting is absent; on a cluster its absence is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        # executors of a cluster do not see a folder of the driver's machine
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="wardstat-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
     else:
         if not spark.sparkContext.getCheckpointDir():
