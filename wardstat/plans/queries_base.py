@@ -350,7 +350,7 @@ NEURAL_OUT = ["encounter_id", "patient_nbr", "admission_type_id", "admission_typ
 , atl(k, v) AS (VALUES {_values(codes.ADMISSION_TYPE_LABELS)}),
 dd(k, v) AS (VALUES {_values(codes.DISCHARGE_LABELS)}),
 src(k, v) AS (VALUES {_values(codes.ADMISSION_SOURCE_LABELS)}),
-s1 AS (SELECT encounter_id, patient_nbr,
+s0 AS (SELECT encounter_id, patient_nbr,
     CAST(CASE WHEN admission_type_id IN (5, 6, 8) THEN 9 ELSE admission_type_id END AS INTEGER) AS admission_type_id,
     discharge_disposition_id,
     CAST(CASE WHEN admission_source_id IN (9, 15, 17, 20) THEN 27 ELSE admission_source_id END AS INTEGER)
@@ -363,8 +363,10 @@ s1 AS (SELECT encounter_id, patient_nbr,
     CASE WHEN diag_3 = '?' THEN NULL ELSE diag_3 END AS diag_3,
     age, time_in_hospital, num_lab_procedures, num_medications, number_diagnoses, readmitted
   FROM loaded WHERE NOT coalesce(discharge_disposition_id IN (11, 13, 14, 19, 20, 21), false)),
-mode_race AS (SELECT race AS m FROM s1 WHERE race IS NOT NULL GROUP BY race ORDER BY count(*) DESC, race LIMIT 1),
-s2 AS (SELECT * REPLACE (coalesce(race, (SELECT m FROM mode_race), 'Unknown') AS race) FROM s1 WHERE NOT coalesce(age IN ('[0-10)', '[10-20)', '[90-100)'), false)),
+s1 AS (SELECT s0.*, atl.v AS admission_type_desc, dd.v AS discharge_disposition_desc, src.v AS admission_source_desc FROM s0
+  LEFT JOIN atl ON s0.admission_type_id = atl.k LEFT JOIN dd ON s0.discharge_disposition_id = dd.k
+  LEFT JOIN src ON s0.admission_source_id = src.k),
+s2 AS (SELECT * REPLACE (coalesce(race, (SELECT race FROM s1 WHERE race IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), 'Unknown') AS race, coalesce(admission_type_desc, (SELECT admission_type_desc FROM s1 WHERE admission_type_desc IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), 'Unknown') AS admission_type_desc, coalesce(discharge_disposition_desc, (SELECT discharge_disposition_desc FROM s1 WHERE discharge_disposition_desc IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), 'Unknown') AS discharge_disposition_desc, coalesce(admission_source_desc, (SELECT admission_source_desc FROM s1 WHERE admission_source_desc IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), 'Unknown') AS admission_source_desc) FROM s1 WHERE NOT coalesce(age IN ('[0-10)', '[10-20)', '[90-100)'), false)),
 s3 AS (SELECT * FROM s2 WHERE patient_nbr IN (SELECT patient_nbr FROM s2 GROUP BY patient_nbr
          HAVING count(DISTINCT encounter_id) <= 13)),
 s4 AS (SELECT * FROM s3 WHERE num_lab_procedures <= 99 AND num_medications <= 63
@@ -372,14 +374,13 @@ s4 AS (SELECT * FROM s3 WHERE num_lab_procedures <= 99 AND num_medications <= 63
 s5 AS (SELECT *, coalesce(CASE WHEN diag_1 IN (SELECT code FROM dmap) THEN diag_1 END,
          CASE WHEN diag_2 IN (SELECT code FROM dmap) THEN diag_2 END,
          CASE WHEN diag_3 IN (SELECT code FROM dmap) THEN diag_3 END, '250') AS diab_code FROM s4)
-SELECT s5.encounter_id, s5.patient_nbr, s5.admission_type_id, atl.v AS admission_type_desc,
-  dd.v AS discharge_disposition_desc, s5.admission_source_id, src.v AS admission_source_desc,
+SELECT s5.encounter_id, s5.patient_nbr, s5.admission_type_id, s5.admission_type_desc,
+  s5.discharge_disposition_desc, s5.admission_source_id, s5.admission_source_desc,
   s5.died_or_hospice, s5.race, s5."A1Cresult", coalesce(s5.diag_1, '0') AS diag_1, coalesce(s5.diag_2, '0') AS diag_2,
   coalesce(s5.diag_3, '0') AS diag_3, {O.icd_sql('s5.diag_1')} AS diag_1_category,
   m.dtype AS diab_type, s5.num_medications / greatest(s5.time_in_hospital, 1)::DOUBLE AS meds_per_day,
   CAST(coalesce(s5.readmitted = '<30', false) AS INTEGER) AS readmitted_binary
-FROM s5 LEFT JOIN atl ON s5.admission_type_id = atl.k LEFT JOIN dd ON s5.discharge_disposition_id = dd.k
-LEFT JOIN src ON s5.admission_source_id = src.k LEFT JOIN dmap m ON s5.diab_code = m.code""")
+FROM s5 LEFT JOIN dmap m ON s5.diab_code = m.code""")
 def q_neural_path(spark, sf):
     from .pipeline import neural_clean
     return neural_clean(raw_encounters(spark, sf)).select(*NEURAL_OUT)

@@ -75,7 +75,7 @@ def q_auc(spark, sf):
 
 
 SWEEP = S + """
-, grid AS (SELECT round(0.1 + range * 0.05, 10) AS threshold FROM range(16)),
+, grid AS (SELECT CAST(round(0.1 + range * 0.05, 10) AS DOUBLE) AS threshold FROM range(16)),
 sw AS (SELECT threshold, CAST(sum(CASE WHEN label = 1 AND score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS tp,
   CAST(sum(CASE WHEN label <> 1 AND score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS fp,
   CAST(sum(CASE WHEN label = 1 AND NOT score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS fn
