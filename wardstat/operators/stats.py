@@ -135,12 +135,6 @@ def normal_two_sided_p(z):
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def significance(p):
-    if p is None:
-        return None
-    return "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "ns"
-
-
 def two_sample_t(df: DataFrame, cols, target: str = TARGET) -> DataFrame:
     """Pooled-variance Student t per feature: n, means, t and degrees of
     freedom from one aggregate.  ``p_value`` is added by ``with_t_pvalues``."""
@@ -174,32 +168,33 @@ def with_t_pvalues(tt: DataFrame) -> DataFrame:
 
 # #82 / #83
 def _corr_terms(x, y):
-    return [F.count(F.when(x.isNotNull() & y.isNotNull(), 1)),
-            F.sum(F.when(y.isNotNull(), x)), F.sum(F.when(x.isNotNull(), y)),
-            F.sum(x * y), F.sum(F.when(y.isNotNull(), x * x)), F.sum(F.when(x.isNotNull(), y * y))]
+    """Centred moments of the rows where both are present (numerically stable
+    aggregates with a partial stage, no raw sums that cancel)."""
+    return [F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)), F.stddev_pop(F.when(x.isNotNull(), y))]
 
 
-def _pearson(n, sx, sy, sxy, sxx, syy):
-    cov = n * sxy - sx * sy
-    vx = n * sxx - sx * sx
-    vy = n * syy - sy * sy
-    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+def _pearson(cov, sx, sy):
+    return F.when((sx > 0) & (sy > 0), cov / (sx * sy))
 
 
-def correlation_matrix(df: DataFrame, cols) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols, complete: bool = False) -> DataFrame:
     """Pearson correlation of every pair (long form ``a, b, corr``) from one
-    aggregate of pairwise sums; zero variance gives null, null pairs skipped.
-    Sums of integer-valued columns are exact in double up to 2^53."""
+    aggregate of pairwise moments; zero variance gives null, null pairs
+    skipped.  ``complete`` says that no column holds nulls: then a column's
+    deviation is taken once and not once per pair."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     aggs = []
     for i, (a, b) in enumerate(pairs):
         x, y = col_of(a).cast("double"), col_of(b).cast("double")
-        aggs += [t.alias(f"p{i}_{j}") for j, t in enumerate(_corr_terms(x, y))]
+        aggs += [t.alias(f"p{i}_{j}") for j, t in enumerate(_corr_terms(x, y)[:1 if complete else 3])]
+    if complete:
+        aggs += [F.stddev_pop(col_of(c).cast("double")).alias(f"s{k}") for k, c in enumerate(cols)]
     m = df.agg(*aggs)
+    at = {c: k for k, c in enumerate(cols)}
     rows = []
     for i, (a, b) in enumerate(pairs):
-        t = [F.col(f"p{i}_{j}") for j in range(6)]
-        r = _pearson(t[0].cast("double"), *t[1:])
+        r = _pearson(F.col(f"p{i}_0"), *([F.col(f"s{at[a]}"), F.col(f"s{at[b]}")] if complete
+                                         else [F.col(f"p{i}_1"), F.col(f"p{i}_2")]))
         rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("corr")))
         if a != b:
             rows.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), r.alias("corr")))
@@ -218,8 +213,8 @@ def target_correlation(df: DataFrame, cols, target: str = TARGET, k: int | None
     m = df.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
-        t = [F.col(f"c{i}_{j}") for j in range(6)]
-        rows.append(F.struct(F.lit(c).alias("feature"), _pearson(t[0].cast("double"), *t[1:]).alias("corr")))
+        r = _pearson(*[F.col(f"c{i}_{j}") for j in range(3)])
+        rows.append(F.struct(F.lit(c).alias("feature"), r.alias("corr")))
     out = m.select(F.explode(F.array(*rows)).alias("r")).select(
         "r.feature", r6("r.corr").alias("corr"), r6(F.abs("r.corr")).alias("abs_corr"))
     w = Window.orderBy(F.col("abs_corr").desc_nulls_last(), F.col("feature"))
@@ -282,10 +277,10 @@ def univariate_odds_categorical(df: DataFrame, col: str, target: str = TARGET) -
                 .otherwise(F.sqrt(1 / F.col("pos") + 1 / F.col("neg") + 1 / F.col("rp") + 1 / F.col("rn"))))
     term = F.when(is_ref, F.lit("Intercept")).otherwise(F.concat(F.lit(f"{col}[T."), F.col("level"), F.lit("]")))
     out = j.select(F.lit(col).alias("feature"), term.alias("term"), coef.alias("coef"), se.alias("stderr"))
-    return out.select("feature", "term", r6("coef").alias("coef"), r6(F.exp("coef")).alias("odds_ratio"),
-                      r6(F.exp(F.col("coef") - 1.96 * F.col("stderr"))).alias("or_ci_low"),
-                      r6(F.exp(F.col("coef") + 1.96 * F.col("stderr"))).alias("or_ci_high"),
-                      r6("stderr").alias("stderr"), r6(F.col("coef") / F.col("stderr")).alias("z"))
+    return out.select("feature", "term", "coef", F.exp("coef").alias("odds_ratio"),
+                      F.exp(F.col("coef") - 1.96 * F.col("stderr")).alias("or_ci_low"),
+                      F.exp(F.col("coef") + 1.96 * F.col("stderr")).alias("or_ci_high"),
+                      "stderr", (F.col("coef") / F.col("stderr")).alias("z"))
 
 
 def with_z_pvalues(t: DataFrame) -> DataFrame:
@@ -298,7 +293,9 @@ def with_z_pvalues(t: DataFrame) -> DataFrame:
     poly = (-x * x - 1.26551223 + tt * (1.00002368 + tt * (0.37409196 + tt * (0.09678418 + tt * (
         -0.18628806 + tt * (0.27886807 + tt * (-1.13520398 + tt * (1.48851587 + tt * (
             -0.82215223 + tt * 0.17087277)))))))))
-    return t.withColumn("p_value", r6(tt * F.exp(poly)))
+    p = tt * F.exp(poly)
+    return t.withColumn("p_value", p).withColumn("flag", F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*")
+                                                 .when(p.isNotNull(), "ns"))
 
 
 # #89 / #90 (fitted GLMs) live in operators.models

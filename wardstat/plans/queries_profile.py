@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import codes
 from ..operators import clean, profile as pf, stats as st
 from . import oracle_sql as O
@@ -309,8 +311,7 @@ def q_ttest(spark, sf):
     return st.two_sample_t(cleaned(spark, sf), KEY_NUMERICAL)
 
 
-CORR_COLS = ["time_in_hospital", "num_lab_procedures", "num_medications", "number_inpatient",
-             "number_diagnoses", "readmitted_binary"]
+CORR_COLS = [*CLEAN_NUMERIC, *([] if "readmitted_binary" in CLEAN_NUMERIC else ["readmitted_binary"])]
 
 
 def _corr_sql(a, b):
@@ -326,7 +327,7 @@ def _corr_sql(a, b):
     f"SELECT {O.q(a)} AS a, {O.q(b)} AS b, {_corr_sql(a, b)} AS corr FROM cleaned"
     for a in CORR_COLS for b in CORR_COLS))
 def q_corr(spark, sf):
-    return st.correlation_matrix(cleaned(spark, sf), CORR_COLS)
+    return st.correlation_matrix(cleaned(spark, sf), CORR_COLS, complete=True)     # the cleaned table is imputed
 
 
 @register("target_correlation", O.CLEANED + ", c AS (" + union(
@@ -379,6 +380,49 @@ def q_status_group(spark, sf):
     return st.slice_by_medication_change(cleaned(spark, sf), "insulin_production_change")
 
 
+def _round6(df, *but):
+    return df.select(*[c if c in but else F.round(c, 6).alias(c) for c in df.columns])
+
+
+def _odds_sql(col):
+    """Closed-form odds of one categorical column, with the two-sided normal
+    p-value by the same Chebyshev form of erfc."""
+    return f"""(WITH c AS (SELECT CAST({col} AS VARCHAR) AS level, sum(CASE WHEN readmitted_binary = 1 THEN 1 ELSE 0 END) AS pos,
+          sum(CASE WHEN readmitted_binary = 0 THEN 1 ELSE 0 END) AS neg FROM cleaned WHERE {col} IS NOT NULL GROUP BY 1),
+r AS (SELECT level AS ref_level, pos AS rp, neg AS rn FROM c ORDER BY level LIMIT 1),
+j AS (SELECT c.*, r.* FROM c CROSS JOIN r),
+k AS (SELECT level = ref_level AS is_ref, level, pos > 0 AND neg > 0 AND rp > 0 AND rn > 0 AS ok,
+        ln(pos / neg) AS lo, ln(rp / rn) AS rlo, pos, neg, rp, rn FROM j),
+e AS (SELECT CASE WHEN is_ref THEN 'Intercept' ELSE '{col}[T.' || level || ']' END AS term,
+        CASE WHEN ok THEN CASE WHEN is_ref THEN rlo ELSE lo - rlo END END AS coef,
+        CASE WHEN ok THEN CASE WHEN is_ref THEN sqrt(1.0 / rp + 1.0 / rn)
+             ELSE sqrt(1.0 / pos + 1.0 / neg + 1.0 / rp + 1.0 / rn) END END AS se FROM k)
+SELECT '{col}' AS feature, term, round(coef, 6) AS coef, round(exp(coef), 6) AS odds_ratio,
+  round(exp(coef - 1.96 * se), 6) AS or_ci_low, round(exp(coef + 1.96 * se), 6) AS or_ci_high,
+  round(se, 6) AS stderr, round(coef / se, 6) AS z, round(p, 6) AS p_value,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' WHEN p IS NOT NULL THEN 'ns' END AS flag
+FROM (SELECT *, u * exp(-x * x - 1.26551223 + u * (1.00002368 + u * (0.37409196 + u * (0.09678418 + u * (-0.18628806 + u * (
+  0.27886807 + u * (-1.13520398 + u * (1.48851587 + u * (-0.82215223 + u * 0.17087277))))))))) AS p
+  FROM (SELECT *, abs(coef / se) / sqrt(2.0) AS x, 1.0 / (1.0 + 0.5 * abs(coef / se) / sqrt(2.0)) AS u FROM e)))"""
+
+
+#: categorical predictors of the study's odds table
+ODDS_COLS = ["race", "gender", "age", "A1Cresult", "insulin", "change", "diabetesMed", "diag_1_category", "diag_2_category",
+             "diag_3_category", "diab_complication_categories"]
+
+
+@register("odds_ratios_categorical", O.CLEANED + " " + " UNION ALL ".join("SELECT * FROM " + _odds_sql(O.ident(c)).replace(f"'{O.ident(c)}", f"'{c}")
+                                                                         for c in ODDS_COLS))
+def q_odds_all(spark, sf):
+    """Odds table over all categorical candidates, with p-values and stars."""
+    c = cleaned(spark, sf)
+    out = None
+    for col in ODDS_COLS:
+        t = st.with_z_pvalues(st.univariate_odds_categorical(c, col))
+        out = t if out is None else out.unionByName(t)
+    return _round6(out, "feature", "term", "flag")
+
+
 @register("odds_ratio_by_age", O.CLEANED + """
 , c AS (SELECT age AS level, sum(CASE WHEN readmitted_binary = 1 THEN 1 ELSE 0 END) AS pos,
           sum(CASE WHEN readmitted_binary = 0 THEN 1 ELSE 0 END) AS neg FROM cleaned WHERE age IS NOT NULL GROUP BY age),
@@ -394,7 +438,7 @@ SELECT 'age' AS feature, term, round(coef, 6) AS coef, round(exp(coef), 6) AS od
   round(exp(coef - 1.96 * se), 6) AS or_ci_low, round(exp(coef + 1.96 * se), 6) AS or_ci_high,
   round(se, 6) AS stderr, round(coef / se, 6) AS z FROM e""")
 def q_odds(spark, sf):
-    return st.univariate_odds_categorical(cleaned(spark, sf), "age")
+    return _round6(st.univariate_odds_categorical(cleaned(spark, sf), "age"), "feature", "term")
 
 
 @register("collapse_rare_diagnoses", O.CLEANED + """
