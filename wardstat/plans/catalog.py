@@ -15,7 +15,7 @@ from .registry import ORACLE, QUERIES, register  # noqa: F401
 SELECT diag_1_category, count(*) AS n, round(avg(readmitted_binary) * 100, 6) AS rate
 FROM cleaned GROUP BY diag_1_category""")
 def q_rate_by_diag(spark, sf):
-    return stats.rate_by(cleaned(spark, sf), "diag_1_category")
+    return stats.rate_by(cleaned(spark, sf, ["diag_1_category", "readmitted_binary"]), "diag_1_category")
 
 from . import queries_base  # noqa: E402,F401
 from . import queries_profile  # noqa: E402,F401

@@ -36,9 +36,23 @@ def raw_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _RAW_PLANS[key]
 
 
+#: derived columns of the cleaned table: (names, source columns, operator)
+DERIVED = (
+    (("diag_1_category", "diag_2_category", "diag_3_category"), ("diag_1", "diag_2", "diag_3"), feat.icd9_categories),
+    (("diab_code", "diab_type", "diab_control", "diab_complication_binary", "diab_complication_categories"),
+     ("diag_1", "diag_2", "diag_3"), feat.diabetes_fields),
+    (("meds_per_day", "procedures_per_day", "labs_per_day"),
+     ("num_medications", "num_procedures", "num_lab_procedures", "time_in_hospital"), feat.per_day_rates),
+    ((codes.TARGET,), ("readmitted",), feat.binary_target),
+)
+
+
 def clean_encounters(raw: DataFrame, threshold: float = SPARSE_THRESHOLD,
-                     cut: bool = True) -> DataFrame:
-    """Automated-path cleaning: markers to null, A1C 'NoTest', sparse columns
+                     cut: bool = True, columns=None) -> DataFrame:
+    """``columns`` names the cleaned columns that are asked for: then only
+    they and their sources are read, written and counted.
+
+    Automated-path cleaning: markers to null, A1C 'NoTest', sparse columns
     dropped, ICD groups, diabetes fields, per-day rates, target, imputation,
     first encounter per patient.
 
@@ -47,29 +61,33 @@ def clean_encounters(raw: DataFrame, threshold: float = SPARSE_THRESHOLD,
     separate aggregate, not a ``Dataset.observe``: an Observation makes the
     session unserialisable, and Spark ML models that capture it then fail to
     score.)"""
+    steps = [d for d in DERIVED if columns is None or not set(d[0]).isdisjoint(columns)]
+    if columns is not None:
+        read = {"encounter_id", "patient_nbr", *columns, *(s for d in steps for s in d[1])}
+        raw = raw.select(*[c for c in raw.columns if c in read])
     df = clean.null_if_marker(raw)
-    df = clean.fill_marker(df, "A1Cresult", "NoTest")
+    if "A1Cresult" in df.columns:
+        df = clean.fill_marker(df, "A1Cresult", "NoTest")
     if cut:
         df = cut_lineage(df, "nulled")
     counts = clean.null_counts(df)
     df, _ = clean.drop_sparse_columns(df, threshold, counts)
-    df = feat.icd9_categories(df)
-    df = feat.diabetes_fields(df)
-    df = feat.per_day_rates(df)
-    df = feat.binary_target(df)
+    for _, _, operator in steps:
+        df = operator(df)
     # derived columns are null-free by construction
     derived = {c: 0 for c in df.columns if c not in counts}
     df = clean.impute(df, counts={**counts, **derived})
-    return clean.first_encounter_per_patient(df)
+    df = clean.first_encounter_per_patient(df)
+    return df if columns is None else df.select(*dict.fromkeys(columns))
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned table.  The adapter's joins and its 50 text projections run
+def cleaned(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    """Cleaned table, or the ``columns`` of it.  The adapter's joins and its 50 text projections run
     once (the marker-nulled table is written under the checkpoint folder);
     the statistics passes and the final query read only the columns they
     need from it.  (Cutting at the narrow joined base instead writes less but
     recomputes the text projections in every pass: measured 25 % slower.)"""
-    return clean_encounters(raw_encounters(spark, sf_dir), cut=True)
+    return clean_encounters(raw_encounters(spark, sf_dir), cut=True, columns=columns)
 
 
 def engineer(df: DataFrame) -> DataFrame:
@@ -132,7 +150,7 @@ def score_expr() -> F.Column:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(key, label, score)`` over the cleaned table."""
-    return cleaned(spark, sf_dir).select(
+    return cleaned(spark, sf_dir, ["encounter_id", codes.TARGET, "number_inpatient", "time_in_hospital", "number_diagnoses"]).select(
         F.col("encounter_id").alias("key"),
         F.col(codes.TARGET).alias("label"),
         score_expr().alias("score"))

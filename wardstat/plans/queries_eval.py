@@ -180,13 +180,13 @@ RACE_LEVELS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]  # first sorte
     f"CAST(coalesce(race = '{v}', false) AS INTEGER) AS race_{v}" for v in RACE_LEVELS)
     + ", CAST(coalesce(gender = 'Male', false) AS INTEGER) AS \"gender_Male\" FROM cleaned")
 def q_onehot(spark, sf):
-    return enc.one_hot(cleaned(spark, sf).select("encounter_id", "race", "gender"), ["race", "gender"])
+    return enc.one_hot(cleaned(spark, sf, ["encounter_id", "race", "gender"]), ["race", "gender"])
 
 
 @register("label_index_age", O.CLEANED + """
 SELECT encounter_id, age, CAST(dense_rank() OVER (ORDER BY age) - 1 AS INTEGER) AS age_idx FROM cleaned""")
 def q_label_index(spark, sf):
-    return enc.label_index(cleaned(spark, sf).select("encounter_id", "age"), "age")
+    return enc.label_index(cleaned(spark, sf, ["encounter_id", "age"]), "age")
 
 
 SCALE_COLS = ["time_in_hospital", "num_medications", "number_inpatient"]
@@ -198,7 +198,7 @@ SCALE_COLS = ["time_in_hospital", "num_medications", "number_inpatient"]
     f"round((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END, 6) AS {c}" for c in SCALE_COLS)
     + " FROM cleaned, s")
 def q_scale(spark, sf):
-    df = enc.standard_scale(cleaned(spark, sf).select("encounter_id", *SCALE_COLS), SCALE_COLS)
+    df = enc.standard_scale(cleaned(spark, sf, ["encounter_id", *SCALE_COLS]), SCALE_COLS)
     return df.select("encounter_id", *[r6(F.col(c)).alias(c) for c in SCALE_COLS])
 
 
@@ -206,7 +206,7 @@ def q_scale(spark, sf):
 SELECT encounter_id, diag_1_category, count(*) OVER (PARTITION BY diag_1_category) AS diag_1_category_freq
 FROM cleaned""")
 def q_freq_enc(spark, sf):
-    return enc.frequency_encode(cleaned(spark, sf).select("encounter_id", "diag_1_category"), "diag_1_category")
+    return enc.frequency_encode(cleaned(spark, sf, ["encounter_id", "diag_1_category"]), "diag_1_category")
 
 
 @register("target_encode_age", O.CLEANED + """
@@ -228,7 +228,7 @@ PAIR_COLS = ["time_in_hospital", "num_medications", "number_inpatient", "number_
     f"CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE) AS {a}_x_{b}"
     for i, a in enumerate(PAIR_COLS) for b in PAIR_COLS[i + 1:]) + " FROM cleaned")
 def q_pairs(spark, sf):
-    return enc.pairwise_interactions(cleaned(spark, sf).select("encounter_id", *PAIR_COLS), PAIR_COLS)
+    return enc.pairwise_interactions(cleaned(spark, sf, ["encounter_id", *PAIR_COLS]), PAIR_COLS)
 
 
 def _corr_list_sql():
@@ -242,7 +242,7 @@ SELECT feature, corr, abs(corr) AS abs_corr, rank FROM (SELECT feature, corr,
   row_number() OVER (ORDER BY abs(corr) DESC NULLS LAST, feature) AS rank FROM {_corr_list_sql()}) WHERE abs(corr) > 0.01""")
 def q_select_corr(spark, sf):
     from .queries_profile import CLEAN_NUMERIC
-    return enc.select_by_correlation(cleaned(spark, sf), CLEAN_NUMERIC, 0.01)
+    return enc.select_by_correlation(cleaned(spark, sf, [*CLEAN_NUMERIC, codes.TARGET]), CLEAN_NUMERIC, 0.01)
 
 
 def _mi_sql(cols, bins=10):
@@ -267,7 +267,7 @@ mir AS (SELECT feature, round(mi, 6) AS mi, row_number() OVER (ORDER BY round(mi
 
 @register("mutual_information", O.CLEANED + _mi_sql(KEY_NUMERICAL) + " SELECT * FROM mir")
 def q_mi(spark, sf):
-    return enc.mutual_information(cleaned(spark, sf), KEY_NUMERICAL)
+    return enc.mutual_information(cleaned(spark, sf, [*KEY_NUMERICAL, codes.TARGET]), KEY_NUMERICAL)
 
 
 @register("consensus_vote", O.CLEANED + _mi_sql(KEY_NUMERICAL) + f"""
@@ -308,13 +308,13 @@ RANKED = """
 @register("stratified_split", O.CLEANED + RANKED + """
 SELECT encounter_id, readmitted_binary, CASE WHEN rnk <= round(n_c * 0.2) THEN 'test' ELSE 'train' END AS split FROM rk""")
 def q_split(spark, sf):
-    return bal.stratified_split(cleaned(spark, sf).select("encounter_id", codes.TARGET), 0.2)
+    return bal.stratified_split(cleaned(spark, sf, ["encounter_id", codes.TARGET]), 0.2)
 
 
 @register("stratified_folds", O.CLEANED + RANKED + """
 SELECT encounter_id, readmitted_binary, CAST((rnk - 1) % 5 AS INTEGER) AS fold FROM rk""")
 def q_folds(spark, sf):
-    return bal.stratified_folds(cleaned(spark, sf).select("encounter_id", codes.TARGET), 5)
+    return bal.stratified_folds(cleaned(spark, sf, ["encounter_id", codes.TARGET]), 5)
 
 
 @register("stratified_sample", O.LOADED + """
@@ -331,7 +331,7 @@ def q_sample(spark, sf):
 SELECT encounter_id, readmitted_binary FROM rk WHERE readmitted_binary = 1
    OR rnk <= (SELECT count(*) FROM cleaned WHERE readmitted_binary = 1)""")
 def q_under(spark, sf):
-    return bal.undersample(cleaned(spark, sf).select("encounter_id", codes.TARGET), 1.0)
+    return bal.undersample(cleaned(spark, sf, ["encounter_id", codes.TARGET]), 1.0)
 
 
 @register("oversample_random", O.CLEANED + RANKED + """
@@ -343,7 +343,7 @@ SELECT encounter_id, readmitted_binary, CAST(NULL AS BIGINT) AS draw FROM cleane
 UNION ALL SELECT rk.encounter_id, rk.readmitted_binary, draws.draw FROM draws JOIN rk
   ON rk.readmitted_binary = 1 AND rk.rnk = draws.pick""")
 def q_over(spark, sf):
-    return bal.oversample_random(cleaned(spark, sf).select("encounter_id", codes.TARGET))
+    return bal.oversample_random(cleaned(spark, sf, ["encounter_id", codes.TARGET]))
 
 
 @register("oversample_tile", O.CLEANED + """
@@ -353,18 +353,18 @@ SELECT encounter_id, readmitted_binary, 0 AS copy FROM cleaned WHERE readmitted_
 UNION ALL SELECT encounter_id, readmitted_binary, CAST(s.copy AS INTEGER) FROM cleaned,
   (SELECT unnest(range(1, (SELECT k FROM f) + 1)) AS copy) s WHERE readmitted_binary = 1""")
 def q_tile(spark, sf):
-    return bal.oversample_tile(cleaned(spark, sf).select("encounter_id", codes.TARGET))
+    return bal.oversample_tile(cleaned(spark, sf, ["encounter_id", codes.TARGET]))
 
 
 @register("class_weights", O.CLEANED + """
 SELECT readmitted_binary AS class, count(*) AS n,
   round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM cleaned GROUP BY readmitted_binary""")
 def q_weights(spark, sf):
-    return bal.class_weights(cleaned(spark, sf)).withColumn("weight", F.round("weight", 6))
+    return bal.class_weights(cleaned(spark, sf, [codes.TARGET])).withColumn("weight", F.round("weight", 6))
 
 
 @register("class_balance", O.CLEANED + """
 SELECT readmitted_binary AS class, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
 FROM cleaned GROUP BY readmitted_binary""")
 def q_balance(spark, sf):
-    return bal.class_balance(cleaned(spark, sf))
+    return bal.class_balance(cleaned(spark, sf, [codes.TARGET]))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions import codes
 from ..operators import balance as bal, encode as enc, models as ml, neighbours as nb
 from ..session import cut_lineage
 from .registry import register
@@ -65,7 +66,7 @@ def q_l1(spark, sf):
 
 @register("glm_univariate")
 def q_glm_uni(spark, sf):
-    return ml.univariate_glm(cleaned(spark, sf), KEY_NUMERICAL)
+    return ml.univariate_glm(cleaned(spark, sf, [*KEY_NUMERICAL, codes.TARGET]), KEY_NUMERICAL)
 
 
 @register("glm_multivariable")

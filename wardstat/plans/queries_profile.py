@@ -126,7 +126,7 @@ r AS (SELECT "column", count(*) OVER (PARTITION BY "column") AS n_distinct,
 SELECT "column", n_distinct, rank, value, n, round(n * 100.0 / (SELECT count(*) FROM cleaned), 6) AS pct
 FROM r WHERE rank <= 3""")
 def q_top_categories(spark, sf):
-    return pf.top_categories(cleaned(spark, sf), KEY_CATEGORICAL)
+    return pf.top_categories(cleaned(spark, sf, KEY_CATEGORICAL), KEY_CATEGORICAL)
 
 
 @register("entity_summary", O.LOADED + """
@@ -173,7 +173,7 @@ SELECT g.bin, round(s.lo + g.bin * ((s.hi - s.lo) / 30), 6) AS bin_lo,
   round(s.med, 6) AS median
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(0, 30)) g CROSS JOIN s LEFT JOIN c ON g.bin = c.bin""")
 def q_hist(spark, sf):
-    return pf.histogram(cleaned(spark, sf), "num_lab_procedures", 30)
+    return pf.histogram(cleaned(spark, sf, ["num_lab_procedures"]), "num_lab_procedures", 30)
 
 
 @register("box_stats_medications", O.CLEANED + """
@@ -189,7 +189,7 @@ SELECT round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round
 FROM (SELECT CAST(num_medications AS DOUBLE) AS x FROM cleaned WHERE num_medications IS NOT NULL), f
 GROUP BY q1, median, q3, iqr, lo_fence, hi_fence""")
 def q_box(spark, sf):
-    return pf.box_stats(cleaned(spark, sf), "num_medications")
+    return pf.box_stats(cleaned(spark, sf, ["num_medications"]), "num_medications")
 
 
 def _profile_sql(cols, src):
@@ -205,13 +205,13 @@ def _profile_sql(cols, src):
 
 @register("numeric_profile", O.CLEANED + " " + _profile_sql(KEY_NUMERICAL, "cleaned"))
 def q_numeric_profile(spark, sf):
-    return pf.numeric_profile(cleaned(spark, sf), KEY_NUMERICAL)
+    return pf.numeric_profile(cleaned(spark, sf, KEY_NUMERICAL), KEY_NUMERICAL)
 
 
 @register("skewed_columns", O.CLEANED + " SELECT ord, \"column\", skew FROM (" + _profile_sql(
     KEY_NUMERICAL, "cleaned") + ") WHERE abs(skew) > 1")
 def q_skewed(spark, sf):
-    return pf.skewed_columns(cleaned(spark, sf), KEY_NUMERICAL)
+    return pf.skewed_columns(cleaned(spark, sf, KEY_NUMERICAL), KEY_NUMERICAL)
 
 
 @register("dataset_summary", O.LOADED + """
@@ -243,14 +243,14 @@ def q_eda(spark, sf):
 @register("rate_by_age", O.CLEANED + """
 SELECT age, count(*) AS n, round(avg(readmitted_binary) * 100, 6) AS rate FROM cleaned GROUP BY age""")
 def q_rate_age(spark, sf):
-    return st.rate_by(cleaned(spark, sf), "age")
+    return st.rate_by(cleaned(spark, sf, ["age", codes.TARGET]), "age")
 
 
 @register("rate_by_time_in_hospital", O.CLEANED + """
 SELECT time_in_hospital, count(*) AS n, round(avg(readmitted_binary) * 100, 6) AS rate
 FROM cleaned GROUP BY time_in_hospital""")
 def q_rate_stay(spark, sf):
-    return st.rate_by(cleaned(spark, sf), "time_in_hospital")
+    return st.rate_by(cleaned(spark, sf, ["time_in_hospital", codes.TARGET]), "time_in_hospital")
 
 
 @register("rate_by_medication_bins", O.CLEANED + """
@@ -280,7 +280,7 @@ def q_crosstab(spark, sf):
 SELECT level, round(r * 100, 6) AS rate FROM (SELECT diag_1_category AS level, avg(readmitted_binary) AS r
 FROM cleaned GROUP BY 1) ORDER BY r DESC, level LIMIT 1""")
 def q_riskiest(spark, sf):
-    return st.riskiest_level(cleaned(spark, sf), "diag_1_category")
+    return st.riskiest_level(cleaned(spark, sf, ["diag_1_category", codes.TARGET]), "diag_1_category")
 
 
 def _moments_sql(cols):
@@ -300,7 +300,7 @@ def _moments_sql(cols):
 SELECT feature, round(m1, 6) AS mean_1, round(m0, 6) AS mean_0, round(m1 - m0, 6) AS diff,
   round((m1 - m0) / nullif(m0, 0) * 100, 6) AS pct_diff FROM m""")
 def q_mean_diff(spark, sf):
-    return st.mean_difference(cleaned(spark, sf), KEY_NUMERICAL[:5])
+    return st.mean_difference(cleaned(spark, sf, [*KEY_NUMERICAL[:5], codes.TARGET]), KEY_NUMERICAL[:5])
 
 
 @register("two_sample_t", O.CLEANED + ", m AS (" + _moments_sql(KEY_NUMERICAL) + """),
@@ -308,7 +308,7 @@ s AS (SELECT *, sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / nullif(n1 + n0 - 2, 0) *
 SELECT feature, n1 AS n_1, n0 AS n_0, round((m1 - m0) / CASE WHEN se > 0 THEN se END, 6) AS t,
   CAST(n1 + n0 - 2 AS BIGINT) AS dof FROM s""")
 def q_ttest(spark, sf):
-    return st.two_sample_t(cleaned(spark, sf), KEY_NUMERICAL)
+    return st.two_sample_t(cleaned(spark, sf, [*KEY_NUMERICAL, "readmitted_binary"]), KEY_NUMERICAL)
 
 
 CORR_COLS = [*CLEAN_NUMERIC, *([] if "readmitted_binary" in CLEAN_NUMERIC else ["readmitted_binary"])]
@@ -327,7 +327,7 @@ def _corr_sql(a, b):
     f"SELECT {O.q(a)} AS a, {O.q(b)} AS b, {_corr_sql(a, b)} AS corr FROM cleaned"
     for a in CORR_COLS for b in CORR_COLS))
 def q_corr(spark, sf):
-    return st.correlation_matrix(cleaned(spark, sf), CORR_COLS, complete=True)     # the cleaned table is imputed
+    return st.correlation_matrix(cleaned(spark, sf, CORR_COLS), CORR_COLS, complete=True)     # the cleaned table is imputed
 
 
 @register("target_correlation", O.CLEANED + ", c AS (" + union(
@@ -336,7 +336,7 @@ def q_corr(spark, sf):
 SELECT feature, corr, abs(corr) AS abs_corr, row_number() OVER (ORDER BY abs(corr) DESC NULLS LAST, feature)
   AS rank FROM c""")
 def q_target_corr(spark, sf):
-    return st.target_correlation(cleaned(spark, sf), CLEAN_NUMERIC)
+    return st.target_correlation(cleaned(spark, sf, CORR_COLS), CLEAN_NUMERIC)
 
 
 def _status_sql(cols, src="cleaned"):
@@ -415,7 +415,7 @@ ODDS_COLS = ["race", "gender", "age", "A1Cresult", "insulin", "change", "diabete
                                                                          for c in ODDS_COLS))
 def q_odds_all(spark, sf):
     """Odds table over all categorical candidates, with p-values and stars."""
-    c = cleaned(spark, sf)
+    c = cleaned(spark, sf, [*ODDS_COLS, "readmitted_binary"])
     out = None
     for col in ODDS_COLS:
         t = st.with_z_pvalues(st.univariate_odds_categorical(c, col))
@@ -438,7 +438,7 @@ SELECT 'age' AS feature, term, round(coef, 6) AS coef, round(exp(coef), 6) AS od
   round(exp(coef - 1.96 * se), 6) AS or_ci_low, round(exp(coef + 1.96 * se), 6) AS or_ci_high,
   round(se, 6) AS stderr, round(coef / se, 6) AS z FROM e""")
 def q_odds(spark, sf):
-    return _round6(st.univariate_odds_categorical(cleaned(spark, sf), "age"), "feature", "term")
+    return _round6(st.univariate_odds_categorical(cleaned(spark, sf, ["age", "readmitted_binary"]), "age"), "feature", "term")
 
 
 @register("collapse_rare_diagnoses", O.CLEANED + """
@@ -446,4 +446,4 @@ def q_odds(spark, sf):
 SELECT encounter_id, CASE WHEN diag_1 IS NULL OR diag_1 IN (SELECT lvl FROM s) THEN diag_1 ELSE 'Other' END AS diag_1
 FROM cleaned""")
 def q_collapse(spark, sf):
-    return st.collapse_rare_levels(cleaned(spark, sf).select("encounter_id", "diag_1"), ["diag_1"])
+    return st.collapse_rare_levels(cleaned(spark, sf, ["encounter_id", "diag_1"]), ["diag_1"])
