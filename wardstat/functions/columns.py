@@ -131,10 +131,6 @@ def merge_codes(c, mapping: dict) -> Column:
     return expr.otherwise(x) if expr is not None else x
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    return F.try_divide(num.cast("double"), den.cast("double"))
-
-
 def r6(c: Column) -> Column:
     """Round doubles at output so engines that sum in a different order agree."""
     return F.round(c, 6)

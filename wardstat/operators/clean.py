@@ -163,12 +163,6 @@ def null_shares(df: DataFrame) -> DataFrame:
                   *[F.sum(col_of(c).isNull().cast("int")).alias(c) for c in df.columns])
 
 
-def null_count_columns(df: DataFrame) -> dict:
-    """Aggregate expressions: row count and null count per column."""
-    return {"__n": F.count(F.lit(1)),
-            **{c: F.sum(col_of(c).isNull().cast("int")) for c in df.columns}}
-
-
 def null_counts(df: DataFrame) -> dict:
     """``{column: null count}`` plus ``__n`` (one row to the driver)."""
     row = null_shares(df).first()
@@ -271,13 +265,3 @@ def quality_check(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(nulls, F.lit(0)).cast("bigint").alias("null_cells"),
                   dup.cast("bigint").alias("duplicate_rows"))
 
-
-def metric_rows(spark, pairs) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in pairs], "metric string, value bigint")
-
-
-def long_metrics(df: DataFrame, names) -> DataFrame:
-    """Wide one-row metrics -> ``(metric, value)`` rows (order kept in ``ord``)."""
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
-        for i, n in enumerate(names)])).alias("m")).select("m.*")

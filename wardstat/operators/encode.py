@@ -1,8 +1,7 @@
 """Encoding and feature selection (#106-#118).
 
 Level lists (one-hot, label index) are distinct values of categorical
-columns: bounded by the code domain, computed with a grouped aggregate and
-broadcast back after a size check.
+columns; joined back as the planner sees fit.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.columns import col_of, r6
 from ..session import cut_lineage
-from .features import broadcast_if_small
 
 MAX_LEVELS = 10_000
 
@@ -109,7 +107,7 @@ def standard_scale(df: DataFrame, cols, fit_on: DataFrame | None = None,
 def frequency_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     out = out or f"{col}_freq"
     f = df.groupBy(col_of(col).alias("_v")).agg(F.count(F.lit(1)).alias(out))
-    return df.join(broadcast_if_small(f), col_of(col).eqNullSafe(F.col("_v")), "left").drop("_v")
+    return df.join(f, col_of(col).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
 # #111
@@ -121,7 +119,7 @@ def target_encode(df: DataFrame, col: str, fit_on: DataFrame | None = None,
     fit_on = fit_on if fit_on is not None else df
     te = fit_on.groupBy(col_of(col).alias("_v")).agg(F.avg(col_of(target)).alias("_te"))
     prior = fit_on.agg(F.avg(col_of(target)).alias("_prior"))
-    j = df.join(broadcast_if_small(te), col_of(col).eqNullSafe(F.col("_v")), "left").crossJoin(F.broadcast(prior))
+    j = df.join(te, col_of(col).eqNullSafe(F.col("_v")), "left").crossJoin(F.broadcast(prior))
     return j.withColumn(out, F.coalesce("_te", "_prior")).drop("_v", "_te", "_prior")
 
 

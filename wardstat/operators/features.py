@@ -15,16 +15,6 @@ from ..functions.columns import (age_lower_bound, cmp_flag, col_of, complication
                                  first_matching_code, group_change, icd9_from_parts, icd9_parts,
                                  interval_bins, isin_flag, map_lookup, merge_codes)
 
-BROADCAST_ROW_LIMIT = 100_000
-
-
-def broadcast_if_small(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``small`` only when its row count is proven below ``limit``;
-    otherwise leave the join to the planner (sort-merge / AQE)."""
-    n = small.limit(limit + 1).count()
-    return F.broadcast(small) if n <= limit else small
-
-
 # #21 ----------------------------------------------------------------------
 DIAB_KEYS = [c for c, _, _ in codes.DIABETES_CODES]
 
@@ -45,22 +35,7 @@ def diabetes_fields(df: DataFrame, diag_cols=("diag_1", "diag_2", "diag_3")) ->
     }).drop("_desc")
 
 
-def lookup_code(df: DataFrame, col: str, pairs, out: str) -> DataFrame:
-    return df.withColumn(out, map_lookup(col, pairs))
-
-
 # #22 ----------------------------------------------------------------------
-def lookup_label(df: DataFrame, id_col: str, labels: DataFrame, out: str,
-                 key_col: str = "key", label_col: str = "label") -> DataFrame:
-    """Left join to a ``(key, label)`` table; unmatched -> null."""
-    m = labels.select(F.col(key_col).alias("_k"), F.col(label_col).alias(out))
-    return df.join(broadcast_if_small(m), col_of(id_col) == F.col("_k"), "left").drop("_k")
-
-
-def label_table(spark, mapping: dict) -> DataFrame:
-    return spark.createDataFrame([(int(k), v) for k, v in mapping.items()], "key int, label string")
-
-
 # #23 ----------------------------------------------------------------------
 def normalise_key(c) -> F.Column:
     t = F.trim(col_of(c).cast("string"))
@@ -80,7 +55,7 @@ def lookup_label_normalised(df: DataFrame, feature: str, sectioned: DataFrame,
                         F.lit(codes.MISSING_LABEL))
                  .otherwise(F.trim("label")).alias("_lab")))
     j = df.withColumn("_nk", normalise_key(feature)).join(
-        broadcast_if_small(m), F.col("_nk") == F.col("_k"), "left")
+        m, F.col("_nk") == F.col("_k"), "left")
     return j.withColumn(out, F.coalesce(F.col("_lab"), F.lit(codes.MISSING_LABEL))) \
         .drop("_nk", "_k", "_lab")
 

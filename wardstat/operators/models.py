@@ -291,6 +291,3 @@ def run_metadata(spark: SparkSession, model_name: str, features, metrics: dict,
 def write_metadata(meta: DataFrame, path: str) -> None:
     meta.coalesce(1).write.mode("overwrite").json(path)
 
-
-def metadata_json(meta: DataFrame) -> str:
-    return json.dumps(meta.first().asDict(recursive=True))

@@ -306,14 +306,13 @@ def collapse_rare_levels(df: DataFrame, cols, min_share: float = 0.01, other: st
     """Levels whose share of rows is under ``min_share`` become ``other``.
 
     Level shares come from one grouped count per column (bounded by the
-    number of levels) and are broadcast back after a size check."""
-    from .features import broadcast_if_small
+    number of levels) and are joined back."""
     n = df.count()
     out = df
     for c in cols:
         keep = (df.groupBy(col_of(c).alias("_lvl")).agg(F.count(F.lit(1)).alias("_n"))
                 .filter(F.col("_n") / F.lit(n) >= min_share).select("_lvl", F.lit(True).alias("_keep")))
-        out = out.join(broadcast_if_small(keep), col_of(c).eqNullSafe(F.col("_lvl")), "left")
+        out = out.join(keep, col_of(c).eqNullSafe(F.col("_lvl")), "left")
         out = out.withColumn(c, F.when(F.col("_keep") | col_of(c).isNull(), col_of(c)).otherwise(F.lit(other))) \
             .drop("_lvl", "_keep")
     return out

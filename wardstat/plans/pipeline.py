@@ -126,16 +126,6 @@ def neural_clean(raw: DataFrame) -> DataFrame:
     return clean.range_trim(df)
 
 
-def neural_features(df: DataFrame) -> DataFrame:
-    df = feat.total_prior_visits(df)
-    df = feat.high_utilizer(df)
-    df = feat.squared_terms(df)
-    df = feat.indicator_flags(df)
-    df = feat.indicator_flags_extended(df)
-    df = feat.product_features(df)
-    return feat.flag_products(df)
-
-
 # A deterministic score on the cleaned table, used to exercise the evaluation
 # operators without a fitted model: an integer combination over a constant,
 # so every engine computes the same double.
@@ -156,13 +146,6 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         score_expr().alias("score"))
 
 
-def run_automated(spark: SparkSession, sf_dir: str) -> dict:
-    """Materialise cleaned and featured tables (lineage cut between stages)."""
-    c = materialize(cleaned(spark, sf_dir), spark, "cleaned")
-    f = materialize(engineer(c), spark, "featured")
-    return {"cleaned": c, "featured": f}
-
-
 def cleaning_report(spark: SparkSession, sf_dir: str, threshold: float = SPARSE_THRESHOLD) -> DataFrame:
     """``(ord, metric, value)``: initial / final rows and columns, rows
     removed, columns dropped, '?' markers converted, missing cells left."""
