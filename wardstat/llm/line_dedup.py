@@ -102,13 +102,42 @@ def probe_keys(line: Column, p: LineParams) -> Column:
     return F.array(*keys)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _common_prefix(a: Column, b: Column, n: Column) -> Column:
+    """Length of the common prefix of two texts, at most ``n``, by halving."""
+    def step(at, size):
+        fits = (at + size <= n) & (F.substring(a, at + 1, size) == F.substring(b, at + 1, size))
+        return F.when(fits, at + size).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(24, -1, -1)]), F.lit(0), step)
+
+
 def within(a: Column, b: Column, threshold: int) -> Column:
-    """True where the edit distance of two lines is at most ``threshold``.
+    """True where the edit distance of two lines is at most ``threshold``:
+    common prefix and suffix are taken off, which does not change it, and the
+    rest is verified by bits."""
+    def middle(s, cut):
+        n = F.least(F.length(s["a"]), F.length(s["b"]))
+        return _let(_common_prefix(s["a"], s["b"], n), lambda k: F.struct(
+            cut(F.substring(s["a"], k + 1, F.length(s["a"]))).alias("a"), cut(F.substring(s["b"], k + 1, F.length(s["b"]))).alias("b")))
+
+    def rest(s):
+        return _let(middle(s, F.reverse), lambda r: _let(middle(r, F.reverse), lambda m: _within_bits(m["a"], m["b"], threshold)))
+
+    return _let(F.struct(a.alias("a"), b.alias("b")), rest)
+
+
+def _within_bits(a: Column, b: Column, threshold: int) -> Column:
+    """The banded bit-parallel test.
 
     Bit d + threshold of word e says: the characters of b read so far match a
     prefix of a that is d longer, with e errors.  Reading a character keeps
     matching bits, takes bits of word e - 1 as they are (substitution) or one
-    down (insertion), and spreads them one up (deletion).
+    down (insertion), and spreads them one up (deletion).  Once no bit is left
+    the rest is passed over.
     """
     t = threshold
     band = (1 << (2 * t + 1)) - 1
@@ -122,33 +151,40 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     names = [f"w{e}" for e in range(t + 1)]
     start = spread([F.lit(1 << t)] + [F.lit(0)] * t)
 
-    def step(state, j):
+    def any_bit(state):
+        any_word = state[names[0]]
+        for k in names[1:]:
+            any_word = any_word.bitwiseOR(state[k])
+        return any_word
+
+    def step(state, j, chars):
         same = F.lit(0)
         for d in range(-t, t + 1):
-            ok = (j + d >= 0) & F.get(state["ca"], j + d).eqNullSafe(F.get(state["cb"], j))
+            ok = (j + d >= 0) & F.get(chars["a"], j + d).eqNullSafe(F.get(chars["b"], j))
             same = same + F.when(ok, F.lit(1 << (d + t))).otherwise(0)
-        words = []
-        for e in range(t + 1):
-            w = state[names[e]].bitwiseAND(same)
-            if e:
-                before = state[names[e - 1]]
-                w = w.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1))
-            words.append(w)
-        return F.struct(*[w.alias(k) for w, k in zip(spread(words), names)], state["ca"].alias("ca"), state["cb"].alias("cb"))
+
+        def words_of(bits):
+            words = []
+            for e in range(t + 1):
+                w = state[names[e]].bitwiseAND(bits)
+                if e:
+                    before = state[names[e - 1]]
+                    w = w.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1))
+                words.append(w)
+            return F.struct(*[w.alias(k) for w, k in zip(spread(words), names)])
+
+        return F.when(any_bit(state) == 0, state).otherwise(_let(same, words_of))
 
     n = F.length(b)
     goal = F.length(a) - n + t
-    # the characters ride in the state, so the lines are split once
-    first = F.struct(*[w.cast("int").alias(k) for w, k in zip(start, names)], F.split(a, "").alias("ca"), F.split(b, "").alias("cb"))
+    first = F.struct(*[w.cast("int").alias(k) for w, k in zip(start, names)])
+    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def reached(state):
-        any_word = state[names[0]]
-        for k in names[1:]:
-            any_word = any_word.bitwiseOR(state[k])
-        return F.call_function("shiftright", any_word, goal).bitwiseAND(F.lit(1)) == 1
+    def run(chars):
+        return F.aggregate(steps, first, lambda state, j: step(state, j, chars),
+                           lambda state: F.call_function("shiftright", any_bit(state), goal).bitwiseAND(F.lit(1)) == 1)
 
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return (goal >= 0) & (goal <= 2 * t) & F.aggregate(steps, first, step, reached)
+    return (goal >= 0) & (goal <= 2 * t) & _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
 
 
 def near_lines(distinct: DataFrame, keyed: DataFrame, p: LineParams) -> DataFrame:
