@@ -23,3 +23,4 @@ from . import queries_eval  # noqa: E402,F401
 from . import queries_neighbours  # noqa: E402,F401
 from . import queries_models  # noqa: E402,F401
 from . import queries_reports  # noqa: E402,F401
+from . import queries_sources  # noqa: E402,F401

@@ -48,6 +48,11 @@ def q_pr(spark, sf):
     return ev.pr_curve(scored(spark, sf))
 
 
+PR_POINTS_SQL = S + G + """
+SELECT score AS threshold, round(cum_pos / (cum_pos + cum_neg), 6) AS precision, round(cum_pos / P, 6) AS recall
+FROM c WHERE cum_pos - pos < P"""
+
+
 @register("average_precision", S + G + """
 SELECT round(sum(pos * (cum_pos / (cum_pos + cum_neg))) / max(P), 6) AS average_precision FROM c""")
 def q_ap(spark, sf):

@@ -76,7 +76,13 @@ def q_tomek(spark, sf):
     return nb.tomek_links(emb_binary(spark, sf), "vec_id", "embedding", "y")
 
 
-@register("smote_tomek_counts")
+@register("smote_tomek_counts", SMOTE_SQL + f"""
+, nn2 AS (SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id
+          ORDER BY {DIST}, md5(CAST(b.vec_id AS VARCHAR)), b.vec_id) AS rk FROM allr a JOIN allr b ON a.vec_id <> b.vec_id) WHERE rk = 1),
+mutual AS (SELECT x.a, x.b FROM nn2 x JOIN nn2 z ON x.a = z.b AND x.b = z.a),
+gone AS (SELECT mutual.a AS k FROM mutual JOIN allr p ON p.vec_id = mutual.a JOIN allr q ON q.vec_id = mutual.b WHERE p.y <> q.y)
+SELECT CAST(y AS INTEGER) AS y, CAST(synthetic AS INTEGER) AS synthetic, count(*) AS n FROM allr
+WHERE vec_id NOT IN (SELECT k FROM gone) GROUP BY y, synthetic""")
 def q_smote_tomek(spark, sf):
     s = nb.smote_tomek(emb_binary(spark, sf), "vec_id", "embedding", "y", minority=1, k=5, seed=42)
     return s.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
