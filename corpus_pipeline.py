@@ -23,9 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that an earlier line repeats, exactly or but for an edit.
     Every document stays; n_chars follows the text where lines went."""
-    kept = line_dedup.deduplicate(docs.select("doc_id", "text", F.struct("*").alias("__row")))
+    other = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = line_dedup.deduplicate(docs.select("doc_id", "text", other.alias("__row")))
     size = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("__row.n_chars")).cast("long")
-    new = {"text": F.col("text"), "n_chars": size}
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": size}
     return kept.select(*[new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 

@@ -90,7 +90,8 @@ def index_keys(line: Column, p: LineParams) -> Column:
 
 def probe_keys(line: Column, p: LineParams) -> Column:
     """Keys of the substrings that can equal a segment of a line at most
-    ``threshold`` shorter (or as long)."""
+    ``threshold`` shorter (or as long), besides the line's own segments,
+    whose keys are those of the index."""
     parts, keys = p.threshold + 1, []
     for delta in range(p.threshold + 1):
         n = F.length(line) - delta
@@ -98,7 +99,8 @@ def probe_keys(line: Column, p: LineParams) -> Column:
             at, size = _segment(n, i, parts)
             right = p.threshold - i              # errors that may stand right of segment i
             for move in range(max(-i, delta - right), min(i, delta + right) + 1):
-                keys.append(F.xxhash64(n, F.lit(i), F.substring(line, at + move, size)))
+                if delta or move:
+                    keys.append(F.xxhash64(n, F.lit(i), F.substring(line, at + move, size)))
     return F.array(*keys)
 
 
@@ -192,7 +194,7 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, p: LineParams) -> DataFram
     ``distinct``: id, digests h1 and h2, letters, index, probe; ``keyed``: h1, h2 and
     line of every line."""
     index = distinct.select(F.explode("index").alias("key"), F.col("id").alias("a"), F.col("letters").alias("letters_a"))
-    probe = distinct.select(F.explode("probe").alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
+    probe = distinct.select(F.explode(F.concat("index", "probe")).alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
     alike = counts_differ(F.col("letters_a"), F.col("letters_b")) <= 2 * p.threshold
     pairs = cut_lineage(index.join(probe, "key").where((F.col("a") != F.col("b")) & alike)
                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line_pairs")
@@ -230,7 +232,7 @@ def deduplicate(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """``docs`` with the remaining text, ``n_lines`` and ``n_dropped``."""
     gone = cut_lineage(dropped_lines(docs, p).withColumnRenamed("doc_id", "_id"), "dropped_lines")
     some = cut_lineage(sieve.build(gone, "_id"), "dropped_sieve")
-    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    rows = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
     lines = F.split("text", "\n", -1)
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
     left = F.filter(lines, lambda x, i: ~F.array_contains("dropped", i))
