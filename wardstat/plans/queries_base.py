@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..operators import clean, features as feat
 from . import oracle_sql as O
+from .queries_profile import CLEAN_NUMERIC, CLEAN_STRINGS
 from .registry import register
 from .pipeline import cleaned, featured, raw_encounters
 
@@ -314,8 +315,13 @@ def q_cleaned(spark, sf):
     return cleaned(spark, sf)
 
 
+#: null cells of the cleaned table, counted column by column
+NULL_CELLS = " + ".join(f"count(*) - count({O.ident(c)})"
+                        for c in ["encounter_id", "patient_nbr", codes.TARGET, *CLEAN_NUMERIC, *CLEAN_STRINGS])
+
+
 @register("quality_check", O.CLEANED + """
-SELECT CAST(0 AS BIGINT) AS null_cells,
+SELECT CAST((SELECT """ + NULL_CELLS + """ FROM cleaned) AS BIGINT) AS null_cells,
   CAST((SELECT count(*) FROM cleaned) - (SELECT count(*) FROM (SELECT DISTINCT * FROM cleaned)) AS BIGINT)
   AS duplicate_rows""")
 def q_quality(spark, sf):
@@ -332,7 +338,7 @@ def q_quality(spark, sf):
   UNION ALL SELECT 5, 'columns_dropped', 4
   UNION ALL SELECT 6, 'markers_converted', (SELECT """ + " + ".join(
     f"sum(CASE WHEN {O.ident(c)} = '?' THEN 1 ELSE 0 END)" for c in O.ENC_STRING_COLS) + """ FROM encounters)
-  UNION ALL SELECT 7, 'final_missing_values', 0)
+  UNION ALL SELECT 7, 'final_missing_values', (SELECT """ + NULL_CELLS + """ FROM cleaned))
 SELECT CAST(ord AS INTEGER) AS ord, metric, CAST(value AS DOUBLE) AS value FROM r""")
 def q_cleaning_report(spark, sf):
     from .pipeline import cleaning_report

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..operators import balance as bal, encode as enc, models as ml, profile as pf
 from . import oracle_sql as O
-from .pipeline import cleaned, featured
+from .pipeline import cleaned, engineer
 from .queries_models import MODEL_FEATURES
 from .queries_profile import CLEAN_NUMERIC, KEY_NUMERICAL, _corr_sql, _profile_sql, union
 from .registry import register
@@ -49,13 +49,9 @@ SELECT * FROM (SELECT 0 AS ord, 'original_features' AS metric, 58.0 AS value
   UNION ALL SELECT 6, 'reduction_percentage', round(({len(MODEL_FEATURES)} - k) * 100.0 / {len(MODEL_FEATURES)}, 6)
     FROM sel)""")
 def q_feature_summary(spark, sf):
-    f = featured(spark, sf)
-    sel = enc.select_by_correlation(f, MODEL_FEATURES, 0.01)
-    return enc.feature_summary(len(cleaned_columns(spark, sf)), 5, 3, 6, len(MODEL_FEATURES), sel)
-
-
-def cleaned_columns(spark, sf):
-    return cleaned(spark, sf).columns
+    c = cleaned(spark, sf)
+    sel = enc.select_by_correlation(engineer(c), MODEL_FEATURES, 0.01)
+    return enc.feature_summary(len(c.columns), 5, 3, 6, len(MODEL_FEATURES), sel)
 
 
 NN_CATEGORICAL = ["age", "race", "gender", "diag_1_category", "A1Cresult"]
