@@ -8,7 +8,6 @@ Fitting is distributed by Spark ML; tables that come out of a model
 
 from __future__ import annotations
 
-import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
