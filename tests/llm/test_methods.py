@@ -6,7 +6,6 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
