@@ -63,7 +63,7 @@ def cuts(text: str) -> list[int]:
 class ChunkEncoder:
     """Encoder of one task: remembers pieces and chunks up to fixed limits."""
 
-    def __init__(self, path: str, pieces: int = 500_000, chunks: int = 20_000):
+    def __init__(self, path: str, pieces: int = 200_000, chunks: int = 8_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

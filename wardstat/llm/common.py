@@ -43,7 +43,7 @@ def sample_rows(docs: DataFrame, ids: DataFrame, cols: list[str]) -> DataFrame:
 class WordHash(dict):
     """word -> feature hash, remembered for frequent words (bounded)."""
 
-    def __init__(self, buckets: int, limit: int = 500_000, normal=None):
+    def __init__(self, buckets: int, limit: int = 150_000, normal=None):
         super().__init__()
         self.buckets, self.limit, self.normal = buckets, limit, normal
 
