@@ -187,6 +187,12 @@ def test_main_text_of_small_pages(page, text):
     assert text_density.main_text(page).replace("ab", "a b") == text
 
 
+def test_pages_without_article_keep_title_and_short_paragraphs():
+    long_one = "A long paragraph of the text, with many words. " * 12
+    page = f"<body><div class=c1><h1>Title</h1><p>{long_one}</p><p>Short.</p><p>{long_one}</p></div></body>"
+    assert text_density.main_text(page) == " ".join(f"Title {long_one} Short. {long_one}".split())
+
+
 def test_deep_and_long_pages():
     assert text_density.main_text("<div>" * 20000 + "text" + "</div>" * 20000) == "text"
     assert len(text_density.main_text("<p>" + "word " * 100000)) == 499999

@@ -7,8 +7,9 @@ links LC, elements T and link elements LT below it. The composite density
 
 (zero counts read as one) is high where much text stands in few tags and few
 links.  A node's density sum adds its children's CTD; the subtree of the
-largest sum holds the main text, and the smallest CTD on the path from it to
-the body is the threshold that other blocks of its container must reach.
+largest sum holds the main text.  The method's threshold, the smallest CTD on
+the path from it to the body, is left out: it takes headings and short
+paragraphs of the text too (figures in the README).
 Elements that say themselves what they are (menus, headers, footers, asides,
 forms, adverts, notices, comment sections, scripts, styles) are taken out
 before, and an ``article`` or ``main`` element around the chosen subtree is
@@ -169,7 +170,7 @@ class Page:
         return ctd, total, c, lc
 
     def main_text(self) -> str:
-        ctd, total, c, lc = self.densities()
+        _, total, c, lc = self.densities()
         n = len(self.name)
         if not c[0]:
             return ""
@@ -177,7 +178,6 @@ class Page:
         path = [best]
         while path[-1]:
             path.append(self.parent[path[-1]])
-        threshold = min(ctd[k] for k in path)
         whole = next((k for k in path if self.name[k] in KEEP_WHOLE), None)
         if whole is None:                    # the subtree may stand around the article
             inside = [k for k in range(n) if self.name[k] in KEEP_WHOLE and not self.noise[k] and self._under(k, best)]
@@ -190,9 +190,7 @@ class Page:
             if k == top:
                 keep[k] = True
             elif k and keep[self.parent[k]] and not self.noise[k]:
-                links = self.name[k] in ("ul", "ol", "div", "section", "table") and 2 * lc[k] > c[k]
-                thin = whole is None and ctd[k] < threshold and links
-                keep[k] = not (links or thin)
+                keep[k] = not (self.name[k] in ("ul", "ol", "div", "section", "table") and 2 * lc[k] > c[k])
         blocks, now = [], []
         for node, text in self.runs:
             if node < 0:
