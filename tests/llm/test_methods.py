@@ -193,6 +193,16 @@ def test_pages_without_article_keep_title_and_short_paragraphs():
     assert text_density.main_text(page) == " ".join(f"Title {long_one} Short. {long_one}".split())
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_articles_lose_only_the_listed_kinds(tag):
+    inner = ("<div class='entry-header'><h1 id='search-alert'>Title</h1></div><p>Text of <math><mi>x</mi></math> here.</p>"
+             "<div class='related-work'><p>Related work.</p></div><table><tr><td><a href=1>Link table</a></td></tr></table>"
+             "<div role=alert>n</div><div class='ad'>a</div><nav><a href=1>m</a></nav><aside>s</aside><form>f</form><div class=comments>c</div>"
+             "<ul><li><a href=1>First reference</a></li><li><a href=2>Second reference</a></li></ul>")
+    want = "Title Text of x here. Related work. Link table First reference Second reference"
+    assert text_density.main_text(f"<body><div class='header'>h</div><{tag}>{inner}</{tag}><div class='related'>r</div></body>") == want
+
+
 def test_deep_and_long_pages():
     assert text_density.main_text("<div>" * 20000 + "text" + "</div>" * 20000) == "text"
     assert len(text_density.main_text("<p>" + "word " * 100000)) == 499999

@@ -13,7 +13,9 @@ paragraphs of the text too (figures in the README).
 Elements that say themselves what they are (menus, headers, footers, asides,
 forms, adverts, notices, comment sections, scripts, styles) are taken out
 before, and an ``article`` or ``main`` element around the chosen subtree is
-kept whole.
+kept whole.  Inside these two only the listed kinds go: headers, link-rich
+lists and tables, and blocks named after a search, sharing or related matter
+stay, and no heading is judged by its class or id.
 
 The tree lives in flat lists filled in one scan of the page, so depth and
 length of a page are not limited.  The operator is map-only.
@@ -39,7 +41,7 @@ ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 #: fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style noscript textarea title template iframe noembed noframes xmp svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr img input".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
@@ -52,6 +54,9 @@ NOISE_NAMES = frozenset("ad ads adv advert advertisement adverts banner sponsor
                         "subscribe signup login search widget toolbar pagination pager".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 KEEP_WHOLE = frozenset(("article", "main"))
+#: names that are noise outside an article only: none of the kinds that go inside one
+OUTSIDE_NAMES = frozenset("header masthead search share sharing social related recommended widget toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 def _is_noise(name: str, attrs: str, in_article: bool) -> bool:
@@ -62,9 +67,12 @@ def _is_noise(name: str, attrs: str, in_article: bool) -> bool:
     low = attrs.lower()
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", low) or re.search(r"display\s*:\s*none", low):
         return True
+    names = NOISE_NAMES - OUTSIDE_NAMES if in_article else NOISE_NAMES
+    if in_article and name in HEADINGS:
+        names = frozenset()
     for m in ATTR.finditer(low):
         value = m[2] or m[3] or m[4] or ""
-        if m[1] in ("class", "id") and not NOISE_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if m[1] in ("class", "id") and not names.isdisjoint(re.split(r"[^a-z]+", value)):
             return True
         if m[1] == "role" and value.strip() in NOISE_ROLES:
             return True
@@ -75,7 +83,7 @@ class Page:
     """Element tree in flat lists; node 0 is the body."""
 
     def __init__(self, page: str):
-        self.parent, self.name, self.noise = [-1], ["body"], [False]
+        self.parent, self.name, self.noise, self.inside = [-1], ["body"], [False], [False]
         self.runs: list[tuple[int, str]] = []       # (node, text) in page order; node -1: block break
         self._read(page)
 
@@ -84,6 +92,7 @@ class Page:
         self.parent.append(up)
         self.name.append(name)
         self.noise.append(self.noise[up] or _is_noise(name, attrs, articles > 0))
+        self.inside.append(articles > 0 or name in KEEP_WHOLE)
         return len(self.name) - 1
 
     def _read(self, page: str) -> None:
@@ -190,7 +199,7 @@ class Page:
             if k == top:
                 keep[k] = True
             elif k and keep[self.parent[k]] and not self.noise[k]:
-                keep[k] = not (self.name[k] in ("ul", "ol", "div", "section", "table") and 2 * lc[k] > c[k])
+                keep[k] = self.inside[k] or not (self.name[k] in ("ul", "ol", "div", "section", "table") and 2 * lc[k] > c[k])
         blocks, now = [], []
         for node, text in self.runs:
             if node < 0:
