@@ -164,6 +164,43 @@ def test_substrings_are_cut_as_by_brute_force(spark):
         assert rows_of(suffix_dedup.cut(df, 50, chunk_bytes)) == brute_cut(rows, 50)
 
 
+def hot_passage_rows(n):
+    rng = random.Random(60)
+    def context():
+        return "".join(rng.choice("abcdefghij ") for _ in range(70))
+    passage = "".join(rng.choice("klmnopqrst ") for _ in range(150))
+    return [(i, context() + passage + context()) for i in range(n)]
+
+
+def test_runs_of_a_hot_anchor_are_dealt_singly(spark):
+    rows = hot_passage_rows(150)
+    tops = rows[:60] + [(200 + i, rows[i][1][40:240]) for i in range(30)] + [(None, t) for _, t in rows[:5]]
+    for chunk_bytes in (3000, 1 << 20):
+        for hot_runs in (0, 20):
+            got = suffix_dedup.cut(spark.createDataFrame(tops, "doc_id long, text string"), 50, chunk_bytes, hot_runs=hot_runs)
+            assert rows_of(got) == brute_cut(tops, 50)
+    texts = [t.encode() for _, t in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    c = suffix_dedup.Chunk(np.arange(len(rows)), offsets, np.frombuffer(b"".join(texts), np.uint8), 50)
+    h, twice, many = c.anchors()
+    hot = h[many > 20]
+    assert len(hot) >= 2
+    _, _, spans, low, anchor = c.shared_runs(h[twice])
+    items = suffix_dedup.Items(spans, low, anchor, hot, 50)
+    place = suffix_dedup._bucket(items.key, 16)
+    singly = len(place) - len(items.whole)
+    assert all(len(p) == 50 for p in items.parts[len(items.whole):])
+    assert max(np.bincount(place[len(items.whole):], minlength=16)) < singly / 4
+
+
+def test_equal_rows_are_dealt_by_row(spark, tmp_dir):
+    rows = [(None, "a null id and equal text " * 4)] * 40 + [(1, "a null id and equal text " * 4)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_dir}/equal_rows.parquet")
+    docs = spark.read.parquet(f"{tmp_dir}/equal_rows.parquet")
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    assert rows_of(suffix_dedup.cut(docs, 50, 400, row=row)) == brute_cut(rows, 50)
+
+
 # --- 5: text density ----------------------------------------------------------------
 
 def test_pages_give_their_articles(spark):

@@ -43,7 +43,8 @@ def op3_ftrl_toxicity(spark, sf_dir):
 
 @query
 def op4_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.cut(table(spark, sf_dir, "documents"), length=50)
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    return suffix_dedup.cut(table(spark, sf_dir, "documents"), length=50, row=row)
 
 
 @query

@@ -9,10 +9,15 @@ anchor, wherever they stand; neighbouring windows mostly share one and form a
 run, so a text has one run for about every 18 bytes.
 
 1.  The texts are dealt into chunks of a few MB.  A chunk sends the hashes of
-    its anchors, once each, and learns which of them more than one document
-    has (one bit each).
+    its anchors, once each, with the number of distinct runs where there are
+    many, and learns which of them more than one document has and which are
+    hot (one bit each).
 2.  For those anchors it sends the bytes of their runs, equal runs once with
-    the smallest id, to the bucket of the anchor's hash.
+    the smallest id, to the bucket of the anchor's hash.  An anchor at the
+    edge of a common passage has another run in every document, since the run
+    reaches into its context: the runs of an anchor that is hot (about
+    ``hot_runs`` distinct ones in all) are sent window by window, equal
+    windows once with the smallest id, to the buckets of the windows' hashes.
 3.  A bucket sorts the suffixes that start at every window of its runs, the
     deep-shallow way: a multikey quicksort over 8-byte characters to a depth
     of 16 bytes, then blind tries for the groups that are still equal: all
@@ -22,9 +27,11 @@ run, so a text has one run for about every 18 bytes.
     windows go.
 4.  The chunk gets one bit per window back and cuts its texts.
 
-What moves is the text once, 8 bytes per anchor, and the runs of shared
-anchors.  A passage that a third of all documents share is one run in each
-chunk.  Nothing depends on the order of rows or partitions.
+What moves is the text once, 8 bytes per anchor, the runs of shared anchors
+and the windows of hot ones.  A passage that a third of all documents share is
+one run in each chunk for the anchors inside it, and for those at its edges
+distinct windows spread over all buckets.  Nothing depends on the order of
+rows or partitions.
 
 Defined results: null texts are empty; texts shorter than ``length`` lose
 nothing; rows that share an id do not remove from each other; null ids rank
@@ -38,12 +45,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 GRAM = 16                 # bytes of an anchor
 CHUNK_BYTES = 4 << 20     # text of a chunk
 BLOCK = 1 << 17           # windows that are hashed at a time
 SHALLOW = 16              # bytes the quicksort looks at
+MANY = 16                 # runs of an anchor in a chunk from which on the distinct ones are counted
+HOT_RUNS = 2048           # counted runs of an anchor from which on its windows are dealt singly
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -100,13 +109,20 @@ class Chunk:
         return np.concatenate(first), np.concatenate(last), np.concatenate(hashes)
 
     def anchors(self):
-        """Distinct anchor hashes, ascending, and whether two ids have them."""
+        """Distinct anchor hashes, ascending, whether two ids have them, and
+        the number of their distinct runs (one where there are few)."""
         order = np.argsort(self.hash, kind="stable")
         h, d = self.hash[order], self.doc_id[order]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
         if not len(at):
-            return h, np.empty(0, bool)
-        return h[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+            return h, np.empty(0, bool), np.empty(0, np.uint32)
+        many, size = np.ones(len(at), np.uint32), np.diff(np.concatenate([at, [len(h)]]))
+        if (size > MANY).any():
+            raw = self.buf.tobytes()
+            for k in np.flatnonzero(size > MANY).tolist():
+                runs = order[at[k]:at[k] + size[k]]
+                many[k] = len({raw[a:b] for a, b in zip(self.first[runs].tolist(), (self.last[runs] + self.length).tolist())})
+        return h[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), many
 
     def shared_runs(self, shared: np.ndarray):
         """Runs whose anchor is in ``shared`` (ascending): their indices, the
@@ -127,6 +143,49 @@ class Chunk:
         return runs, number, list(known), low, anchor
 
 
+class Items:
+    """What a chunk sends of its distinct runs: those of hot anchors as their
+    distinct windows, the others as they are.  ``parts``, their smallest
+    ``ids`` and the hashes (``key``) that deal them to buckets."""
+
+    def __init__(self, spans: list[bytes], low: np.ndarray, anchor: np.ndarray, hot: np.ndarray, length: int):
+        is_hot = np.isin(anchor, hot)
+        self.low, self.whole, self.split = low, np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+        known, number = {}, []
+        for k in self.split.tolist():
+            s = spans[k]
+            number += [known.setdefault(s[j:j + length], len(known)) for j in range(len(s) - length + 1)]
+        size = np.fromiter((len(spans[k]) - length + 1 for k in self.split.tolist()), np.int64, len(self.split))
+        self.number, self.run = np.array(number, np.int64), np.repeat(self.split, size)
+        self.place = np.arange(len(number)) - np.repeat(np.cumsum(size) - size, size)
+        ids = np.full(len(known), NO_ID)
+        np.minimum.at(ids, self.number, low[self.run])
+        self.parts = [spans[k] for k in self.whole.tolist()] + list(known)
+        self.ids = np.concatenate([low[self.whole], ids])
+        self.key = np.concatenate([anchor[self.whole], _window_hash(list(known), length)])
+
+    def masks(self, bits: np.ndarray) -> np.ndarray:
+        """One bit per window of every distinct run, from the items' bits."""
+        mask = np.zeros(len(self.low), np.uint64)
+        n = len(self.whole)
+        mask[self.whole] = bits[:n]
+        goes = (bits[n:][self.number] & np.uint64(1) == 1) | (self.ids[n:][self.number] < self.low[self.run])
+        np.bitwise_or.at(mask, self.run, goes.astype(np.uint64) << self.place.astype(np.uint64))
+        return mask
+
+
+def _window_hash(windows: list[bytes], length: int) -> np.ndarray:
+    wide = -(-length // 8) * 8
+    data = np.zeros((len(windows), wide), np.uint8)
+    data[:, :length] = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, length)
+    h = np.zeros(len(windows), np.uint64)
+    for w in data.view("<u8").T:
+        h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(31))
+
+
 # --- deep-shallow sorting ---------------------------------------------------
 
 def _refine(rank: np.ndarray, members: np.ndarray, keys: tuple) -> np.ndarray:
@@ -247,30 +306,54 @@ _BACK = [("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int64()), ("
 _BACK_DDL = "chunk long, bucket long, kind long, a binary"
 
 
-def _shared(c: Chunk, back: pa.Table, buckets: int):
-    """The chunk's anchors that are shared, from the bits that came back."""
-    h, _ = c.anchors()
-    bits = {b: a for b, k, a in zip(back["bucket"].to_pylist(), back["kind"].to_pylist(), back["a"].to_pylist()) if k == 0}
+#: kinds of answers
+SHARED, WINDOWS, HOT = 0, 1, 2
+
+
+def _answers(back: pa.Table, kind: int) -> dict:
+    return {b: a for b, k, a in zip(back["bucket"].to_pylist(), back["kind"].to_pylist(), back["a"].to_pylist()) if k == kind}
+
+
+def _marked(h: np.ndarray, back: pa.Table, kind: int, buckets: int) -> np.ndarray:
+    """The chunk's anchors that the bits of a kind mark (no row: none)."""
+    bits = _answers(back, kind)
     keep = np.zeros(len(h), bool)
     for b, part in _by_bucket(h, buckets):
-        keep[part] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(part)).astype(bool)
+        if b in bits:
+            keep[part] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(part)).astype(bool)
     return h[keep]
 
 
-def cut(docs: DataFrame, length: int = 50, chunk_bytes: int = CHUNK_BYTES, text: bool = False) -> DataFrame:
+def _items(c: Chunk, back: pa.Table, buckets: int):
+    """The runs of the chunk's shared anchors, the number of the distinct run
+    of each, and the items that are sent for them."""
+    h = np.unique(c.hash)
+    runs, number, spans, low, anchor = c.shared_runs(_marked(h, back, SHARED, buckets))
+    return runs, number, Items(spans, low, anchor, _marked(h, back, HOT, buckets), c.length)
+
+
+def cut(docs: DataFrame, length: int = 50, chunk_bytes: int = CHUNK_BYTES, text: bool = False, hot_runs: int = HOT_RUNS,
+        row: Column | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the
-    ``kept`` bytes and the removed ``spans`` ("start:end", comma-joined)."""
+    ``kept`` bytes and the removed ``spans`` ("start:end", comma-joined).
+    ``row``: a number that tells rows of equal id and text apart and is the
+    same each time they are read; by it rows are dealt, without it by id and
+    text."""
     if not GRAM + 8 <= length <= GRAM + 63:
         raise ValueError("a run's windows must fit into 64 bits")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // chunk_bytes))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    dealt = dealt.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"),
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+                        F.xxhash64(*(["doc_id", "text"] if row is None else [row])).alias("deal"))
+    dealt = dealt.select(F.pmod("deal", F.lit(n)).alias("chunk"),
                          F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
 
     def send_anchors(key, t):
-        h, twice = (c := _chunk(t, length)).anchors()
-        return _table([(key[0].as_py(), b, h[p].tobytes(), np.packbits(twice[p]).tobytes(), None)
+        h, twice, many = _chunk(t, length).anchors()
+        def counted(p):
+            at = np.flatnonzero(many[p] > 1)
+            return np.concatenate([at.astype(np.uint32), many[p][at]]).tobytes() if len(at) else None
+        return _table([(key[0].as_py(), b, h[p].tobytes(), np.packbits(twice[p]).tobytes(), counted(p))
                        for b, p in _by_bucket(h, n)], _SEND)
 
     def answer_anchors(key, t):
@@ -284,14 +367,26 @@ def cut(docs: DataFrame, length: int = 50, chunk_bytes: int = CHUNK_BYTES, text:
         shared[order] = same[1:] | same[:-1]
         shared |= np.concatenate(twice)
         at = np.cumsum([len(p) for p in parts])[:-1]
-        return _table([(k, key[0].as_py(), 0, np.packbits(s).tobytes()) for k, s in zip(chunks, np.split(shared, at))], _BACK)
+        weight = np.ones(len(every), np.int64)
+        for head, raw in zip([0, *at.tolist()], t["c"].to_pylist()):
+            if raw is not None:
+                place, many = np.frombuffer(raw, np.uint32).reshape(2, -1)
+                weight[head + place.astype(np.int64)] = many
+        group = np.flatnonzero(~same[:-1])
+        total = np.add.reduceat(weight[order], group) if len(group) else weight
+        hot = np.empty(len(every), bool)
+        hot[order] = np.repeat(total > hot_runs, np.diff(np.concatenate([group, [len(every)]])))
+        b = key[0].as_py()
+        return _table([(k, b, SHARED, np.packbits(s).tobytes()) for k, s in zip(chunks, np.split(shared, at))]
+                      + [(k, b, HOT, np.packbits(s).tobytes()) for k, s in zip(chunks, np.split(hot, at)) if s.any()], _BACK)
 
     def send_runs(key, t, back):
         c = _chunk(t, length)
-        _, _, spans, low, anchor = c.shared_runs(_shared(c, back, n))
+        items = _items(c, back, n)[2]
+        spans = items.parts
         rows = [(key[0].as_py(), b, b"".join(spans[k] for k in p.tolist()),
-                 np.fromiter((len(spans[k]) for k in p.tolist()), np.uint16, len(p)).tobytes(), low[p].tobytes())
-                for b, p in _by_bucket(anchor, n)]
+                 np.fromiter((len(spans[k]) for k in p.tolist()), np.uint16, len(p)).tobytes(), items.ids[p].tobytes())
+                for b, p in _by_bucket(items.key, n)]
         return _table(rows, _SEND)
 
     def answer_runs(key, t):
@@ -302,19 +397,19 @@ def cut(docs: DataFrame, length: int = 50, chunk_bytes: int = CHUNK_BYTES, text:
             ids.append(np.frombuffer(low, np.int64))
             counts.append(len(ends))
         bits = shared_windows(spans, np.concatenate(ids), length)
-        return _table([(k, key[0].as_py(), 1, x.tobytes()) for k, x in
+        return _table([(k, key[0].as_py(), WINDOWS, x.tobytes()) for k, x in
                        zip(t["chunk"].to_pylist(), np.split(bits, np.cumsum(counts)[:-1]))], _BACK)
 
     def cut_texts(key, t, back):
         c = _chunk(t, length)
-        runs, number, spans, low, anchor = c.shared_runs(_shared(c, back, n))
-        bits = {b: a for b, k, a in zip(back["bucket"].to_pylist(), back["kind"].to_pylist(), back["a"].to_pylist()) if k == 1}
-        mask = np.zeros(len(spans), np.uint64)
-        for b, p in _by_bucket(anchor, n):
-            mask[p] = np.frombuffer(bits[b], np.uint64)
+        runs, number, items = _items(c, back, n)
+        came, bits = _answers(back, WINDOWS), np.zeros(len(items.parts), np.uint64)
+        for b, p in _by_bucket(items.key, n):
+            bits[p] = np.frombuffer(came[b], np.uint64)
+        mask = items.masks(bits)
         size = len(c.buf) - GRAM - 8
         mark = np.zeros(size + 1, np.int32)
-        whole = c.doc_id[runs] > low[number]          # the same run stands in this chunk under a smaller id
+        whole = c.doc_id[runs] > items.low[number]          # the same run stands in this chunk under a smaller id
         np.add.at(mark, c.first[runs[whole]], 1)
         np.add.at(mark, c.last[runs[whole]] + length, -1)
         some = runs[~whole]
