@@ -382,6 +382,13 @@ def test_disclosing_terms_and_sanitised_text(spark):
     assert "jo@x.org" not in shown and "Zanzibar" not in shown and "[EMAIL]" in shown and shown.startswith("intro\nthe ")
 
 
+def test_an_entity_in_every_line_has_no_disclosing_terms(spark):
+    rows = [(k, "write to jo@x.org today") for k in range(4)]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    got = pii_disclosure.digest(pii_disclosure.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted((r.doc_id, r.spans) for r in got) == [(k, "email:9:17") for k in range(4)]
+
+
 # --- 9: BPE --------------------------------------------------------------------------------
 
 def test_chunked_bpe_equals_the_library(monkeypatch):

@@ -19,7 +19,8 @@ question are taken over all lines, sieved by a bitmap of fixed size before
 the shuffle.  DataFrame and SQL functions only.
 
 Defined results: null and empty texts have no spans; repeated rows are found
-each and count each; null ids pass through; an empty table gives an empty
+each and count each; null ids pass through; an entity that stands in every line carries no
+information, so no term reveals it (risk 0); an empty table gives an empty
 result; extra columns are ignored.  Offsets are code points, end exclusive.
 """
 
@@ -138,7 +139,8 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, p: PiiParams = PiiPara
            .groupBy("term").agg(F.count("*").alias("n_t")))
     ln = F.log
     risky = (n_et.join(n_e, "ent").join(n_t, "term").crossJoin(F.broadcast(n))          # n is one row
-             .withColumn("risk", ln(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / ln(F.col("n") / F.col("n_e")))
+             .withColumn("pmi", ln(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))))
+             .withColumn("risk", F.coalesce(F.try_divide("pmi", ln(F.col("n") / F.col("n_e"))), F.lit(0.0)))
              .where(F.col("risk") >= p.threshold).select("ent", "term", "risk"))
     risky = cut_lineage(risky, "risky_terms")
     places = (lines.select("row", "li", "ents", F.posexplode(_words(F.col("line"))).alias("wi", "word"))
