@@ -389,6 +389,17 @@ def test_an_entity_in_every_line_has_no_disclosing_terms(spark):
     assert sorted((r.doc_id, r.spans) for r in got) == [(k, "email:9:17") for k in range(4)]
 
 
+def test_entities_of_one_line_are_judged_too(spark):
+    rows = [(k, f"the weather number {k % 7} is mild") for k in range(300)] + [(900, "the Okonjo account B72 of ek@y.org is it")]
+    t = rows[-1][1]
+    got = {r.doc_id: r.spans for r in pii_disclosure.digest(pii_disclosure.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    spans = got[900].split(",")
+    for word in ("Okonjo", "B72"):
+        assert f"term:{t.index(word)}:{t.index(word) + len(word)}" in spans
+    assert not any(s.startswith("term:0:") for s in spans) and f"term:{t.index(' is ') + 1}:{t.index(' is ') + 3}" not in spans
+    assert all(got[k] == "" for k in range(300))
+
+
 # --- 9: BPE --------------------------------------------------------------------------------
 
 def test_chunked_bpe_equals_the_library(monkeypatch):

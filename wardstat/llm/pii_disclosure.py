@@ -7,10 +7,16 @@ entity is estimated from co-occurrence in the lines of the whole corpus:
     PMI(e, t) = ln(n_et * N / (n_e * n_t)),   IC(e) = ln(N / n_e),
 
 with N lines in all, n_t of them with term t, n_e with entity e and n_et with
-both.  PMI / IC is 1 where the term never stands without the entity.  Terms
-that stand with an entity in at least ``min_lines`` lines and reach
-``threshold`` of its information are spans too: generalised to their shape
-below ``remove_at``, removed from there on.
+both.  PMI / IC is 1 where the term never stands without the entity.  Whether
+a term is a span is judged on an estimate smoothed by ``prior`` lines that
+hold the entity as often as any line does,
+
+    p(e | t) = (n_et + prior * n_e / N) / (n_t + prior),
+
+so that few lines count for less, and entities of a single line are judged
+too.  Terms that reach ``threshold`` of the entity's information by it are
+spans: generalised to their shape where PMI / IC is below ``remove_at``,
+removed from there on.  Terms are runs of letters and digits.
 
 Scale: the patterns run map-only.  Co-occurrences are counted on lines that
 hold an entity, with partial aggregates, so an entity or word that a third
@@ -49,10 +55,10 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 @dataclass(frozen=True)
 class PiiParams:
-    min_lines: int = 3         # lines in which a term stands with an entity
+    prior: float = 0.5         # lines without evidence that each term is counted with
     threshold: float = 0.9     # share of the entity's information that a term may not reach
     remove_at: float = 1.0     # from here on a term is removed, below it is generalised
-    min_letters: int = 3
+    min_chars: int = 1         # of a term
 
 
 def _luhn(digits: Column) -> Column:
@@ -101,9 +107,9 @@ def find_base(docs: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    """Runs of letters, with an empty word for every separator that follows
+    """Runs of letters and digits, with an empty word for every separator that follows
     another, so that a word's place follows from the lengths before it."""
-    return F.split(line, r"[^\p{L}]", -1)
+    return F.split(line, r"[^\p{L}\p{Nd}]", -1)
 
 
 def _start(parts: Column, k: Column) -> Column:
@@ -125,11 +131,10 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, p: PiiParams = PiiPara
              .where(F.size("own") > 0)
              .select("row", "li", "line", "at", F.array_distinct(F.transform("own", _entity)).alias("ents")))
     lines = cut_lineage(lines, "entity_lines")
-    long_enough = F.length("term") >= p.min_letters
-    terms = F.array_distinct(F.split(F.lower("line"), r"[^\p{L}]+"))
+    long_enough = F.length("term") >= p.min_chars
+    terms = F.array_distinct(F.split(F.lower("line"), r"[^\p{L}\p{Nd}]+"))
     n_et = (lines.select("ents", F.explode(terms).alias("term")).where(long_enough)
-            .select(F.explode("ents").alias("ent"), "term").groupBy("ent", "term").agg(F.count("*").alias("n_et"))
-            .where(F.col("n_et") >= p.min_lines))
+            .select(F.explode("ents").alias("ent"), "term").groupBy("ent", "term").agg(F.count("*").alias("n_et")))
     n_et = cut_lineage(n_et, "term_pairs")
     n_e = lines.select(F.explode("ents").alias("ent")).groupBy("ent").agg(F.count("*").alias("n_e"))
     asked = cut_lineage(sieve.build(n_et, "term"), "term_sieve")
@@ -138,10 +143,13 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, p: PiiParams = PiiPara
     n_t = (sieve.sift(corpus.select(F.explode(terms).alias("term")).where(long_enough), "term", asked)
            .groupBy("term").agg(F.count("*").alias("n_t")))
     ln = F.log
+    share = F.col("n_e") / F.col("n")
+    smooth = (F.col("n_et") + p.prior * share) / (F.col("n_t") + p.prior)
+    def of_information(x):
+        return F.coalesce(F.try_divide(ln(x / share), -ln(share)), F.lit(0.0))
     risky = (n_et.join(n_e, "ent").join(n_t, "term").crossJoin(F.broadcast(n))          # n is one row
-             .withColumn("pmi", ln(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))))
-             .withColumn("risk", F.coalesce(F.try_divide("pmi", ln(F.col("n") / F.col("n_e"))), F.lit(0.0)))
-             .where(F.col("risk") >= p.threshold).select("ent", "term", "risk"))
+             .where(of_information(smooth) >= p.threshold)
+             .select("ent", "term", of_information(F.col("n_et") / F.col("n_t")).alias("risk")))
     risky = cut_lineage(risky, "risky_terms")
     places = (lines.select("row", "li", "ents", F.posexplode(_words(F.col("line"))).alias("wi", "word"))
               .withColumn("term", F.lower("word")).where(long_enough)
