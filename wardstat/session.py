@@ -108,6 +108,14 @@ def _release_at_exit():
 atexit.register(_release_at_exit)
 
 
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder for a table that several
+    jobs append to; ``release_stage_tables`` deletes it with the others."""
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _STAGE_TABLES.append(path)
+    return path
+
+
 def materialize(df, spark: SparkSession, name: str):
     """Cut lineage by writing ``df`` as Parquet under the checkpoint folder.
 
@@ -115,9 +123,8 @@ def materialize(df, spark: SparkSession, name: str):
     the re-read plan starts from files, so later stages do not recompute the
     upstream joins.
     """
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = stage_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
-    _STAGE_TABLES.append(path)
     return spark.read.parquet(path)
 
 
