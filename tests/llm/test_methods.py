@@ -366,6 +366,16 @@ def test_base_spans_as_by_the_plain_patterns(spark):
         assert [(s.start, s.kind, s.end) for s in r.base] == brute_spans(texts[r.doc_id])
 
 
+def test_counts_by_kind_are_those_of_the_spans(spark):
+    texts = ["a@b.co c@d.co e@f.co", "call +1 415 555 2671", "1.2.3.4 and 4111 1111 1111 1111 and 5.6.7.8", "none", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(
+        common.table(spark, SF, "documents").select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"))
+    got = {r.doc_id: r for r in pii_disclosure.digest(pii_disclosure.find(docs)).collect()}
+    for i, t in docs.collect():
+        spans = brute_spans(t)
+        assert [got[i][f"n_{kind}"] for kind, _ in PATTERNS] == [sum(s[1] == k for s in spans) for k in range(4)]
+
+
 def test_disclosing_terms_and_sanitised_text(spark):
     plain = [(k, f"the weather number {w} is mild") for k, w in enumerate(["one", "two", "three"] * 30)]
     secret = [(100 + k, f"intro\nthe Zanzibar office of jo@x.org is {w}") for k, w in enumerate(["near", "far", "closed", "open"])]

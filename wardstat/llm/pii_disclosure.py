@@ -198,7 +198,12 @@ def sanitised(text: Column, spans: Column) -> Column:
                        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
 
 
+def _count(kind: int) -> Column:
+    """Base spans of one kind (a lambda of one argument: a second one would be the index)."""
+    return F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts by kind, the digest of the base spans and all spans as text."""
-    counts = [F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [_count(k) for k in range(4)]
     return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
