@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, fm_quality, ftrl_toxicity, line_dedup, pii_disclosure, simhash_golay, spaced_seeds, stream_dedup, suffix_dedup, text_density
+from . import bit_sliced, bpe_chunks, filter_audit, fm_quality, ftrl_toxicity, hard_negatives, line_dedup, pii_disclosure, simhash_golay, spaced_seeds, stream_dedup, suffix_dedup, text_density
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -81,3 +81,19 @@ def op10_spaced_seed_decontamination(spark, sf_dir):
         "doc_id", (F.size("overlaps") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"),
         F.array_join(ids.cast("array<string>"), ",").alias("items"),
         F.array_join(F.transform("overlaps", lambda o: F.concat_ws(":", o["item_id"], o["first"], o["last"])), ",").alias("runs"))
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_bit_sliced_top_k(spark, sf_dir):
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
