@@ -4,6 +4,7 @@ hash-bucket ranks, multi-pivot kNN) give the same answers as brute force."""
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,48 @@ def test_knn_in_rare_and_null_blocks(spark):
     assert len(got) == len(pts) and {k: got[k] for k in want} == want
 
 
+def knn_of(df, k, **kw):
+    got = {}
+    for r in nb.knn(df, "id", "v", k, **kw).collect():
+        got.setdefault(r["id"], []).append((r["nb_rank"], r["nb_key"]))
+    return {k: [b for _, b in sorted(v)] for k, v in got.items()}
+
+
+def test_knn_over_many_tiles(spark, monkeypatch):
+    """Tiles of a few rows: dense near copies, exact ties on a grid, a rare
+    block; the same neighbours as by brute force."""
+    monkeypatch.setattr(nb, "TILE_ROWS", 25)
+    monkeypatch.setattr(nb, "QUERY_ROWS", 7)
+    monkeypatch.setattr(nb, "PAIRS", 50)
+    rnd = random.Random(21)
+    pts = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(150)]
+    pts += [(200 + i, [0.25 + rnd.random() * 1e-7] + [0.5] * 5) for i in range(60)]
+    pts += [(300 + i, [float(i % 5), float(i // 5), 0.0, 0.0, 0.0, 1000.0]) for i in range(25)]
+    rare = [(900 + i, [float(i)] * 6) for i in range(4)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in pts] + [(i, v, 1) for i, v in rare], "id long, v array<double>, b int")
+    assert knn_of(df, 4, block=["b"]) == {**brute_knn(pts, 4), **brute_knn(rare, 4)}
+    assert knn_of(df, 1) == brute_knn(pts + rare, 1)
+
+
+def test_knn_leaves_out_unusable_vectors(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 0.0]), (5, [None, 1.0]), (6, [float("inf"), 0.0]), (7, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert knn_of(df, 9) == {1: [7, 2] if hashlib.md5(b"7").hexdigest() < hashlib.md5(b"2").hexdigest() else [2, 7], 2: [7, 1], 7: [2, 1]}
+    assert nb.knn(df.limit(0), "id", "v", 3).collect() == []
+
+
+def test_bounds_hold_and_leave_few_pairs_to_measure(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in e], float)
+    true = np.sqrt(((x[:300, None] - x[None, :300]) ** 2).sum(axis=2))
+    for bits in (2, 4, 8):
+        low, high = nb.bounds(*nb.approximate(x[:300], bits), np.arange(300), np.arange(300))
+        assert (low <= true).all() and (true <= high).all()
+    every = np.arange(len(x))
+    *_, pairs = nb.nearest(x, every, every, 5)
+    assert pairs < 0.05 * len(x) ** 2
+
+
 def test_null_labels_keep_their_rows(spark):
     df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "encounter_id long, y int")
     assert bal.stratified_split(df, 0.2, "y").count() == 100

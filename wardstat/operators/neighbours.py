@@ -1,28 +1,30 @@
 """Exact k nearest neighbours, SMOTE and Tomek links (#27, #124-#126).
 
-Exact kNN join by pivot cells, with no all-pairs enumeration (over
-distinct vectors; copies are handled in ``knn``):
-
-1. ``m`` pivots = the points first in md5 order (``m`` from the row count,
-   its square root).
-2. Every point gets its distance to all pivots, its cell (nearest pivot) and
-   the distance to that pivot; per cell, radius ``r`` and count.
-3. Per block and cell an upper bound ``theta`` on the k-NN distance of any of its
-   points: the smallest ``B`` with at least ``k + 1`` points inside
-   ``d(p_c, p_c') + r_c' <= B``, then ``theta = r_c + B``.
-4. A point ``s`` is a candidate for cell ``c`` only when
-   ``d(s, p_c) <= r_c + theta_c`` (triangle inequality: any true neighbour of
-   a point of ``c`` passes), so each point is copied to a few nearby cells.
-5. Queries of a cell meet its candidates (same block) and keep the ``k``
-   closest, ties broken by key.
-
-Distances are squared Euclidean, summed left to right over the vector.
+Exact kNN join by quantised approximations, over distinct vectors (copies are
+handled in ``knn``):
+
+1. The rows of a block are dealt to tiles of about ``TILE_ROWS`` rows by the
+   hash of their id; every pair of tiles of a block is one group, so a block
+   of any size is spread over tasks, and a group is bounded.
+2. In a group each component is rounded to ``BITS`` bits of a common step.
+   With ``e`` the length of what rounding left of a vector, the distance of
+   two vectors lies within ``e + e'`` of the distance of their
+   approximations, which is one product of small integers.
+3. Rows whose lower bound is above the k-th smallest upper bound of a query
+   cannot be among its neighbours in the group; only the others are measured
+   exactly, and the ``k`` nearest of each query leave the group.
+4. The ``k`` nearest over all groups of a query are its neighbours.
+
+No column grows with the table, and nothing is sent to the driver.  Distances
+are squared Euclidean, summed left to right over the vector; ties go by
+(md5(key), key).  Rows without a vector, or with a null, NaN or infinite
+component, take no part; shorter vectors count as filled up with zeros.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,69 +32,112 @@ from ..functions.columns import col_of
 from ..session import cut_lineage
 from .balance import hash_rank, md5_number, md5_text, minority_majority
 
-TOLERANCE = 1e-9
+TILE_ROWS = 8192
+#: bits of an approximation's component
+BITS = 8
+#: queries of a tile that are bounded at once, and pairs that are measured at once
+QUERY_ROWS = 1024
+PAIRS = 1 << 20
+#: share of a bound that covers the rounding of its own arithmetic
+TOLERANCE = 1e-6
+
+
+def approximate(x: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Integer codes of the rows (less each column's least value, in steps of
+    one common size), the length of each row's rounding error, and the step."""
+    low = x.min(axis=0) if len(x) else np.zeros(x.shape[1])
+    step = float((x - low).max(initial=0.0)) / ((1 << bits) - 1) or 1.0
+    codes = np.rint((x - low) / step)
+    return codes, np.sqrt((((x - low) - codes * step) ** 2).sum(axis=1)), step
+
+
+def bounds(codes: np.ndarray, error: np.ndarray, step: float, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the distances of rows ``a`` to rows ``b``."""
+    # sums of at most 2^24 are exact in single precision
+    kind = np.float32 if codes.shape[1] * float(codes.max(initial=0)) ** 2 < 2 ** 24 else np.float64
+    left, right = codes[a].astype(kind), codes[b].astype(kind)
+    square = (left * left).sum(axis=1)[:, None] + (right * right).sum(axis=1) - 2 * (left @ right.T)
+    near = np.sqrt(np.maximum(square, 0)) * kind(step)
+    slack = (error[a][:, None] + error[b]).astype(kind) + kind(TOLERANCE * step) + kind(TOLERANCE) * near
+    return near - slack, near + slack
+
 
+def measured(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows, summed from left to right."""
+    out = np.zeros(len(a))
+    for at in range(0, len(a), PAIRS):
+        part = slice(at, at + PAIRS)
+        for d in range(x.shape[1]):
+            gap = x[a[part], d] - x[b[part], d]
+            out[part] += gap * gap
+    return out
 
-def sqdist(a: Column, b: Column) -> Column:
-    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.aggregate(sq, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+
+def nearest(x: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of rows ``a``, the ``k`` nearest other rows among ``b`` (ties: the first
+    of ``b``): pairs (a, b), their squared distances, and how many pairs were
+    measured."""
+    codes, error, step = approximate(x, bits)
+    own, out, n = np.zeros(len(x), np.int64) - 1, [], 0
+    own[b] = np.arange(len(b))
+    for at in range(0, len(a), QUERY_ROWS):
+        part = a[at:at + QUERY_ROWS]
+        low, high = bounds(codes, error, step, part, b)
+        here = np.flatnonzero(own[part] >= 0)
+        low[here, own[part[here]]] = np.inf
+        high[here, own[part[here]]] = np.inf
+        if high.shape[1] > k:
+            low[low > np.partition(high, k - 1, axis=1)[:, k - 1][:, None]] = np.inf
+        q, c = np.nonzero(low < np.inf)
+        dist = measured(x, part[q], b[c])
+        n += len(q)
+        order = np.lexsort((c, dist, q))
+        q, c, dist = q[order], c[order], dist[order]
+        first = np.searchsorted(q, np.arange(len(part)))
+        kept = np.arange(len(q)) - first[q] < k
+        out.append((part[q[kept]], b[c[kept]], dist[kept]))
+    if not out:
+        return a[:0], b[:0], np.zeros(0), n
+    return *(np.concatenate(z) for z in zip(*out)), n
+
+
+def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.combine_chunks()
+    size = np.diff(rows.offsets.to_numpy())
+    out = np.zeros((len(size), int(size.max(initial=0))))
+    out[np.arange(out.shape[1]) < size[:, None]] = rows.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def _knn_distinct(pts: DataFrame, k: int, block) -> DataFrame:
-    """Pivot-cell kNN over ``(block.., _id, _v)`` rows whose vectors are
-    distinct within a block; ``(_q, nb_key, dist2, nb_rank)``."""
-    n = pts.count()
-    # 1. pivots: the first sqrt(n) points by hash, so that the distances to
-    # all pivots and the candidates of a cell grow alike; one row of them
-    m = max(1, math.isqrt(n))
-    piv = (pts.select("_id", "_v", md5_text("_id").alias("_h")).orderBy("_h", "_id").limit(m)
-           .withColumn("pidx", F.row_number().over(Window.orderBy("_h", "_id")) - 1))
-    piv_row = piv.agg(F.array_sort(F.collect_list(F.struct("pidx", "_v"))).alias("_pv"))
-    # 2. distances to every pivot, own cell
-    withp = pts.crossJoin(F.broadcast(piv_row)).withColumn(
-        "_dp", F.transform("_pv", lambda p: F.sqrt(sqdist(p["_v"], F.col("_v"))))).drop("_pv")
-    withp = withp.withColumn("_dmin", F.array_min("_dp")) \
-        .withColumn("cell", (F.array_position("_dp", F.col("_dmin")) - 1).cast("int"))
-    # counts and radii per (block, cell): a pair never crosses blocks, so a
-    # bound taken over all blocks would be too tight for a rare one
-    cells = withp.groupBy(*block, "cell").agg(F.max("_dmin").alias("r"), F.count(F.lit(1)).alias("cnt"))
-    # 3. theta per cell from pivot-to-pivot distances (m x m, bounded)
-    pp = piv.select(F.col("pidx").alias("c"), F.col("_v").alias("vc")).crossJoin(
-        F.broadcast(piv.select(F.col("pidx").alias("c2"), F.col("_v").alias("vc2"))))
-    pp = pp.select("c", "c2", F.sqrt(sqdist("vc", "vc2")).alias("dcc"))
+    """kNN over ``(block.., _id, _v)`` rows whose vectors are distinct within
+    a block; ``(_q, nb_key, dist2, nb_rank)``."""
     names = [f"_b{i}" for i in range(len(block))]
-    own = [col_of(b).alias(n) for b, n in zip(block, names)]
-    pp = pp.join(cells.select(*own, F.col("cell").alias("c2"), F.col("r").alias("r2"), "cnt"), "c2")
-    pp = pp.withColumn("ub", F.col("dcc") + F.col("r2"))
-    wc = Window.partitionBy(*names, "c").orderBy("ub", "c2").rowsBetween(Window.unboundedPreceding, 0)
-    pp = pp.withColumn("cum", F.sum("cnt").over(wc))
-    bound = pp.filter(F.col("cum") >= k + 1).groupBy(*names, F.col("c").alias("_c")).agg(F.min("ub").alias("_bound"))
-    same = F.col("cell") == F.col("_c")
-    for b, n in zip(block, names):
-        same = same & col_of(b).eqNullSafe(F.col(n))
-    reach = cells.join(bound, same, "left").select(
-        *own, "cell", (F.col("r") + F.col("r") + F.coalesce("_bound", F.lit(float("inf")))).alias("reach"))
-    # one map of at most ``m`` cells per block; the tolerance keeps points
-    # that rounding puts just outside the bound
-    reach_row = reach.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("cell", "reach"))).alias("_reach"))
-    # 4. replicate each point to the cells it can be a neighbour in
+    tiles = pts.groupBy(*[col_of(b).alias(n) for b, n in zip(block, names)]).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(TILE_ROWS)).cast("int").alias("_tiles"))
     here = F.lit(True)
     for b, n in zip(block, names):
         here = here & col_of(b).eqNullSafe(F.col(n))
-    cand = withp.join(reach_row, here).select(
-        *block, "_id", "_v", F.explode(F.filter(
-            F.sequence(F.lit(0), F.lit(m - 1)),
-            lambda i: F.element_at("_dp", i + 1) * (1 - TOLERANCE) <= F.coalesce(F.try_element_at("_reach", i), F.lit(-1.0)))
-        ).alias("cell"))
-    queries = withp.select(*block, F.col("_id").alias("_q"), F.col("_v").alias("_qv"), "cell")
-    near = cand.select(*own, F.col("_id"), F.col("_v"), F.col("cell").alias("_c"))
-    meet = F.col("cell") == F.col("_c")
-    for b, n in zip(block, names):
-        meet = meet & col_of(b).eqNullSafe(F.col(n))
-    pairs = queries.join(near, meet).filter(F.col("_q") != F.col("_id"))
-    pairs = pairs.select("_q", F.col("_id").alias("nb_key"), sqdist("_qv", "_v").alias("dist2"))
+    dealt = pts.join(tiles, here) if block else pts.crossJoin(F.broadcast(tiles))      # without a block, tiles is one row
+    dealt = dealt.select(*[col_of(b).alias(n) for b, n in zip(block, names)], "_id", "_v", md5_text("_id").alias("_h"),
+                         F.pmod(F.xxhash64("_id"), F.col("_tiles")).cast("int").alias("_tile"), "_tiles")
+    pairs = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).select(
+        *names, "_id", "_v", "_h", "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
+    kind = pts.schema["_id"].dataType.simpleString()
+    schema = f"_q {kind}, nb_key {kind}, dist2 double"
+
+    def search(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_h", "ascending"), ("_id", "ascending")])
+        x, tile, ids = _rows_of(group["_v"]), group["_tile"].to_numpy(), group["_id"].combine_chunks()
+        i, j = group["_i"][0].as_py(), group["_j"][0].as_py()
+        first, second = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        found = [nearest(x, first, second, k)] + ([nearest(x, second, first, k)] if i != j else [])
+        q, c, dist = (np.concatenate([f[z] for f in found]) for z in range(3))
+        return pa.table({"_q": ids.take(pa.array(q)), "nb_key": ids.take(pa.array(c)), "dist2": pa.array(dist)})
+
+    near = pairs.groupBy(*names, "_i", "_j").applyInArrow(search, schema)
     w = Window.partitionBy("_q").orderBy("dist2", md5_text("nb_key"), "nb_key")
-    return pairs.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
+    return near.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
 
 
 def knn(df: DataFrame, key: str, vec: str, k: int = 5, block=()) -> DataFrame:
@@ -108,8 +153,9 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, block=()) -> DataFrame:
     block = list(block)
     pts = df.select(*[col_of(b).alias(b) for b in block], col_of(key).alias("_id"),
                     F.transform(col_of(vec), lambda x: x.cast("double")).alias("_v"))
+    finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     # several passes read the points: write them once (Parquet lineage cut)
-    pts = cut_lineage(pts, "knn_points")
+    pts = cut_lineage(pts.filter(F.col("_v").isNotNull() & finite), "knn_points")
     # distinct vectors; representative = first member in md5 order
     dv = pts.groupBy(*block, "_v").agg(
         F.min_by("_id", F.struct(md5_text("_id"), F.col("_id"))).alias("_vid"),
