@@ -1,14 +1,17 @@
-"""Partition and bucket independence: the scale paths (bucketed prefix sums,
+"""Partition and bucket independence: the scale paths (range prefix sums,
 hash-bucket ranks, multi-pivot kNN) give the same answers as brute force."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardstat.operators import balance as bal, evaluate as ev, neighbours as nb
+from wardstat.operators import balance as bal, evaluate as ev, neighbours as nb, ranges
 
 
 @pytest.fixture
@@ -25,18 +28,83 @@ def brute_auc(rows):
     return tot / (len(pos) * len(neg))
 
 
-def test_prefix_sums_many_buckets(spark, scored, monkeypatch):
+def test_prefix_sums_many_ranges(spark, scored, monkeypatch):
     df, rows = scored
     one = ev.roc_auc(df).first()["roc_auc"]
-    monkeypatch.setattr(ev, "SCORES_PER_BUCKET", 7)   # forces ~140 buckets
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 7)   # forces ~140 ranges
     many = ev.roc_auc(df).first()["roc_auc"]
     assert one == many == pytest.approx(round(brute_auc(rows), 6))
     a = sorted(tuple(r) for r in ev.pr_curve(df).collect())
-    monkeypatch.setattr(ev, "SCORES_PER_BUCKET", 50_000)
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 50_000)
     b = sorted(tuple(r) for r in ev.pr_curve(df).collect())
     assert a == b
 
 
+def test_curves_of_scores_in_one_spot(spark, monkeypatch):
+    """99 % of the scores within 1e-6, and one far away: even ranges, and the
+    same curve points as from one range."""
+    df = spark.range(60_000).select(
+        F.col("id").alias("key"), (F.col("id") % 7 == 0).cast("int").alias("label"),
+        F.when(F.col("id") == 0, 1e9).when(F.col("id") % 100 == 1, F.col("id").cast("double")).otherwise(0.5 + F.col("id") * 1e-11).alias("score"))
+    one = sorted(tuple(r) for r in ev.roc_curve(df).collect())
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 3_000)
+    assert sorted(tuple(r) for r in ev.roc_curve(df).collect()) == one
+    sizes = sorted(r["count"] for r in ranges.with_ranges(df.select("score"), ["score"]).groupBy("_range").count().collect())
+    assert len(sizes) == 20 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_grouped_running_sums(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randint(0, 300), rnd.randint(1, 9)) for _ in range(900)]
+    rows = [(g, x, sum(n for h, y, n in rows if (h, y) == (g, x))) for g, x in {(g, x) for g, x, _ in rows}]
+    df = spark.createDataFrame(rows, "g string, x int, n long")
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 40)
+    for descending in (False, True):
+        got = {(r.g, r.x): (r.cum_n, r.all_n) for r in ranges.running_sums(df, ["g"], "x", ["n"], descending).collect()}
+        assert got == {(g, x): (sum(m for h, y, m in rows if h == g and (y >= x if descending else y <= x)),
+                                sum(m for h, _, m in rows if h == g)) for g, x, _ in rows}
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    rnd = random.Random(9)
+    cols = {"a": [rnd.gauss(0, 1) for _ in range(701)], "b": [float(rnd.choice([1, 2, 2, 7])) for _ in range(500)] + [None] * 201,
+            "c": [None] * 701, "d": [3.0] + [None] * 700}
+    df = spark.createDataFrame(list(zip(*cols.values())), "a double, b double, c double, d double")
+    p = [0, 0.01, 0.25, 0.5, 0.75, 0.9, 1]
+    for size in (50_000, 60):
+        monkeypatch.setattr(ranges, "ROWS_PER_RANGE", size)
+        got = {(r.column, r.probability): r.value for r in ranges.exact_quantiles(df, cols, p).collect()}
+        want = {(c, q): np.quantile([x for x in v if x is not None], q) for c, v in cols.items() if c != "c" for q in p}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    row = ranges.quantile_row(df, {"x": ("c", 0.5), "y": ("d", 0.5)}).first()
+    assert (row.x, row.y) == (None, 3.0)
+    assert ranges.quantile_row(df.limit(0), {"x": ("a", 0.5)}).first().x is None
+
+
+BIG = """
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import functions as F
+from wardstat.session import get_session
+from wardstat.operators import ranges
+spark = get_session("local[4]", 16, extra={{"spark.driver.memory": "900m", "spark.checkpoint.dir": {folder!r}}})
+n = 10_000_000
+df = spark.range(n).select(((F.col("id") * 7919 + 13) % n / 3).alias("x"))
+print("QUANTILES", [r.value for r in ranges.exact_quantiles(df, ["x"], [0, 0.25, 0.5, 1]).orderBy("probability").collect()])
+spark.stop()
+"""
+
+
+def test_quantiles_of_ten_million_distinct_values(tmp_dir):
+    """A heap of 900 MB for driver and executors together."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", BIG.format(root=root, folder=tmp_dir)], capture_output=True, text=True, timeout=600,
+                         env={**os.environ, "PYSPARK_SUBMIT_ARGS": "--driver-memory 900m pyspark-shell"})
+    last = 10_000_000 - 1
+    want = [0.0, last / 4 / 3, last / 2 / 3, last / 3]
+    got = next(x for x in out.stdout.splitlines() if x.startswith("QUANTILES"))
+    assert [float(x) for x in got[len("QUANTILES ["):-1].split(",")] == pytest.approx(want)
+
+
 def test_hash_rank_is_exact_and_partition_independent(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 3).cast("int").alias("g"))
     spark.conf.set("spark.sql.shuffle.partitions", "1")

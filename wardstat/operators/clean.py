@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import codes
 from ..functions.columns import col_of, null_if_tokens
+from .ranges import quantile_row
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -216,7 +217,7 @@ def impute(df: DataFrame, diag_prefix: str = "diag_", diag_fill: str = "0",
     cat = [c for c in todo if c not in nums and c not in diag]
     fills: dict = {c: diag_fill for c in diag}
     if num:
-        med = df.agg(*[F.median(col_of(c)).alias(c) for c in num]).first()
+        med = quantile_row(df, {c: (c, 0.5) for c in num}).first()
         fills.update({c: med[c] for c in num if med[c] is not None})
     if cat:
         modes = {r["column"]: r["mode"] for r in mode_values(df, cat).collect()}  # <= len(cat) rows

@@ -1,11 +1,10 @@
 """Evaluation of a scored table ``(key, label, score)`` (#92-#105).
 
 Threshold metrics are conditional sums (one aggregate).  Curves need
-cumulative counts in score order; instead of one global window (a single
-task), ``score_prefix`` groups by distinct score (partial aggregate), cuts
-the score range into equal-width buckets sized from the number of distinct
-scores, gets each bucket's offset from a small window over bucket totals, and
-runs the running sum inside each bucket.
+cumulative counts in score order: ``score_prefix`` groups by distinct score
+(partial aggregate) and takes running sums by counted ranges
+(``operators.ranges``), so no task holds more than a range of scores, however
+they are distributed.
 """
 
 from __future__ import annotations
@@ -15,55 +14,21 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..session import cut_lineage
-
-SCORES_PER_BUCKET = 50_000
-MAX_BUCKETS = 2_000_000
-
-
-def _counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.groupBy(F.col(score).alias("score")).agg(
-        F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
-        F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
+from .ranges import running_sums
 
 
 def score_prefix(df: DataFrame, label: str = "label", score: str = "score",
                  descending: bool = True, groups=()) -> DataFrame:
     """Per distinct score (within ``groups``): ``pos``, ``neg`` and inclusive
     running sums ``cum_pos``, ``cum_neg`` in score order, plus the group
-    totals ``P``, ``N``.
-
-    Per-group statistics (range, distinct scores, totals) are a small table
-    joined back, not a driver round trip; the bucket count of each group
-    follows its number of distinct scores."""
+    totals ``P``, ``N``."""
     groups = list(groups)
     g = df.groupBy(*[F.col(c) for c in groups], F.col(score).alias("score")).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
         F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
-    # four branches read the score counts: write them once instead of
-    # re-running the upstream plan per branch
     g = cut_lineage(g, "score_counts")
-    st = g.groupBy(*groups).agg(
-        F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.count(F.lit(1)).alias("_k"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    nb = F.least(F.lit(MAX_BUCKETS), F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(SCORES_PER_BUCKET))))
-    st = st.withColumn("_nb", nb.cast("int"))
-    span = F.col("_hi") - F.col("_lo")
-    raw = F.least(F.floor((F.col("score") - F.col("_lo")) / span * F.col("_nb")), F.col("_nb") - 1)
-    b = F.when((F.col("_nb") <= 1) | (span == 0), F.lit(0)).otherwise(raw).cast("int")
-    if descending:
-        b = F.col("_nb") - 1 - b  # bucket 0 holds the highest scores
-    gb = (g.join(F.broadcast(st), groups) if groups else g.crossJoin(F.broadcast(st))).withColumn("bucket", b)
-    tot = gb.groupBy(*groups, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    wo = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*groups, "bucket", F.coalesce(F.sum("bp").over(wo), F.lit(0)).alias("op"),
-                     F.coalesce(F.sum("bn").over(wo), F.lit(0)).alias("on"))
-    order = F.col("score").desc() if descending else F.col("score").asc()
-    wi = Window.partitionBy(*groups, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    j = gb.join(off, groups + ["bucket"])
-    return j.select(*groups, "score", "pos", "neg",
-                    (F.col("op") + F.sum("pos").over(wi)).cast("bigint").alias("cum_pos"),
-                    (F.col("on") + F.sum("neg").over(wi)).cast("bigint").alias("cum_neg"),
-                    F.col("P").cast("bigint").alias("P"), F.col("N").cast("bigint").alias("N"))
+    return (running_sums(g, groups, "score", ["pos", "neg"], descending)
+            .withColumnsRenamed({"all_pos": "P", "all_neg": "N"}))
 
 
 # #92

@@ -14,6 +14,7 @@ from ..functions import codes
 from ..functions.columns import (age_lower_bound, cmp_flag, col_of, complication_category,
                                  first_matching_code, group_change, icd9_from_parts, icd9_parts,
                                  interval_bins, isin_flag, map_lookup, merge_codes)
+from .ranges import quantile_row
 
 # #21 ----------------------------------------------------------------------
 DIAB_KEYS = [c for c, _, _ in codes.DIABETES_CODES]
@@ -144,11 +145,8 @@ def total_prior_visits(df: DataFrame) -> DataFrame:
 def high_utilizer(df: DataFrame, col: str = "total_prior_visits", q: float = 0.75) -> DataFrame:
     """1 when the value is strictly above the exact (linear) ``q`` quantile.
 
-    The quantile is a scalar aggregate joined back as a one-row broadcast
-    (no driver round trip).  Spark's exact ``percentile`` keeps a value->count
-    map, so its memory is bounded by the column's distinct values (small
-    visit counts), not by the number of rows."""
-    p = df.agg(F.percentile(col_of(col), F.lit(q)).alias("_q"))
+    The quantile (by counted ranges) is joined back as a one-row broadcast."""
+    p = quantile_row(df, {"_q": (col, q)})
     return df.crossJoin(F.broadcast(p)).withColumn(
         "high_utilizer", cmp_flag(col_of(col) > F.col("_q"))).drop("_q")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.columns import col_of, r6
 from .clean import numeric_columns, string_columns
+from .ranges import quantile_row
 
 
 def _pairs(df: DataFrame, cols, value_cast: str = "string") -> DataFrame:
@@ -46,50 +47,56 @@ def head_rows(df: DataFrame, key: str = "encounter_id", n: int = 5) -> DataFrame
 # #56 / #70
 def describe_numeric(df: DataFrame, cols=None, exclude=codes.ID_COLUMNS) -> DataFrame:
     """count, mean, std (n-1), min, q25, q50, q75, max per numeric column, exact
-    linear-interpolated quantiles; long form, one aggregate pass.  Exact
-    ``percentile`` buffers a value->count map, so its memory follows the
-    column's distinct values (small integer counts here), not row count."""
+    linear-interpolated quantiles (by counted ranges); long form, one aggregate
+    pass beside them."""
     cols = cols or [c for c in numeric_columns(df) if c not in exclude]
     aggs = []
     for i, c in enumerate(cols):
         x = col_of(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
-    m = df.agg(*aggs)
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    quartiles = quantile_row(df, {f"q{i}_{k}": (c, k / 4) for i, c in enumerate(cols) for k in (1, 2, 3)})
+    m = df.agg(*aggs).crossJoin(F.broadcast(quartiles))                 # one row each
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
                      F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                     F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("q25"),
-                     F.col(f"q{i}")[1].alias("q50"), F.col(f"q{i}")[2].alias("q75"),
+                     F.col(f"lo{i}").alias("min"), F.col(f"q{i}_1").alias("q25"),
+                     F.col(f"q{i}_2").alias("q50"), F.col(f"q{i}_3").alias("q75"),
                      F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)]
     out = m.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return out.select("column", "count", *[r6(c).alias(c) for c in
                                            ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
 
-def numeric_profile(df: DataFrame, cols) -> DataFrame:
-    """mean, median, std, min, max and bias-corrected skewness per column."""
+def _moments(df: DataFrame, cols) -> DataFrame:
+    """One row: count, mean, std, min, max and skewness of each column."""
     aggs = []
     for i, c in enumerate(cols):
         x = col_of(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.median(x).alias(f"md{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.skewness(x).alias(f"g{i}")]
-    m = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(cols):
-        n = F.col(f"n{i}").cast("double")
-        skew = F.when(n > 2, F.col(f"g{i}") * F.sqrt(n * (n - 1)) / (n - 2))
-        rows.append(F.struct(F.lit(i).alias("ord"), F.lit(c).alias("column"), F.col(f"a{i}").alias("mean"),
-                             F.col(f"md{i}").alias("median"), F.col(f"s{i}").alias("std"),
-                             F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), skew.alias("skew")))
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"g{i}")]
+    return df.agg(*aggs)
+
+
+def _skew(i: int):
+    """Bias-corrected skewness."""
+    n = F.col(f"n{i}").cast("double")
+    return F.when(n > 2, F.col(f"g{i}") * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def numeric_profile(df: DataFrame, cols) -> DataFrame:
+    """mean, median, std, min, max and bias-corrected skewness per column."""
+    m = _moments(df, cols).crossJoin(F.broadcast(quantile_row(df, {f"md{i}": (c, 0.5) for i, c in enumerate(cols)})))   # one row each
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(c).alias("column"), F.col(f"a{i}").alias("mean"),
+                     F.col(f"md{i}").alias("median"), F.col(f"s{i}").alias("std"),
+                     F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), _skew(i).alias("skew")) for i, c in enumerate(cols)]
     out = m.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return out.select("ord", "column", *[r6(c).alias(c) for c in ["mean", "median", "std", "min", "max", "skew"]])
 
 
 # #71
 def skewed_columns(df: DataFrame, cols, limit: float = 1.0) -> DataFrame:
-    return numeric_profile(df, cols).filter(F.abs("skew") > limit).select("ord", "column", "skew")
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(c).alias("column"), r6(_skew(i)).alias("skew")) for i, c in enumerate(cols)]
+    return _moments(df, cols).select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter(F.abs("skew") > limit)
 
 
 # #57
@@ -217,7 +224,8 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width bins between min and max (last bin closed), every bin
     listed; the median is attached for the reference line."""
     x = col_of(col).cast("double")
-    stats = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.median(x).alias("median"))
+    stats = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).crossJoin(
+        F.broadcast(quantile_row(df, {"median": (col, 0.5)})))                # one row each
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
@@ -234,8 +242,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def box_stats(df: DataFrame, col: str) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whisker ends inside the fences, outliers."""
     x = col_of(col).cast("double")
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantile_row(df, {"q1": (col, 0.25), "median": (col, 0.5), "q3": (col, 0.75)})
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lo_fence", F.col("q1") - 1.5 * F.col("iqr")) \
         .withColumn("hi_fence", F.col("q3") + 1.5 * F.col("iqr"))
