@@ -8,22 +8,24 @@ Fitting is distributed by Spark ML; tables that come out of a model
 
 from __future__ import annotations
 
+import math
+import re
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import RFormula, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, RFormula, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codes
 from ..functions.columns import col_of, r6
+from ..session import cut_lineage
 from .evaluate import model_comparison
 
 SEED = 42
@@ -186,11 +188,41 @@ def forest_importance(train: DataFrame, names, threshold: float = 0.001) -> Data
 
 
 # #117
-def l1_interaction_selection(train: DataFrame, names, C: float = 1.0, max_iter: int = 1000) -> DataFrame:
+def interaction_features(fit_on: DataFrame, numeric, categorical):
+    """Fitted stages that add ``features``: a sparse vector of all main terms
+    (the numerics, one 0/1 term a level of the text columns; a level unknown to
+    ``fit_on`` gives zeros) and of all products of terms of two columns.  (Two
+    levels of one column never meet, so their products are left out.)  Text
+    columns are taken from ``<name>__text``, see ``interaction_input``."""
+    numeric, categorical = list(numeric), list(categorical)
+    index = StringIndexer(inputCols=[f"{c}__text" for c in categorical], outputCols=[f"{c}__idx" for c in categorical],
+                          handleInvalid="keep", stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=categorical, dropLast=True)
+    cols = [*numeric, *categorical]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    products = [Interaction(inputCols=[a, b], outputCol=f"product{k}") for k, (a, b) in enumerate(pairs)]
+    together = VectorAssembler(inputCols=[*cols, *[f"product{k}" for k in range(len(pairs))]], outputCol="features")
+    return Pipeline(stages=[index, hot, *products, together]).fit(fit_on)
+
+
+def interaction_input(df: DataFrame, numeric, categorical, label: str = codes.TARGET, keep=()) -> DataFrame:
+    """The columns that ``interaction_features`` reads, and the label."""
+    return df.select(*[col_of(k) for k in keep], *[col_of(c).cast("double").alias(c) for c in numeric],
+                     *[col_of(c).cast("string").alias(f"{c}__text") for c in categorical], col_of(label).cast("double").alias("label"))
+
+
+def term_names(df: DataFrame, vector: str = "features") -> list[str]:
+    """Names of a vector's terms: ``column``, ``column_level`` and ``a:b``."""
+    groups = df.schema[vector].metadata["ml_attr"]["attrs"]
+    named = sorted((a["idx"], a["name"]) for g in groups.values() for a in g)
+    return [re.sub(r"^product[0-9]+_", "", n) for _, n in named]
+
+
+def l1_interaction_selection(train: DataFrame, names, C: float = 0.5, max_iter: int = 600) -> DataFrame:
     """L1 logistic regression (C as in the study: regParam = 1 / (C n)),
-    unstandardised; the non-zero terms."""
+    unstandardised, over ``features``; the non-zero terms by name."""
     n = train.count()
-    lr = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (C * n), standardization=False,
+    lr = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (C * max(n, 1)), standardization=False,
                             maxIter=max_iter)
     return coefficient_table(train.sparkSession, lr.fit(train), names)
 
@@ -218,27 +250,75 @@ def _glm_frame(spark, rows):
                      r6("stderr").alias("stderr"), r6("z").alias("z"), r6("p_value").alias("p_value"))
 
 
+GLM_STEPS, GLM_TOLERANCE = 25, 1e-10
+
+
 def univariate_glm(df: DataFrame, cols, target: str = codes.TARGET) -> DataFrame:
-    """One binomial GLM per numeric predictor; a failed fit gives an ERROR row."""
-    spark = df.sparkSession
+    """One binomial GLM (logit) per numeric predictor, all at once: rows are
+    counted by (predictor, value, outcome) in one pass, then every Newton step
+    of all models is one aggregate over the counts, of which the driver sees
+    one row a predictor.  Values are centred and scaled for the steps and the
+    coefficients turned back.  Rows without the value or the outcome are left
+    out.  A predictor or outcome that does not vary, or steps that do not
+    settle (separated outcomes), give an ERROR row."""
+    spark, cols = df.sparkSession, list(cols)
+    long = df.select(col_of(target).cast("double").alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), col_of(c).cast("double").alias("x")) for i, c in enumerate(cols)])).alias("p"))
+    counts = (long.select("p.c", "p.x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+              .groupBy("c", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut_lineage(counts, "glm_counts")
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
+    first = counts.groupBy("c").agg(F.sum(n).alias("n"), F.sum(n * y).alias("y"), (F.sum(n * x) / F.sum(n)).alias("mean"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    shape = {r["c"]: r for r in first.collect()}                       # one row a predictor
+    fits = {c: (0.0, 0.0) for c, r in shape.items() if r["lo"] < r["hi"] and 0 < r["y"] < r["n"]}
+    scale = {c: (r["mean"], r["hi"] - r["lo"]) for c, r in shape.items()}
+    done: dict = {}
+    for _ in range(GLM_STEPS):
+        if not fits:
+            break
+        at = spark.createDataFrame([(c, *scale[c], *b) for c, b in fits.items()], "c int, mean double, span double, b0 double, b1 double")
+        z = (x - F.col("mean")) / F.col("span")
+        p = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("z"))))
+        w = n * F.col("p") * (1 - F.col("p"))
+        rest = n * (y - F.col("p"))
+        step = (counts.join(F.broadcast(at), "c").withColumn("z", z).withColumn("p", p).groupBy("c").agg(
+            F.sum(w).alias("w"), F.sum(w * F.col("z")).alias("wz"), F.sum(w * F.col("z") * F.col("z")).alias("wzz"),
+            F.sum(rest).alias("r"), F.sum(rest * F.col("z")).alias("rz")))
+        for r in step.collect():                                       # one row a predictor
+            c, det = r["c"], r["w"] * r["wzz"] - r["wz"] * r["wz"]
+            if not det > 0.0:
+                del fits[c]
+                continue
+            d0, d1 = (r["wzz"] * r["r"] - r["wz"] * r["rz"]) / det, (r["w"] * r["rz"] - r["wz"] * r["r"]) / det
+            b0, b1 = fits[c][0] + d0, fits[c][1] + d1
+            if abs(b0) > 1e3 or abs(b1) > 1e3:
+                del fits[c]
+            elif abs(d0) + abs(d1) < GLM_TOLERANCE * (1 + abs(b0) + abs(b1)):
+                done[c] = (b0, b1, r["wzz"] / det, r["w"] / det, -r["wz"] / det)
+                del fits[c]
+            else:
+                fits[c] = (b0, b1)
     rows = []
-    for c in cols:
-        data = assemble(df.filter(col_of(c).isNotNull()), [c], target)
-        try:
-            m = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100).fit(data)
-            rows += glm_terms(m, [c], c)
-        except IllegalArgumentException:       # the solver refused the column; anything else is an error of the job
-            rows.append((c, "ERROR", None, None, None, None))
+    for c, name in enumerate(cols):
+        if c not in done:
+            rows.append((name, "ERROR", None, None, None, None))
+            continue
+        (b0, b1, v0, v1, v01), (m, s) = done[c], scale[c]
+        k = m / s
+        for term, b, v in ((name, b1 / s, v1 / s / s), ("Intercept", b0 - b1 * k, v0 + k * k * v1 - 2 * k * v01)):
+            z = b / math.sqrt(v)
+            rows.append((name, term, b, math.sqrt(v), z, math.erfc(abs(z) / math.sqrt(2))))
     return _glm_frame(spark, rows)
 
 
 def multivariable_glm(df: DataFrame, numeric, categorical, target: str = codes.TARGET) -> DataFrame:
     """One binomial GLM over all terms (categoricals dummy-coded against their
-    first sorted level); each term is mapped back to its source feature."""
+    first sorted level); each term is mapped back to its source feature.  Each
+    Newton step is one aggregate of the normal equations over the rows."""
     formula = f"{target} ~ " + " + ".join(list(numeric) + list(categorical))
     rf = RFormula(formula=formula, featuresCol="features", labelCol="label",
                   stringIndexerOrderType="alphabetAsc")
-    data = rf.fit(df).transform(df)
+    data = cut_lineage(rf.fit(df).transform(df).select("features", "label"), "glm_rows")
     attrs = data.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = [None] * sum(len(v) for v in attrs.values())
     for group in attrs.values():
@@ -254,16 +334,18 @@ def multivariable_glm(df: DataFrame, numeric, categorical, target: str = codes.T
 
 
 # #135
-def neural_indexed_pipeline(categorical, numeric, n_categorical_levels: int, hidden=(128, 64)) -> Pipeline:
+def fit_neural_indexed(train: DataFrame, categorical, numeric, hidden=(128, 64)) -> PipelineModel:
     """Indexed categoricals one-hot encoded (unknown -> zeros) plus scaled
-    numerics into a feed-forward network."""
+    numerics into a feed-forward network, whose input is as wide as the encoder
+    fitted on ``train`` makes it."""
     from .encode import one_hot_pipeline
-    stages = one_hot_pipeline(categorical)
+    encoder = Pipeline(stages=one_hot_pipeline(categorical)).fit(train)
+    width = sum(size - 1 for size in encoder.stages[-1].categorySizes)       # without the place of unknown levels
     va = VectorAssembler(inputCols=[f"oh_{c}" for c in categorical] + list(numeric), outputCol="raw",
                          handleInvalid="keep")
     sc = StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True)
-    n_in = n_categorical_levels + len(numeric)
-    return Pipeline(stages=[*stages, va, sc, neural(n_in, hidden)])
+    rest = Pipeline(stages=[va, sc, neural(width + len(numeric), hidden)]).fit(encoder.transform(train))
+    return PipelineModel(stages=[*encoder.stages, *rest.stages])
 
 
 # #9 / #140

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..operators import balance as bal, encode as enc, models as ml, neighbours as nb
 from ..session import cut_lineage
+from . import oracle_sql as O
 from .registry import register
 from .pipeline import cleaned, featured
 from .queries_profile import KEY_NUMERICAL
@@ -60,19 +61,85 @@ def q_forest_imp(spark, sf):
 
 @register("l1_logistic_coefficients")
 def q_l1(spark, sf):
+    """L1 over the plain features (no interactions)."""
     train, _ = split_scaled(spark, sf)
-    return ml.l1_interaction_selection(train, MODEL_FEATURES, C=1.0)
-
-
-@register("glm_univariate")
+    return ml.l1_interaction_selection(train, MODEL_FEATURES, C=1.0, max_iter=1000)
+
+
+L1_CATEGORICAL = ["age", "gender", "race", "diag_1_category", "A1Cresult", "insulin", "change", "diabetesMed"]
+
+
+def interaction_train(spark, sf):
+    """Rows and fitted stages of the interaction model: 75 % of each class."""
+    c = cleaned(spark, sf, ["encounter_id", *KEY_NUMERICAL, *L1_CATEGORICAL, codes.TARGET])
+    split = bal.stratified_split(c, 0.25).filter(F.col("split") == "train").drop("split")
+    train = cut_lineage(ml.interaction_input(split, KEY_NUMERICAL, L1_CATEGORICAL))
+    return train, ml.interaction_features(train, KEY_NUMERICAL, L1_CATEGORICAL)
+
+
+def _terms_sql(numeric, categorical):
+    """All main terms and products of terms of two columns, from the train rows."""
+    cols = [*numeric, *categorical]
+    main = " UNION ALL ".join([f"SELECT {i} AS c, '{x}' AS term" for i, x in enumerate(numeric)] + [
+        f"SELECT DISTINCT {len(numeric) + i}, '{x}_' || {O.ident(x)} FROM tr WHERE {O.ident(x)} IS NOT NULL" for i, x in enumerate(categorical)])
+    return O.CLEANED + f"""
+, rk AS (SELECT *, row_number() OVER (PARTITION BY readmitted_binary ORDER BY md5(CAST(encounter_id AS VARCHAR)), encounter_id) AS rnk,
+           count(*) OVER (PARTITION BY readmitted_binary) AS n_c FROM cleaned),
+tr AS (SELECT * FROM rk WHERE rnk > round(n_c * 0.25)),
+t AS ({main})
+SELECT term FROM t UNION ALL SELECT a.term || ':' || b.term FROM t a JOIN t b ON a.c < b.c AND a.c < {len(cols)}"""
+
+
+@register("l1_interaction_terms", _terms_sql(KEY_NUMERICAL, L1_CATEGORICAL))
+def q_l1_terms(spark, sf):
+    """The terms among which the L1 model selects."""
+    train, stages = interaction_train(spark, sf)
+    return spark.createDataFrame([(n,) for n in ml.term_names(stages.transform(train))], "term string")
+
+
+@register("l1_interaction_selection")
+def q_l1_interactions(spark, sf):
+    train, stages = interaction_train(spark, sf)
+    data = stages.transform(train)
+    names = ml.term_names(data)
+    return ml.l1_interaction_selection(cut_lineage(data.select("features", "label")), names)
+
+
+def _glm_sql(cols, steps=12):
+    """The Newton steps of all one-column models, written out, from zero."""
+    counts = " UNION ALL ".join(
+        f"SELECT {O.q(c)} AS feature, CAST({O.ident(c)} AS DOUBLE) AS x, CAST(readmitted_binary AS DOUBLE) AS y, count(*) AS n "
+        f"FROM cleaned WHERE {O.ident(c)} IS NOT NULL GROUP BY 2, 3" for c in cols)
+    sql = O.CLEANED + f"""
+, k AS MATERIALIZED ({counts}),
+b0 AS (SELECT feature, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM k GROUP BY feature
+       HAVING min(x) < max(x) AND min(y) < max(y))"""
+    for i in range(steps):
+        sql += f""",
+s{i + 1} AS (SELECT feature, a, b, sum(n * p * (1 - p)) AS w, sum(n * p * (1 - p) * x) AS wx, sum(n * p * (1 - p) * x * x) AS wxx,
+       sum(n * (y - p)) AS r, sum(n * (y - p) * x) AS rx
+       FROM (SELECT k.*, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM k JOIN b{i} USING (feature)) GROUP BY feature, a, b),
+b{i + 1} AS (SELECT feature, a + (wxx * r - wx * rx) / (w * wxx - wx * wx) AS a, b + (w * rx - wx * r) / (w * wxx - wx * wx) AS b,
+       wxx / (w * wxx - wx * wx) AS va, w / (w * wxx - wx * wx) AS vb FROM s{i + 1})"""
+    erfc = ("u * exp(-h * h - 1.26551223 + u * (1.00002368 + u * (0.37409196 + u * (0.09678418 + u * (-0.18628806 + u * (0.27886807 "
+            "+ u * (-1.13520398 + u * (1.48851587 + u * (-0.82215223 + u * 0.17087277)))))))))")
+    return sql + f""",
+t AS (SELECT feature, feature AS term, b AS coef, sqrt(vb) AS se FROM b{steps} UNION ALL SELECT feature, 'Intercept', a, sqrt(va) FROM b{steps}),
+e AS (SELECT *, abs(coef / se) / sqrt(2.0) AS h, 1.0 / (1.0 + 0.5 * abs(coef / se) / sqrt(2.0)) AS u FROM t)
+SELECT feature, term, round(coef, 6) AS coef, round(exp(coef), 6) AS odds_ratio, round(exp(coef - 1.96 * se), 6) AS or_ci_low,
+  round(exp(coef + 1.96 * se), 6) AS or_ci_high, round(se, 6) AS stderr, round(coef / se, 6) AS z, round({erfc}, 6) AS p_value FROM e
+UNION ALL SELECT DISTINCT feature, 'ERROR', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM k WHERE feature NOT IN (SELECT feature FROM b0)"""
+
+
+@register("glm_univariate", _glm_sql(KEY_NUMERICAL))
 def q_glm_uni(spark, sf):
     return ml.univariate_glm(cleaned(spark, sf, [*KEY_NUMERICAL, codes.TARGET]), KEY_NUMERICAL)
 
 
 @register("glm_multivariable")
 def q_glm_multi(spark, sf):
-    return ml.multivariable_glm(cleaned(spark, sf), ["time_in_hospital", "num_medications", "number_inpatient"],
-                                ["age", "diag_1_category"])
+    numeric, categorical = ["time_in_hospital", "num_medications", "number_inpatient"], ["age", "diag_1_category"]
+    return ml.multivariable_glm(cleaned(spark, sf, [*numeric, *categorical, codes.TARGET]), numeric, categorical)
 
 
 @register("neural_network_undersampled")

@@ -59,13 +59,11 @@ NN_CATEGORICAL = ["age", "race", "gender", "diag_1_category", "A1Cresult"]
 
 @register("neural_network_indexed")
 def q_neural_indexed(spark, sf):
-    c = bal.stratified_split(cleaned(spark, sf), 0.2)
-    lv = enc.levels_of(c, NN_CATEGORICAL)
-    n_levels = sum(len(v) for v in lv.values())   # unknown slot is dropped by dropLast
+    c = bal.stratified_split(cleaned(spark, sf, ["encounter_id", *NN_CATEGORICAL, *KEY_NUMERICAL, codes.TARGET]), 0.2)
     data = c.select("encounter_id", "split", *NN_CATEGORICAL,
                     *[F.col(x).cast("double").alias(x) for x in KEY_NUMERICAL],
                     F.col(codes.TARGET).cast("double").alias("label"))
     train = bal.undersample(data.filter(F.col("split") == "train").withColumn("_y", F.col("label").cast("int")),
                             1.0, label="_y").drop("_y")
-    model = ml.neural_indexed_pipeline(NN_CATEGORICAL, KEY_NUMERICAL, n_levels).fit(train)
+    model = ml.fit_neural_indexed(train, NN_CATEGORICAL, KEY_NUMERICAL)
     return ml.score(model, data.filter(F.col("split") == "test"))
