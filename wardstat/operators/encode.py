@@ -12,49 +12,99 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.columns import col_of, r6
 from ..session import cut_lineage
+from .ranges import running_sums
+from .stats import target_correlation
+
+# #106 - #108: level dictionary
+def level_dictionary(df: DataFrame, cols) -> DataFrame:
+    """``(column, level, index, levels)``: the distinct non-null levels of each
+    column as text, their rank 0..n-1 in sorted order and the column's number
+    of levels.  Ranks are running counts by ranges, for any number of levels."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), col_of(c).cast("string").alias("level")) for c in cols])).alias("p")).select("p.*")
+    pairs = cut_lineage(pairs.filter(F.col("level").isNotNull()).distinct().withColumn("n", F.lit(1)), "levels")
+    ranked = running_sums(pairs, ["column"], "level", ["n"])
+    return ranked.select("column", "level", (F.col("cum_n") - 1).cast("int").alias("index"), F.col("all_n").cast("int").alias("levels"))
 
-MAX_LEVELS = 10_000
 
+def index_levels(df: DataFrame, cols, dictionary: DataFrame, suffix: str = "__idx") -> DataFrame:
+    """``df`` with ``<col>__idx``: a level's index in the dictionary (null for a
+    null or unknown one)."""
+    for i, c in enumerate(cols):
+        own = dictionary.filter(F.col("column") == c).select(F.col("level").alias(f"_l{i}"), F.col("index").alias(f"{c}{suffix}"))
+        df = df.join(own, col_of(c).cast("string") == F.col(f"_l{i}"), "left").drop(f"_l{i}")
+    return df
 
-def levels_of(df: DataFrame, cols, max_levels: int = MAX_LEVELS) -> dict:
-    """Sorted distinct non-null levels of several columns in one job
-    (distinct (column, value) pairs; at most ``max_levels`` per column reach
-    the driver, more raise)."""
-    cols = list(cols)
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("c"), col_of(c).cast("string").alias("v")) for i, c in enumerate(cols)]))
-        .alias("p")).select("p.c", "p.v").filter(F.col("v").isNotNull()).distinct()
-    rows = pairs.limit(len(cols) * max_levels + 1).collect()
-    out = {c: [] for c in cols}
-    for r in rows:
-        out[cols[r["c"]]].append(r["v"])
-    for c, v in out.items():
-        if len(v) > max_levels or len(rows) > len(cols) * max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels; use label_index or frequency_encode")
-    return {c: sorted(v) for c, v in out.items()}
 
+def dictionary_sizes(dictionary: DataFrame, cols) -> dict:
+    """Number of levels of each column (one row a column to the driver)."""
+    found = {r["column"]: r["levels"] for r in dictionary.groupBy("column").agg(F.max("levels").alias("levels")).collect()}
+    return {c: found.get(c, 0) for c in cols}
 
-def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-null levels (refuses unbounded columns)."""
-    return levels_of(df, [col], max_levels)[col]
+
+def one_hot_active(df: DataFrame, cols, dictionary: DataFrame | None = None, out: str = "active") -> DataFrame:
+    """``df`` with the places of the ones of its one-hot row: a sorted array, the
+    columns' levels one after another; null and unknown levels have no place."""
+    dictionary = cut_lineage(level_dictionary(df, cols), "dictionary") if dictionary is None else dictionary
+    sizes, parts, at = dictionary_sizes(dictionary, cols), [], 0
+    for c in cols:
+        parts.append(F.col(f"`{c}__idx`") + F.lit(at))
+        at += sizes[c]
+    found = index_levels(df, cols, dictionary).withColumn(out, F.array_compact(F.array(*parts)))
+    return found.drop(*[f"{c}__idx" for c in cols])
+
+
+def vector_sizes(dictionary: DataFrame, cols, drop_first: bool = False) -> dict:
+    """Width of each column's vector: its levels, less the first; 1 at least."""
+    return {c: max(n - drop_first, 1) for c, n in dictionary_sizes(dictionary, cols).items()}
+
+
+def one_hot_vectors(df: DataFrame, cols, dictionary: DataFrame | None = None, output_prefix: str = "oh_",
+                    drop_first: bool = False) -> DataFrame:
+    """``df`` with a sparse 0/1 vector ``oh_<col>`` for each column, as wide as
+    the column's dictionary (less its first level with ``drop_first``); null
+    and unknown levels give zeros.  The levels stay in the dictionary: the
+    driver sees their numbers only."""
+    from pyspark.ml.feature import OneHotEncoder
+    dictionary = cut_lineage(level_dictionary(df, cols), "dictionary") if dictionary is None else dictionary
+    sizes = vector_sizes(dictionary, cols, drop_first)
+    found = index_levels(df, cols, dictionary)
+    for c in cols:
+        index = F.col(f"`{c}__idx`") - int(drop_first)
+        place = F.when(index >= 0, index).otherwise(F.lit(sizes[c])).cast("double")
+        found = found.withColumn(f"{c}__idx", place.alias(f"{c}__idx", metadata={
+            "ml_attr": {"type": "nominal", "name": c, "num_vals": sizes[c] + 1}}))
+    encoder = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{output_prefix}{c}" for c in cols], dropLast=True)
+    return encoder.fit(found).transform(found).drop(*[f"{c}__idx" for c in cols])
+
+
+def encoded_places(numeric, dictionary: DataFrame, cols) -> DataFrame:
+    """``(feature, position)`` of the columns of the encoded vector: numerics,
+    then the levels of each column but the first."""
+    sizes, at, start = vector_sizes(dictionary, cols, drop_first=True), len(list(numeric)), {}
+    for c in cols:
+        start[c] = at
+        at += sizes[c]
+    spark = dictionary.sparkSession
+    plain = spark.createDataFrame([(c, i) for i, c in enumerate(numeric)], "feature string, position int")
+    offset = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(start[c]))])
+    hot = dictionary.filter((F.col("index") > 0) & F.col("column").isin(list(cols))).select(
+        F.concat("column", F.lit("_"), "level").alias("feature"), (offset[F.col("column")] + F.col("index") - 1).alias("position"))
+    return plain.unionByName(hot)
 
 
 # #106
 def one_hot(df: DataFrame, cols, drop_first: bool = True, keep_source: bool = False) -> DataFrame:
     """0/1 integer dummies ``<col>_<level>`` (first sorted level dropped when
-    ``drop_first``); a null gives all zeros."""
-    out = df
-    all_levels = levels_of(df, cols)
-    for c in cols:
-        lv = all_levels[c]
-        typed = df.schema[c].dataType
-        lv = [v if typed.simpleString() == "string" else v for v in lv]
-        use = lv[1:] if drop_first else lv
-        out = out.withColumns({f"{c}_{v}": F.coalesce((col_of(c) == F.lit(v)), F.lit(False)).cast("int")
-                               for v in use})
-        if not keep_source:
-            out = out.drop(c)
-    return out
+    ``drop_first``); a null gives all zeros.  One column a level: the levels
+    read from the dictionary are the result's schema.  Columns whose levels
+    grow with the table belong into ``one_hot_vectors`` or ``one_hot_active``."""
+    levels: dict = {c: [] for c in cols}
+    for r in level_dictionary(df, cols).orderBy("column", "index").toLocalIterator():
+        levels[r["column"]].append(r["level"])
+    out = df.select("*", *[F.coalesce((col_of(c).cast("string") == F.lit(v)), F.lit(False)).cast("int").alias(f"{c}_{v}")
+                           for c in cols for v in levels[c][1 if drop_first else 0:]])
+    return out if keep_source else out.drop(*cols)
 
 
 # #107
@@ -72,17 +122,11 @@ def one_hot_pipeline(cols, output_prefix: str = "oh_"):
 
 # #108
 def label_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Sorted code 0..n-1 per distinct value (null stays null)."""
+    """Sorted code 0..n-1 per distinct value (null stays null), for any number
+    of levels."""
     out = out or f"{col}_idx"
-    # any number of levels: range-partition the distinct ones, rank inside a
-    # range, add the counts of the ranges before it
-    lv = df.select(col_of(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct().repartitionByRange("_v")
-    lv = cut_lineage(lv.withColumn("_part", F.spark_partition_id()), "levels")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    off = lv.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select(
-        "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_v")) - 1
-    lv = lv.join(off, "_part").select("_v", (rank + F.col("_off")).cast("int").alias(out))
+    lv = cut_lineage(df.select(col_of(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct().withColumn("n", F.lit(1)), "levels")
+    lv = running_sums(lv, [], "_v", ["n"]).select("_v", (F.col("cum_n") - 1).cast("int").alias(out))
     return df.join(lv, col_of(col).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
@@ -134,7 +178,6 @@ def pairwise_interactions(df: DataFrame, cols) -> DataFrame:
 # #113
 def select_by_correlation(df: DataFrame, cols, threshold: float = 0.01,
                           target: str = codes.TARGET) -> DataFrame:
-    from .stats import target_correlation
     return target_correlation(df, cols, target).filter(F.col("abs_corr") > threshold)
 
 
@@ -175,18 +218,56 @@ def mutual_information(df: DataFrame, cols, k: int | None = None, bins: int = 10
     return out.filter(F.col("rank") <= k) if k else out
 
 
+# #113 - #116 over one-hot columns
+def encoded_scores(df: DataFrame, numeric, categorical, target: str = codes.TARGET, bins: int = 10) -> DataFrame:
+    """``(ord, place, feature, corr, mi)`` of every column of the one-hot encoded
+    table: the numerics, then ``<col>_<level>`` for each level of the text
+    columns but the first in sorted order (``ord``, ``place``: the column and
+    the level's rank).  Correlation and mutual information (nats) of a 0/1
+    column come in closed form from the counts of its four cells, so the
+    encoded table, however wide, is never made.  Rows of null level count as 0
+    in all columns of it."""
+    numeric, categorical, y = list(numeric), list(categorical), col_of(target)
+    corr = target_correlation(df, numeric, target).select("feature", "corr")
+    mi = mutual_information(df, numeric, bins=bins, target=target).select("feature", "mi")
+    place = F.create_map(*[x for i, c in enumerate(numeric) for x in (F.lit(c), F.lit(i))])
+    plain = corr.join(mi, "feature", "left").select(place[F.col("feature")].alias("ord"), F.lit(0).alias("place"), "feature", "corr", "mi")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), col_of(c).cast("string").alias("level"))
+                                          for i, c in enumerate(categorical)])).alias("p"), y.alias("y")).groupBy("p.c", "p.level").agg(
+        F.count("y").alias("n1"), F.sum((F.col("y") == 1).cast("bigint")).alias("n11"))
+    cells = cut_lineage(cells, "cells").filter(F.col("level").isNotNull()).withColumn("n", F.lit(1))
+    levels = running_sums(cells, ["c"], "level", ["n"]).filter(F.col("cum_n") > 1)
+    whole = df.agg(F.count(y).alias("_rows"), F.sum((y == 1).cast("bigint")).alias("_positive"))
+    j = levels.crossJoin(F.broadcast(whole))                                          # one row
+    n1, n11, big, pos = (F.col(c).cast("double") for c in ("n1", "n11", "_rows", "_positive"))
+    phi = F.try_divide(big * n11 - n1 * pos, F.sqrt(n1 * (big - n1) * pos * (big - pos)))
+    def cell(k, row, column):
+        return F.when(k > 0, k / big * F.log(k * big / (row * column))).otherwise(0.0)
+    info = (cell(n11, n1, pos) + cell(n1 - n11, n1, big - pos) + cell(pos - n11, big - n1, pos) + cell(big - n1 - pos + n11, big - n1, big - pos))
+    name = F.concat(F.element_at(F.array(*[F.lit(c) for c in categorical]), F.col("c") + 1), F.lit("_"), "level")
+    hot = j.select((F.col("c") + len(numeric)).alias("ord"), (F.col("cum_n") - 1).cast("int").alias("place"), name.alias("feature"),
+                   r6(phi).alias("corr"), r6(info).alias("mi"))
+    return plain.unionByName(hot)
+
+
 # #116
-def consensus_vote(lists: dict, min_votes: int = 2, order: list | None = None) -> DataFrame:
+def consensus_vote(lists: dict, min_votes: int = 2, order: DataFrame | None = None) -> DataFrame:
     """``lists``: method name -> DataFrame with a ``feature`` column.  Votes
-    per feature, kept at ``min_votes`` or more, sorted by votes then by
-    position in ``order`` (column order) or name."""
+    per feature, kept at ``min_votes`` or more.  With ``order`` (``feature``
+    and its ``ord``, ``place``: the column order), only its features count and
+    ``rank`` sorts them by votes, then column order."""
     u = None
     for m, d in lists.items():
         part = d.select("feature").distinct().withColumn("method", F.lit(m))
         u = part if u is None else u.unionByName(part)
     v = u.groupBy("feature").agg(F.count(F.lit(1)).alias("votes"),
                                  F.concat_ws(",", F.array_sort(F.collect_list("method"))).alias("methods"))
-    return v.filter(F.col("votes") >= min_votes)
+    v = v.filter(F.col("votes") >= min_votes)
+    if order is None:
+        return v
+    ranked = Window.orderBy(F.col("votes").desc(), "ord", "place", "feature")          # one row a feature
+    return v.join(order.select("feature", "ord", "place"), "feature").select(
+        "feature", "votes", "methods", F.row_number().over(ranked).alias("rank"))
 
 
 # #118

@@ -187,6 +187,21 @@ def forest_importance(train: DataFrame, names, threshold: float = 0.001) -> Data
     return importance_table(train.sparkSession, m, names).filter(F.col("importance") > threshold)
 
 
+def encoded_forest_importance(df: DataFrame, numeric, categorical, target: str = codes.TARGET, estimator=None) -> DataFrame:
+    """``(feature, importance)`` of a forest over the numerics and the sparse
+    one-hot vectors (first levels left out) of the text columns.  The names
+    come from the level dictionary, joined by position."""
+    from . import encode as enc
+    dictionary = cut_lineage(enc.level_dictionary(df, categorical), "dictionary")
+    hot = enc.one_hot_vectors(df, categorical, dictionary, drop_first=True)
+    hot = hot.select(*[col_of(c).cast("double").alias(c) for c in numeric], *[f"oh_{c}" for c in categorical], col_of(target).cast("double").alias("label"))
+    data = VectorAssembler(inputCols=[*numeric, *[f"oh_{c}" for c in categorical]], outputCol="features").transform(hot).select("features", "label")
+    model = (estimator or forest()).fit(cut_lineage(data, "encoded"))
+    weights = model.featureImportances
+    found = df.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(weights.indices, weights.values)], "position int, importance double")
+    return enc.encoded_places(numeric, dictionary, categorical).join(found, "position").select("feature", "importance")
+
+
 # #117
 def interaction_features(fit_on: DataFrame, numeric, categorical):
     """Fitted stages that add ``features``: a sparse vector of all main terms

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codes
 from ..functions.columns import col_of, r6
+from ..session import cut_lineage
 
 TARGET = codes.TARGET
 
@@ -177,30 +180,47 @@ def _pearson(cov, sx, sy):
     return F.when((sx > 0) & (sy > 0), cov / (sx * sy))
 
 
-def correlation_matrix(df: DataFrame, cols, complete: bool = False) -> DataFrame:
-    """Pearson correlation of every pair (long form ``a, b, corr``) from one
-    aggregate of pairwise moments; zero variance gives null, null pairs
-    skipped.  ``complete`` says that no column holds nulls: then a column's
-    deviation is taken once and not once per pair."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = col_of(a).cast("double"), col_of(b).cast("double")
-        aggs += [t.alias(f"p{i}_{j}") for j, t in enumerate(_corr_terms(x, y)[:1 if complete else 3])]
-    if complete:
-        aggs += [F.stddev_pop(col_of(c).cast("double")).alias(f"s{k}") for k, c in enumerate(cols)]
-    m = df.agg(*aggs)
-    at = {c: k for k, c in enumerate(cols)}
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        r = _pearson(F.col(f"p{i}_0"), *([F.col(f"s{at[a]}"), F.col(f"s{at[b]}")] if complete
-                                         else [F.col(f"p{i}_1"), F.col(f"p{i}_2")]))
-        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("corr")))
-        if a != b:
-            rows.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), r.alias("corr")))
-    c = F.col("r.corr")
-    clamped = F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))  # greatest skips nulls
-    return m.select(F.explode(F.array(*rows)).alias("r")).select("r.a", "r.b", r6(clamped).alias("corr"))
+def _gram(batches, p: int):
+    """Sums over the rows of a task for each pair of columns (i, j), of the rows
+    where both are present: their number, the values of i, their squares, and
+    the products of both."""
+    n, s, q, c = (np.zeros((p, p)) for _ in range(4))
+    for batch in batches:
+        x = np.stack([col.to_numpy(zero_copy_only=False).astype(float) for col in batch.columns], axis=1)
+        there = ~np.isnan(x)
+        x = np.where(there, x, 0.0)
+        there = there.astype(float)
+        n += there.T @ there
+        s += x.T @ there
+        q += (x * x).T @ there
+        c += x.T @ x
+    i, j = (k.ravel().astype(np.int32) for k in np.indices((p, p)))
+    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *(pa.array(m.ravel()) for m in (n, s, q, c))], names=["i", "j", "n", "s", "q", "c"])
+
+
+def correlation_matrix(df: DataFrame, cols) -> DataFrame:
+    """Pearson correlation of every pair (long form ``a, b, corr``) of the rows
+    where both are present; zero variance gives null.
+
+    One Gram aggregate: each task multiplies its rows as blocks, and sends one
+    row a pair of columns.  Values are taken less their column's smallest, so
+    that a column which does not vary is all zeros and sums do not cancel."""
+    cols = list(cols)
+    data = cut_lineage(df.select(*[col_of(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]), "correlated")
+    low = data.agg(*[F.min(f"x{i}").alias(f"lo{i}") for i in range(len(cols))])
+    shifted = data.crossJoin(F.broadcast(low)).select(*[(F.col(f"x{i}") - F.col(f"lo{i}")).alias(f"x{i}") for i in range(len(cols))])   # one row
+    p = len(cols)
+    sums = shifted.mapInArrow(lambda batches: _gram(batches, p), "i int, j int, n double, s double, q double, c double")
+    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "nsqc"])
+    back = total.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("s2"), F.col("q").alias("q2"))
+    n = F.col("n")
+    cov = n * F.col("c") - F.col("s") * F.col("s2")
+    # what is left of a sum by rounding alone is no variance
+    vx, vy = n * F.col("q") - F.col("s") * F.col("s"), n * F.col("q2") - F.col("s2") * F.col("s2")
+    varies = (vx > 1e-12 * n * F.col("q")) & (vy > 1e-12 * n * F.col("q2"))
+    corr = F.when(varies, F.least(F.greatest(cov / (F.sqrt(vx) * F.sqrt(vy)), F.lit(-1.0)), F.lit(1.0)))
+    name = F.array(*[F.lit(c) for c in cols])
+    return total.join(back, ["i", "j"]).select(F.element_at(name, F.col("i") + 1).alias("a"), F.element_at(name, F.col("j") + 1).alias("b"), r6(corr).alias("corr"))
 
 
 def target_correlation(df: DataFrame, cols, target: str = TARGET, k: int | None = None) -> DataFrame:

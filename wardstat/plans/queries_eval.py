@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.columns import r6
 from ..operators import balance as bal, encode as enc, evaluate as ev, stats as st
+from ..session import cut_lineage
 from . import oracle_sql as O
 from .registry import register
 from .pipeline import cleaned, raw_encounters, scored
@@ -188,6 +189,18 @@ def q_onehot(spark, sf):
     return enc.one_hot(cleaned(spark, sf, ["encounter_id", "race", "gender"]), ["race", "gender"])
 
 
+SPARSE_COLS = ["diag_1", "diag_2", "diag_3"]
+
+
+@register("one_hot_sparse_diagnoses", O.CLEANED + """
+, l AS (""" + union(f"SELECT DISTINCT {i} AS c, {c} AS level FROM cleaned" for i, c in enumerate(SPARSE_COLS)) + """),
+r AS (SELECT c, level, CAST(row_number() OVER (ORDER BY c, level) - 1 AS INTEGER) AS place FROM l WHERE level IS NOT NULL)
+""" + union(f"SELECT encounter_id, place FROM cleaned JOIN r ON r.c = {i} AND r.level = cleaned.{c}" for i, c in enumerate(SPARSE_COLS)))
+def q_onehot_sparse(spark, sf):
+    c = cleaned(spark, sf, ["encounter_id", *SPARSE_COLS])
+    return enc.one_hot_active(c, SPARSE_COLS).select("encounter_id", F.explode("active").alias("place"))
+
+
 @register("label_index_age", O.CLEANED + """
 SELECT encounter_id, age, CAST(dense_rank() OVER (ORDER BY age) - 1 AS INTEGER) AS age_idx FROM cleaned""")
 def q_label_index(spark, sf):
@@ -304,6 +317,55 @@ def q_vote(spark, sf):
     return enc.consensus_vote({"correlation": corr_l, "mutual_information": mi_l, "t_test": t_l})
 
 
+ENCODED_TEXT = ["race", "gender", "age", "diag_1", "diag_2", "diag_3", "A1Cresult", *codes.MEDICATIONS, "change", "diabetesMed",
+                "diag_1_category", "diag_2_category", "diag_3_category", "diab_code", "diab_complication_categories"]
+
+
+def _encoded_sql():
+    """Correlation and mutual information of every one-hot column."""
+    from .queries_profile import CLEAN_NUMERIC
+    text = union(f"SELECT {i} AS c, {O.q(x)} AS name, CAST({O.ident(x)} AS VARCHAR) AS level, readmitted_binary AS y FROM cleaned" for i, x in enumerate(ENCODED_TEXT))
+    return _mi_sql(CLEAN_NUMERIC) + f"""
+, tx AS ({text}),
+lv AS (SELECT c, name, level, count(*) AS n1, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS n11,
+         row_number() OVER (PARTITION BY c ORDER BY level) AS rk FROM tx WHERE level IS NOT NULL GROUP BY c, name, level),
+al AS (SELECT CAST(count(*) AS DOUBLE) AS big, CAST(sum(readmitted_binary) AS DOUBLE) AS pos FROM cleaned),
+ce AS (SELECT name || '_' || level AS feature, unnest([
+         {{'k': n11, 'r': n1, 's': pos}}, {{'k': n1 - n11, 'r': n1, 's': big - pos}},
+         {{'k': pos - n11, 'r': big - n1, 's': pos}}, {{'k': big - n1 - pos + n11, 'r': big - n1, 's': big - pos}}]) AS x, big
+       FROM lv, al WHERE rk > 1),
+hm AS (SELECT feature, sum(CASE WHEN x.k > 0 THEN x.k / big * ln(x.k * big / (x.r * x.s)) ELSE 0 END) AS mi FROM ce GROUP BY feature),
+enc_scores AS (
+  SELECT f.feature, corr, mi FROM {_corr_list_sql()} f LEFT JOIN mir USING (feature)
+  UNION ALL
+  SELECT name || '_' || level, round((big * n11 - n1 * pos) / nullif(sqrt(n1 * (big - n1)) * sqrt(pos * (big - pos)), 0), 6), round(mi, 6)
+  FROM lv JOIN hm ON hm.feature = name || '_' || level, al WHERE rk > 1)"""
+
+
+@register("encoded_feature_scores", O.CLEANED + _encoded_sql() + " SELECT feature, corr, mi FROM enc_scores")
+def q_encoded_scores(spark, sf):
+    from .queries_profile import CLEAN_NUMERIC
+    c = cut_lineage(cleaned(spark, sf, [*CLEAN_NUMERIC, *ENCODED_TEXT, codes.TARGET]))
+    return enc.encoded_scores(c, CLEAN_NUMERIC, ENCODED_TEXT).select("feature", "corr", "mi")
+
+
+@register("consensus_selection")
+def q_consensus(spark, sf):
+    """Votes of correlation (over 0.01), mutual information (first 50) and
+    forest importance (over 0.001) on all encoded columns, two or more, sorted
+    by votes, then column order."""
+    from pyspark.sql import Window
+    from ..operators import models as ml
+    from .queries_profile import CLEAN_NUMERIC
+    c = cut_lineage(cleaned(spark, sf, [*CLEAN_NUMERIC, *ENCODED_TEXT, codes.TARGET]))
+    scores = cut_lineage(enc.encoded_scores(c, CLEAN_NUMERIC, ENCODED_TEXT), "scores")
+    first = Window.orderBy(F.col("mi").desc_nulls_last(), "ord", "place")               # one row a feature
+    return enc.consensus_vote({
+        "correlation": scores.filter(F.abs("corr") > 0.01),
+        "mutual_information": scores.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 50),
+        "random_forest": ml.encoded_forest_importance(c, CLEAN_NUMERIC, ENCODED_TEXT).filter(F.col("importance") > 0.001)}, order=scores)
+
+
 # --- splitting and balancing ---------------------------------------------------------
 RANKED = """
 , rk AS (SELECT *, row_number() OVER (PARTITION BY readmitted_binary ORDER BY md5(CAST(encounter_id AS VARCHAR)),

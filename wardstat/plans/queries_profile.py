@@ -327,7 +327,7 @@ def _corr_sql(a, b):
     f"SELECT {O.q(a)} AS a, {O.q(b)} AS b, {_corr_sql(a, b)} AS corr FROM cleaned"
     for a in CORR_COLS for b in CORR_COLS))
 def q_corr(spark, sf):
-    return st.correlation_matrix(cleaned(spark, sf, CORR_COLS), CORR_COLS, complete=True)     # the cleaned table is imputed
+    return st.correlation_matrix(cleaned(spark, sf, CORR_COLS), CORR_COLS)
 
 
 @register("target_correlation", O.CLEANED + ", c AS (" + union(
