@@ -121,15 +121,25 @@ def forest_grid(rf: RandomForestClassifier):
     return points
 
 
-def grid_search(train: DataFrame, folds: int = 3, parallelism: int = 4, grid=None):
+def grid_search(train: DataFrame, folds: int = 3, parallelism: int = 4, grid=None, estimator: RandomForestClassifier | None = None):
     """Cross-validated grid search scored by positive-class F1.  ``train``
-    must carry a ``fold`` column (stratified, from ``stratified_folds``)."""
-    rf = forest()
+    must carry a ``fold`` column (stratified, from ``stratified_folds``);
+    ``grid`` holds distinct points over the parameters of ``estimator``."""
+    rf = estimator or forest()
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid or forest_grid(rf), evaluator=f1_evaluator(),
                         numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED)
     return cv.fit(train)
 
 
+def grid_table(spark: SparkSession, fitted) -> DataFrame:
+    """A row a grid point: its parameters, its mean F1 over the folds, and
+    whether it is the best one (the first of equal ones)."""
+    best = max(range(len(fitted.avgMetrics)), key=lambda i: (fitted.avgMetrics[i], -i))
+    rows = [(i, ",".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda t: t[0].name)), float(f1), int(i == best))
+            for i, (point, f1) in enumerate(zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics))]
+    return spark.createDataFrame(rows, "point int, parameters string, f1 double, is_best int").withColumn("f1", r6("f1"))
+
+
 # #138
 def cross_val_metrics(data: DataFrame, make_estimator, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """Per fold F1 and ROC AUC on the held-out fold (``fold`` column given),
@@ -167,6 +177,32 @@ def train_and_compare(train: DataFrame, test: DataFrame, estimators: dict | None
     return fitted, comp
 
 
+def best_thresholds(scored: DataFrame, lo: float = 0.1, hi: float = 0.9, step: float = 0.05) -> DataFrame:
+    """A row a model of a score table ``(model, label, score)``: the grid
+    threshold of highest F1 (``score > t``; the lowest of equal ones), and
+    accuracy, precision, recall, F1 and ROC AUC with it.  All models and
+    thresholds come from one aggregate."""
+    from .evaluate import _prf, score_prefix, threshold_grid
+    grid = threshold_grid(lo, hi, step)
+    above = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t < F.col("score")))
+    counts = scored.groupBy("model", above.alias("above")).agg(
+        F.sum((F.col("label") == 1).cast("bigint")).alias("pos"), F.sum((F.col("label") != 1).cast("bigint")).alias("neg"))
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)]))
+    hit = F.col("above") > F.col("j")
+    sums = counts.select("*", place.alias("g")).select("model", "above", "pos", "neg", "g.*").groupBy("model", "j", "threshold").agg(*[
+        F.sum(F.when(c, F.col(n)).otherwise(0)).alias(a) for a, c, n in (("tp", hit, "pos"), ("fp", hit, "neg"), ("fn", ~hit, "pos"), ("tn", ~hit, "neg"))])
+    prec, rec, f1 = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    acc = F.try_divide((F.col("tp") + F.col("tn")).cast("double"), (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).cast("double"))
+    rows = sums.select("model", F.struct((-r6(f1)).alias("o"), "j", "threshold", "tp", "fp", "fn", "tn", r6(acc).alias("accuracy"),
+                                         r6(prec).alias("precision"), r6(rec).alias("recall"), r6(f1).alias("f1")).alias("r"))
+    best = rows.groupBy("model").agg(F.min("r").alias("r")).select("model", "r.threshold", "r.tp", "r.fp", "r.fn", "r.tn", "r.accuracy", "r.precision", "r.recall", "r.f1")
+    p = score_prefix(scored, descending=False, groups=["model"])
+    below = F.col("cum_neg") - F.col("neg")
+    auc = p.groupBy("model").agg(r6(F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
+                                                 F.first("P").cast("double") * F.first("N").cast("double"))).alias("roc_auc"))
+    return best.join(auc, "model")
+
+
 # #104 / #105 / #115
 def importance_table(spark: SparkSession, model, names, k: int | None = None) -> DataFrame:
     imp = model.featureImportances.toArray().tolist()

@@ -328,14 +328,17 @@ def q_quality(spark, sf):
     return clean.quality_check(cleaned(spark, sf))
 
 
-@register("cleaning_report", O.CLEANED + """
+@register("cleaning_report", O.CLEANED + ", filled AS (SELECT " + ", ".join(
+    f"CASE WHEN {O.ident(c)} IN ('None', '', '?') THEN {A1C} ELSE {O.ident(c)} END AS {O.ident(c)}"
+    if c in O.ENC_STRING_COLS else O.ident(c) for c in O.ENC_COLS for A1C in ["'NoTest'" if c == "A1Cresult" else "NULL"]) + " FROM encounters)" + """
 , r AS (
   SELECT 0 AS ord, 'initial_rows' AS metric, CAST((SELECT count(*) FROM encounters) AS DOUBLE) AS value
   UNION ALL SELECT 1, 'final_rows', (SELECT count(*) FROM cleaned)
   UNION ALL SELECT 2, 'rows_removed', (SELECT count(*) FROM encounters) - (SELECT count(*) FROM cleaned)
-  UNION ALL SELECT 3, 'initial_columns', 50
-  UNION ALL SELECT 4, 'final_columns', 58
-  UNION ALL SELECT 5, 'columns_dropped', 4
+  UNION ALL SELECT 3, 'initial_columns', (SELECT len(json_keys(to_json(e))) FROM (SELECT * FROM encounters LIMIT 1) e)
+  UNION ALL SELECT 4, 'final_columns', (SELECT len(json_keys(to_json(c))) FROM (SELECT * FROM cleaned LIMIT 1) c)
+  UNION ALL SELECT 5, 'columns_dropped', (SELECT """ + " + ".join(
+    f"CAST(count(*) - count({O.ident(c)}) > 0.39 * count(*) AS INTEGER)" for c in O.ENC_COLS) + """ FROM filled)
   UNION ALL SELECT 6, 'markers_converted', (SELECT """ + " + ".join(
     f"sum(CASE WHEN {O.ident(c)} = '?' THEN 1 ELSE 0 END)" for c in O.ENC_STRING_COLS) + """ FROM encounters)
   UNION ALL SELECT 7, 'final_missing_values', (SELECT """ + NULL_CELLS + """ FROM cleaned))

@@ -143,11 +143,12 @@ def two_models(spark, sf):
     return a.unionByName(b)
 
 
-TWO = O.CLEANED + """
+TWO_SCORES = O.CLEANED + """
 , sm AS (SELECT 'stay_visits' AS model, encounter_id AS key, readmitted_binary AS label,
     (least(number_inpatient, 5) * 10 + least(time_in_hospital, 14) + number_diagnoses) / 80.0 AS score FROM cleaned
   UNION ALL SELECT 'emergency_meds', encounter_id, readmitted_binary,
-    (least(number_emergency, 4) * 10 + least(num_medications, 60)) / 100.0 FROM cleaned),
+    (least(number_emergency, 4) * 10 + least(num_medications, 60)) / 100.0 FROM cleaned)"""
+TWO = TWO_SCORES + """,
 cm AS (SELECT model, sum(CASE WHEN label <> 1 AND score < 0.5 THEN 1 ELSE 0 END) AS tn,
   sum(CASE WHEN label <> 1 AND score >= 0.5 THEN 1 ELSE 0 END) AS fp,
   sum(CASE WHEN label = 1 AND score < 0.5 THEN 1 ELSE 0 END) AS fn,

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..operators import balance as bal, encode as enc, models as ml, neighbours as nb
-from ..session import cut_lineage
+from ..session import cut_lineage, stage_folder
 from . import oracle_sql as O
 from .registry import register
-from .pipeline import cleaned, featured
-from .queries_profile import KEY_NUMERICAL
+from .pipeline import cleaned, engineer
+from .queries_eval import TWO_SCORES as TWO, two_models
+from .queries_profile import CLEAN_NUMERIC, KEY_NUMERICAL
 
 MODEL_FEATURES = KEY_NUMERICAL + ["admission_type_id", "discharge_disposition_id", "admission_source_id",
                                   "diab_type", "diab_control", "diab_complication_binary", "meds_per_day",
@@ -21,14 +22,18 @@ MODEL_FEATURES = KEY_NUMERICAL + ["admission_type_id", "discharge_disposition_id
                                   "many_medications", "complex_case"]
 
 
+#: cleaned columns that the model features are made of
+FEATURE_SOURCES = [c for c in CLEAN_NUMERIC if c in MODEL_FEATURES or c in KEY_NUMERICAL] + ["A1Cresult", "change", "diabetesMed"]
+
+
 def split_scaled(spark, sf, test_frac=0.2):
-    """Stratified 80/20 split, features scaled with train statistics."""
-    f = bal.stratified_split(featured(spark, sf), test_frac)
-    f = cut_lineage(f)
+    """Stratified 80/20 split, features scaled with train statistics.  Only the
+    columns of the model are read and written."""
+    data = engineer(cleaned(spark, sf, ["encounter_id", codes.TARGET, *FEATURE_SOURCES])).select("encounter_id", codes.TARGET, *MODEL_FEATURES)
+    f = cut_lineage(bal.stratified_split(data, test_frac))
     train = f.filter(F.col("split") == "train")
     scaled = enc.standard_scale(f, MODEL_FEATURES, fit_on=train)
-    data = ml.assemble(scaled.withColumn("split", F.col("split")), MODEL_FEATURES,
-                       keep=("encounter_id", "split"))
+    data = ml.assemble(scaled, MODEL_FEATURES, keep=("encounter_id", "split"))
     return data.filter(F.col("split") == "train").drop("split"), data.filter(F.col("split") == "test").drop("split")
 
 
@@ -177,3 +182,110 @@ def q_meta(spark, sf):
     from ..operators.evaluate import binary_metrics
     met = binary_metrics(ml.score(m, test), 0.5).first().asDict()
     return ml.run_metadata(spark, "Logistic Regression", MODEL_FEATURES, met, train.count(), test.count())
+
+
+#: trees x depth x rows a leaf: distinct points in Spark's parameters
+def small_grid(rf):
+    return [{rf.numTrees: n, rf.maxDepth: d, rf.minInstancesPerNode: m} for n in (20, 40) for d in (5, 10) for m in (1, 2)]
+
+
+def folded(train, k=3):
+    return cut_lineage(bal.stratified_folds(train.withColumn("_y", F.col("label").cast("int")), k, label="_y").drop("_y"))
+
+
+@register("grid_search_forest")
+def q_grid(spark, sf):
+    """Mean F1 of every grid point over three stratified folds of the balanced
+    train rows."""
+    train, _ = split_scaled(spark, sf)
+    rf = ml.forest()
+    return ml.grid_table(spark, ml.grid_search(folded(smote_train(train)), grid=small_grid(rf), estimator=rf))
+
+
+def tuned_scores(spark, sf):
+    """Score table (model, encounter_id, label, score) of the tuned forest, the
+    class-weighted models and the boosted trees on the test rows."""
+    train, test = split_scaled(spark, sf)
+    rf = ml.forest()
+    tuned = ml.grid_search(folded(smote_train(train)), grid=small_grid(rf), estimator=rf).bestModel
+    weighted = cut_lineage(bal.with_weights(train.withColumn("_y", F.col("label").cast("int")), "_y").drop("_y"))
+    reg = ml.l2_reg_param(weighted.count())
+    models = {"Random Forest (Tuned)": tuned, "Logistic Regression (Balanced)": ml.logistic(reg=reg, weight_col="weight").fit(weighted),
+              "Random Forest (Balanced)": ml.forest(50, weight_col="weight").fit(weighted),
+              "Gradient Boosting (Balanced)": ml.boosted(20, weight_col="weight").fit(weighted)}
+    out = None
+    for name, m in models.items():
+        s = ml.score(m, test).select(F.lit(name).alias("model"), "encounter_id", "label", "score")
+        out = s if out is None else out.unionByName(s)
+    return cut_lineage(out, "tuned_scores")
+
+
+@register("thresholds_per_model", TWO + """
+, grid AS (SELECT CAST(round(0.1 + range * 0.05, 10) AS DOUBLE) AS threshold FROM range(16)),
+sw AS (SELECT model, threshold, CAST(sum(CASE WHEN label = 1 AND score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+  CAST(sum(CASE WHEN label <> 1 AND score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+  CAST(sum(CASE WHEN label = 1 AND NOT score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+  CAST(sum(CASE WHEN label <> 1 AND NOT score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM sm, grid GROUP BY model, threshold),
+pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM sw),
+f AS (SELECT *, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM pr),
+au AS (SELECT a.model, round((sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END)) / count(*), 6) AS roc_auc
+       FROM sm a JOIN sm b ON a.model = b.model AND a.label = 1 AND b.label <> 1 GROUP BY a.model)
+SELECT f.model, threshold, tp, fp, fn, tn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(p, 6) AS precision,
+  round(r, 6) AS recall, f1, roc_auc FROM f JOIN au USING (model)
+QUALIFY row_number() OVER (PARTITION BY f.model ORDER BY f1 DESC, threshold) = 1""")
+def q_thresholds(spark, sf):
+    """The exact form of the comparison, on two stated scores."""
+    return ml.best_thresholds(two_models(spark, sf))
+
+
+@register("tuned_model_comparison")
+def q_tuned(spark, sf):
+    """Tuned and balanced models, each with its own threshold."""
+    return ml.best_thresholds(tuned_scores(spark, sf))
+
+
+TEST_ROWS = O.CLEANED + """
+, rk AS (SELECT *, row_number() OVER (PARTITION BY readmitted_binary ORDER BY md5(CAST(encounter_id AS VARCHAR)), encounter_id) AS rnk,
+           count(*) OVER (PARTITION BY readmitted_binary) AS n_c FROM cleaned),
+te AS (SELECT encounter_id, readmitted_binary AS label FROM rk WHERE rnk <= round(n_c * 0.2))
+"""
+
+
+@register("tuned_score_checks", TEST_ROWS + """
+SELECT model, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, 0 AS out_of_range, 0 AS metric_differences
+FROM te, (SELECT unnest(['Random Forest (Tuned)', 'Logistic Regression (Balanced)', 'Random Forest (Balanced)',
+                         'Gradient Boosting (Balanced)']) AS model) GROUP BY model""")
+def q_tuned_checks(spark, sf):
+    """The exact part of the comparison: test rows and positives of each model,
+    scores outside of 0 to 1, and counts of the comparison that differ from the
+    score table's."""
+    scores = tuned_scores(spark, sf)
+    best = cut_lineage(ml.best_thresholds(scores))
+    hit, y = F.col("score") > F.col("threshold"), F.col("label") == 1
+    again = scores.join(F.broadcast(best), "model").groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("positives"),
+        F.sum((~F.col("score").between(0, 1)).cast("int")).cast("int").alias("out_of_range"),
+        *[F.sum((a & b).cast("bigint")).alias(f"_{c}") for c, a, b in (("tp", hit, y), ("fp", hit, ~y), ("fn", ~hit, y), ("tn", ~hit, ~y))])
+    wrong = [(F.col(c) != F.col(f"_{c}")).cast("int") for c in ("tp", "fp", "fn", "tn")]
+    return again.join(best, "model").select("model", "n", "positives", "out_of_range", sum(wrong[1:], wrong[0]).alias("metric_differences"))
+
+
+@register("model_file_round_trip", TEST_ROWS + "SELECT encounter_id, CAST(label AS INTEGER) AS label, true AS same FROM te")
+def q_model_files(spark, sf):
+    """A fitted model written under the shared folder and read again scores
+    every test row as before."""
+    train, test = split_scaled(spark, sf)
+    model = ml.fit_logistic(train)
+    path = stage_folder(spark, "model")
+    ml.save_model(model, path)
+    one = ml.score(model, test)
+    two = ml.score(ml.load_model(path), test).select("encounter_id", F.col("score").alias("_s"), F.col("prediction").alias("_p"))
+    return one.join(two, "encounter_id").select("encounter_id", "label", ((F.col("score") == F.col("_s")) & (F.col("prediction") == F.col("_p"))).alias("same"))
+
+
+@register("neural_network_oversampled")
+def q_mlp_over(spark, sf):
+    """The network on randomly oversampled train rows."""
+    train, test = split_scaled(spark, sf)
+    rows = bal.oversample_random(train.withColumn("_y", F.col("label").cast("int")), "_y").drop("_y", "draw")
+    return ml.score(ml.neural(len(MODEL_FEATURES)).fit(cut_lineage(rows)), test)

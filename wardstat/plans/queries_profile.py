@@ -353,17 +353,17 @@ FROM g LEFT JOIN c ON {on}"""
 
 @register("status_by_type_control", O.CLEANED + _status_sql(["diab_type", "diab_control"]))
 def q_status_tc(spark, sf):
-    return st.slice_by_type_control(cleaned(spark, sf))
+    return st.slice_by_type_control(cleaned(spark, sf, ["diab_type", "diab_control", codes.TARGET]))
 
 
 @register("status_by_complication", O.CLEANED + _status_sql(["diab_type", "diab_complication_categories"]))
 def q_status_comp(spark, sf):
-    return st.slice_by_complication(cleaned(spark, sf), per_type=True)
+    return st.slice_by_complication(cleaned(spark, sf, ["diab_type", "diab_complication_categories", codes.TARGET]), per_type=True)
 
 
 @register("status_by_insulin_change", O.CLEANED + _status_sql(["diab_type", "insulin"]))
 def q_status_insulin(spark, sf):
-    return st.slice_by_medication_change(cleaned(spark, sf), "insulin")
+    return st.slice_by_medication_change(cleaned(spark, sf, ["diab_type", *codes.MEDICATIONS, codes.TARGET]), "insulin")
 
 
 def _grp(name, cols):
@@ -373,11 +373,14 @@ def _grp(name, cols):
             f"ELSE 'Multiple changes' END AS {name}")
 
 
-@register("status_by_drug_group_change", O.CLEANED + ", gc AS (SELECT *, " + _grp(
-    "insulin_production_change", codes.DRUG_GROUPS["insulin_production_change"]) + " FROM cleaned)"
-    + _status_sql(["diab_type", "insulin_production_change"], "gc"))
-def q_status_group(spark, sf):
-    return st.slice_by_medication_change(cleaned(spark, sf), "insulin_production_change")
+def _register_group(name, group):
+    @register(name, O.CLEANED + ", gc AS (SELECT *, " + _grp(group, codes.DRUG_GROUPS[group]) + " FROM cleaned)" + _status_sql(["diab_type", group], "gc"))
+    def run(spark, sf):
+        return st.slice_by_medication_change(cleaned(spark, sf, ["diab_type", *codes.MEDICATIONS, codes.TARGET]), group)
+
+
+for _group in codes.DRUG_GROUPS:
+    _register_group("status_by_drug_group_change" if _group == "insulin_production_change" else f"status_by_{_group}", _group)
 
 
 def _round6(df, *but):

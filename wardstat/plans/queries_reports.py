@@ -39,19 +39,32 @@ def q_insights(spark, sf):
     return pf.key_insights(cleaned(spark, sf), CLEAN_NUMERIC)
 
 
+#: families of the engineered features
+RATE_FEATURES = ["meds_per_day", "procedures_per_day", "labs_per_day", "total_prior_visits", "high_utilizer"]
+SQUARED_FEATURES = ["time_in_hospital", "num_medications", "num_lab_procedures"]
+FLAG_FEATURES = ["A1C_tested", "diabetes_med_changed", "on_diabetes_med", "long_stay", "many_medications", "complex_case"]
+
+
+def _columns_sql(table, where="true"):
+    return f"(SELECT CAST(count(*) AS DOUBLE) FROM (SELECT unnest(json_keys(to_json(x))) AS k FROM (SELECT * FROM {table} LIMIT 1) x) WHERE {where})"
+
+
 @register("feature_summary", O.FEATURED + f"""
 , sel AS (SELECT count(*) AS k FROM ({_corr_union(MODEL_FEATURES, "featured")}) WHERE abs(corr) > 0.01)
-SELECT * FROM (SELECT 0 AS ord, 'original_features' AS metric, 58.0 AS value
-  UNION ALL SELECT 1, 'interaction_features', 5.0 UNION ALL SELECT 2, 'polynomial_features', 3.0
-  UNION ALL SELECT 3, 'binary_indicator_features', 6.0
-  UNION ALL SELECT 4, 'after_encoding', {float(len(MODEL_FEATURES))}
+SELECT * FROM (SELECT 0 AS ord, 'original_features' AS metric, {_columns_sql("cleaned")} AS value
+  UNION ALL SELECT 1, 'interaction_features', {_columns_sql("featured", f"k IN ({', '.join(O.q(c) for c in RATE_FEATURES)})")}
+  UNION ALL SELECT 2, 'polynomial_features', {_columns_sql("cleaned", f"k IN ({', '.join(O.q(c) for c in SQUARED_FEATURES)})")}
+  UNION ALL SELECT 3, 'binary_indicator_features', {_columns_sql("featured", f"k IN ({', '.join(O.q(c) for c in FLAG_FEATURES)})")}
+  UNION ALL SELECT 4, 'after_encoding', {_columns_sql("featured", f"k IN ({', '.join(O.q(c) for c in MODEL_FEATURES)})")}
   UNION ALL SELECT 5, 'after_selection', CAST(k AS DOUBLE) FROM sel
   UNION ALL SELECT 6, 'reduction_percentage', round(({len(MODEL_FEATURES)} - k) * 100.0 / {len(MODEL_FEATURES)}, 6)
     FROM sel)""")
 def q_feature_summary(spark, sf):
     c = cleaned(spark, sf)
-    sel = enc.select_by_correlation(engineer(c), MODEL_FEATURES, 0.01)
-    return enc.feature_summary(len(c.columns), 5, 3, 6, len(MODEL_FEATURES), sel)
+    f = engineer(c)
+    families = [sum(x in RATE_FEATURES for x in f.columns), sum(x.endswith("_squared") for x in f.columns), sum(x in FLAG_FEATURES for x in f.columns)]
+    sel = enc.select_by_correlation(f, MODEL_FEATURES, 0.01)
+    return enc.feature_summary(len(c.columns), *families, len(MODEL_FEATURES), sel)
 
 
 NN_CATEGORICAL = ["age", "race", "gender", "diag_1_category", "A1Cresult"]
