@@ -192,7 +192,14 @@ def _refine(rank: np.ndarray, members: np.ndarray, keys: tuple) -> np.ndarray:
     """Order the members inside their groups of equal rank by ``keys`` (first
     key first); each new group gets the sorted position of its first member as
     rank.  Returns the members sorted."""
-    order = members[np.lexsort((*[k for k in reversed(keys)], rank[members]))]
+    own = rank[members]
+    if len(keys) == 1:                                           # quicksort by the character, then by group where there are several
+        order = np.argsort(keys[0])
+        if own.size and own.min() != own.max():
+            order = order[np.argsort(own[order], kind="stable")]
+        order = members[order]
+    else:
+        order = members[np.lexsort((*[k for k in reversed(keys)], own))]
     back = np.empty(len(rank), np.int64)
     back[members] = np.arange(len(members))
     r = rank[order]
@@ -257,18 +264,24 @@ def deep_shallow_rank(buf: np.ndarray, starts: np.ndarray, length: int) -> np.nd
 
 def shared_windows(spans: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
     """For each run (bytes, id) one bit per window: an equal window stands in
-    a run of smaller id."""
-    size = np.fromiter(map(len, spans), np.int64, len(spans)) - length + 1
-    buf = np.frombuffer(b"".join(spans) + b"\0" * 8, np.uint8)
+    a run of smaller id.  Equal runs, one from each chunk that has them, are
+    sorted once, with their smallest id: of the others every window goes."""
+    known: dict = {}
+    number = np.fromiter((known.setdefault(s, len(known)) for s in spans), np.int64, len(spans))
+    owner = np.full(len(known), NO_ID)
+    np.minimum.at(owner, number, ids)
+    size = np.fromiter(map(len, known), np.int64, len(known)) - length + 1
+    buf = np.frombuffer(b"".join(known) + b"\0" * 8, np.uint8)
     base = np.concatenate([[0], np.cumsum(size + length - 1)[:-1]])
     head = np.concatenate([[0], np.cumsum(size)[:-1]])
     inside = np.arange(int(size.sum())) - np.repeat(head, size)
     rank = deep_shallow_rank(buf, np.repeat(base, size) + inside, length)
-    owner = np.repeat(ids, size)
+    owners = np.repeat(owner, size)
     low = np.full(len(rank), NO_ID)
-    np.minimum.at(low, rank, owner)
-    bits = (low[rank] < owner).astype(np.uint64) << inside.astype(np.uint64)
-    return np.bitwise_or.reduceat(bits, head)
+    np.minimum.at(low, rank, owners)
+    bits = np.bitwise_or.reduceat((low[rank] < owners).astype(np.uint64) << inside.astype(np.uint64), head)
+    every = (np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)
+    return np.where(ids > owner[number], every[number], bits[number])
 
 
 # --- the four steps ----------------------------------------------------------
