@@ -280,30 +280,49 @@ def test_bit_parallel_distance(spark):
         assert all(r.w == (distance(r.a, r.b) <= t) for r in got)
 
 
-@pytest.mark.parametrize("threshold", [1, 2])
-def test_lines_go_as_by_brute_force(spark, threshold):
+def brute_lines(docs, threshold, min_chars):
+    """Remaining texts of the rows, which stand in order of id (null last)."""
+    order = sorted((i is None, i or 0, row, k, line) for row, (i, t) in enumerate(docs) if t is not None
+                   for k, line in enumerate(t.split("\n")) if line.strip(" \t\n\x0b\x0c\r"))
+    first = {}
+    for place in order:
+        first.setdefault(place[4], place)
+    long_ones = {x: f for x, f in first.items() if len(x) >= min_chars}
+    # a line that goes for a near one goes everywhere
+    late = {x for x, f in long_ones.items() if any(y != x and g < f and distance(x, y) <= threshold for y, g in long_ones.items())}
+    return [None if t is None else "\n".join(
+        x for k, x in enumerate(t.split("\n")) if x not in first or (x not in late and first[x][2:4] == (row, k))) for row, (i, t) in enumerate(docs)]
+
+
+@pytest.mark.parametrize("threshold, written", [(1, False), (2, False), (1, True)])
+def test_lines_go_as_by_brute_force(spark, tmp_dir, threshold, written):
+    """Shared and null ids, equal rows, short and blank lines."""
     rng = random.Random(8)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(4, 30))) for _ in range(25)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 30))) for _ in range(25)] + ["", " ", "x"]
     docs = []
     for i in range(60):
         lines = [edited(rng, rng.choice(base), "abcdé ", rng.choice([0, 0, 1, 2, 3])) for _ in range(rng.randint(1, 6))]
-        docs.append((rng.choice([i, i, None]), None if i % 13 == 0 else "\n".join(lines)))
-    docs = list({d[0]: d for d in docs}.values())
+        docs.append((rng.choice([i, i, i % 9, None]), None if i % 13 == 0 else "\n".join(lines)))
+    docs += rng.sample(docs, 10)
+    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
     p = line_dedup.LineParams(threshold=threshold, min_chars=8)
-    got = {r.doc_id: r for r in line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), p).collect()}
-    order = sorted((i is not None, i or 0, k, line) for i, t in docs if t is not None for k, line in enumerate(t.split("\n")) if len(line) >= 8)
-    gone, first = set(), {}
-    for place in order:
-        if place[3] in first or any(distance(place[3], x) <= threshold for x in first):
-            gone.add(place[:3])
-        first.setdefault(place[3], place)
-    # a line that goes for a near one goes everywhere
-    late = {x for x, f in first.items() if any(y != x and g < f and distance(x, y) <= threshold for y, g in first.items())}
-    for i, t in docs:
-        want = None if t is None else "\n".join(
-            x for k, x in enumerate(t.split("\n"))
-            if len(x) < 8 or (x not in late and first[x][:3] == (i is not None, i or 0, k)))
-        assert got[i].text == want
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    if written:
+        df.write.parquet(f"{tmp_dir}/lines")
+        df = spark.read.parquet(f"{tmp_dir}/lines")
+        got = line_dedup.deduplicate(df.withColumn("_key", F.lit("x")), p, row=F.col("_metadata.row_index"))
+    else:
+        got = line_dedup.deduplicate(df, p)
+    want = brute_lines(docs, threshold, 8)
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str((i, w)) for (i, _), w in zip(docs, want))
+    for r, (_, t) in zip(sorted(got.collect(), key=lambda r: str((r.doc_id, r.n_lines))), sorted(docs, key=lambda d: str((d[0], 0 if d[1] is None else d[1].count("\n") + 1)))):
+        assert r.n_lines == (0 if t is None else t.count("\n") + 1)
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    rows = [(1, "a line that comes again and again\nthe rest of one"), (7, "something else, but unique here\nb"), (7, "a line that comes again and again\nc")]
+    got = sorted(r.text for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([rows[0][1], rows[1][1], "c"])
 
 
 # --- 7: stream ------------------------------------------------------------------------------

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_row() -> Column:
+    """A number of each row of a table read from files, by file and place: the
+    same each time the table is read."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is divisible by 5 (null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

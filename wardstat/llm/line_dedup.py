@@ -1,8 +1,9 @@
 """Operator 6: line deduplication with a segment-partition edit join.
 
 A line goes when an earlier line of the corpus, in the order of document id
-and line number, equals it or is at most ``threshold`` edits away; lines
-shorter than ``min_chars`` always stay.  Equal lines are found by digest.
+(null last), row and line number, equals it, or where both have ``min_chars``
+characters or more, is at most ``threshold`` edits away.  Blank lines (white
+space only) stay: they are layout.  Equal lines are found by digest.
 For near ones a line of length l is cut into threshold + 1 segments: of any
 two lines within the threshold, one segment of the shorter stands unchanged
 in the longer one, at a place that its own length and the difference in
@@ -22,9 +23,10 @@ the documents to rebuild before the shuffle.  DataFrame and SQL functions
 only.
 
 Defined results: null texts stay null and count no lines; empty texts have
-one empty line; rows that share an id are one document (line numbers apply to
-each); a document may lose all its lines and then has the empty text; an
-empty table gives an empty result; extra columns pass through.
+one empty line; rows that share an id, or have none, are documents of their
+own, so of two equal rows the later one loses its lines; a document may lose
+all its lines and then has the empty text; an empty table gives an empty
+result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -40,16 +42,15 @@ from . import sieve
 @dataclass(frozen=True)
 class LineParams:
     threshold: int = 1      # edits
-    min_chars: int = 20     # shorter lines always stay
+    min_chars: int = 20     # shorter lines go for equal ones only
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-
-
-def _keyed(docs: DataFrame, p: LineParams) -> DataFrame:
-    return (_lines(docs).where(F.length("line") >= p.min_chars)
-            .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "pos", "line"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The lines that are compared: all but blank ones.  ``docs``: _doc (id), _key
+    (row), text."""
+    lines = docs.select("_doc", "_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return (lines.where(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
+            .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "_doc", "_key", "pos", "line"))
 
 
 COUNTED = "etanoirs"        # letters whose counts (a byte each) go with a line's keys
@@ -208,39 +209,48 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, p: LineParams) -> DataFram
 
 
 def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
-    """doc_id and the line numbers (from 0) that go, for documents that lose any."""
-    keyed = _keyed(docs, p)
+    """_key and the line numbers (from 0) that go, for rows that lose any.
+    ``docs``: _doc (id), _key (row), text."""
+    keyed = _keyed(docs)
+    long_one = F.length("line") >= p.min_chars
+    none = F.array().cast("array<long>")
     distinct = cut_lineage(
-        keyed.select("h1", "h2", "doc_id", "pos", letter_counts(F.col("line")).alias("letters"), index_keys(F.col("line"), p).alias("index"),
-                     probe_keys(F.col("line"), p).alias("probe"))
-        .groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("letters").alias("letters"),
+        keyed.select("h1", "h2", "_doc", "_key", "pos", F.when(long_one, letter_counts(F.col("line"))).alias("letters"),
+                     F.when(long_one, index_keys(F.col("line"), p)).otherwise(none).alias("index"),
+                     F.when(long_one, probe_keys(F.col("line"), p)).otherwise(none).alias("probe"))
+        .groupBy("h1", "h2").agg(F.min(F.struct(F.col("_doc").isNull().alias("no_id"), "_doc", "_key", "pos")).alias("first"), F.first("letters").alias("letters"),
                                  F.first("index").alias("index"), F.first("probe").alias("probe"), F.count("*").alias("n"))
         .withColumn("id", F.monotonically_increasing_id()), "distinct_lines")
-    near = near_lines(distinct, keyed, p)
+    near = near_lines(distinct, keyed.where(long_one), p)
     order = distinct.select("id", "first")
     late = (near.join(order.withColumnsRenamed({"id": "a", "first": "first_a"}), "a")
             .join(order.withColumnsRenamed({"id": "b", "first": "first_b"}), "b")
             .select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
-    verdict = cut_lineage(distinct.select("h1", "h2", "first", "id", "n").join(late.withColumn("late", F.lit(True)), "id", "left")
+    verdict = cut_lineage(distinct.select("h1", "h2", F.struct("first._key", "first.pos").alias("first"), "id", "n")
+                          .join(late.withColumn("late", F.lit(True)), "id", "left")
                           .where("late OR n > 1").select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late")), "line_verdict")
-    goes = (keyed.select("h1", "h2", "doc_id", "pos").join(verdict, ["h1", "h2"])
-            .where(F.col("late") | ~F.col("first").eqNullSafe(F.struct("doc_id", "pos"))))
-    return goes.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
+    goes = (keyed.select("h1", "h2", "_key", "pos").join(verdict, ["h1", "h2"])
+            .where(F.col("late") | ~F.col("first").eqNullSafe(F.struct("_key", "pos"))))
+    return goes.groupBy("_key").agg(F.collect_set("pos").alias("dropped"))
 
 
-def deduplicate(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
-    """``docs`` with the remaining text, ``n_lines`` and ``n_dropped``."""
-    gone = cut_lineage(dropped_lines(docs, p).withColumnRenamed("doc_id", "_id"), "dropped_lines")
-    some = cut_lineage(sieve.build(gone, "_id"), "dropped_sieve")
-    rows = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+def deduplicate(docs: DataFrame, p: LineParams = LineParams(), row: Column | None = None) -> DataFrame:
+    """``docs`` with the remaining text, ``n_lines`` and ``n_dropped``.  ``row``: a
+    number that tells rows apart and is the same each time they are read;
+    without it the rows are numbered and written once."""
+    new = ["n_lines", "n_dropped"]
+    inner = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").alias("_doc"), "text", F.struct(*inner).alias("_row"),
+                       (F.monotonically_increasing_id() if row is None else row).alias("_key"))
+    rows = cut_lineage(rows, "line_rows") if row is None else rows
+    gone = cut_lineage(dropped_lines(rows.select("_doc", "_key", "text"), p).withColumnRenamed("_key", "_gone"), "dropped_lines")
+    some = cut_lineage(sieve.build(gone, "_gone"), "dropped_sieve")
     lines = F.split("text", "\n", -1)
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
     left = F.filter(lines, lambda x, i: ~F.array_contains("dropped", i))
-    touched = (sieve.sift(rows, "doc_id", some).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-               .select("_row", n_lines.alias("n_lines"),
-                       F.coalesce(F.size(F.filter("dropped", lambda i: i < n_lines)), F.lit(0)).cast("long").alias("n_dropped"),
+    touched = (sieve.sift(rows, "_key", some).join(gone, F.col("_key") == F.col("_gone"), "left")
+               .select("_row", n_lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
                        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")))
-    untouched = sieve.sift(rows, "doc_id", some, inside=False).select("_row", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), "text")
-    new = ["n_lines", "n_dropped"]
+    untouched = sieve.sift(rows, "_key", some, inside=False).select("_row", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), "text")
     return (touched.unionByName(untouched)
             .select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in new], *new))

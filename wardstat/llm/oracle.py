@@ -8,25 +8,28 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
 g AS (SELECT norm, count(*) AS group_size, first(doc_id ORDER BY length(t) DESC, doc_id) AS keep_id FROM d GROUP BY norm)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)"""
 
-ORACLE["op6_segment_line_dedup"] = """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
-           FROM documents WHERE text IS NOT NULL),
-d AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS f FROM l WHERE length(line) >= 20 GROUP BY line),
+ORACLE["op6_segment_line_dedup"] = r"""
+WITH r AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+l AS (SELECT row, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+      FROM r WHERE text IS NOT NULL),
+d AS (SELECT line, length(line) AS n, min({'o': doc_id IS NULL, 'd': doc_id, 'r': row, 'p': pos}) AS f FROM l
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+e AS (SELECT * FROM d WHERE n >= 20),
 pairs AS (
-  SELECT x.line AS a, y.line AS b, x.f AS fa, y.f AS fb FROM d x JOIN d y
+  SELECT x.line AS a, y.line AS b, x.f AS fa, y.f AS fb FROM e x JOIN e y
     ON left(x.line, x.n // 2) = left(y.line, x.n // 2) AND y.n - x.n IN (0, 1) AND x.line <> y.line AND levenshtein(x.line, y.line) <= 1
   UNION
-  SELECT x.line, y.line, x.f, y.f FROM d x JOIN d y
+  SELECT x.line, y.line, x.f, y.f FROM e x JOIN e y
     ON right(x.line, x.n - x.n // 2) = right(y.line, x.n - x.n // 2) AND y.n - x.n IN (0, 1) AND x.line <> y.line
        AND levenshtein(x.line, y.line) <= 1),
 late AS (SELECT CASE WHEN fa < fb THEN b ELSE a END AS line FROM pairs GROUP BY 1),
-m AS (SELECT l.doc_id, l.pos, l.line,
-             d.line IS NOT NULL AND (late.line IS NOT NULL OR d.f <> {'d': l.doc_id, 'p': l.pos}) AS goes
+m AS (SELECT l.row, l.doc_id, l.pos, l.line,
+             d.line IS NOT NULL AND (late.line IS NOT NULL OR d.f.r <> l.row OR d.f.p <> l.pos) AS goes
       FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN late ON l.line = late.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE goes) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT goes), '')) AS kept_sha256
-FROM m GROUP BY doc_id
-UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL"""
+FROM m GROUP BY row, doc_id
+UNION ALL SELECT doc_id, 0, 0, sha256('') FROM r WHERE text IS NULL"""
 
 #: integer vectors; a shorter vector counts as filled up with zeros
 VECTORS = """

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import bit_sliced, bpe_chunks, filter_audit, fm_quality, ftrl_toxicity, hard_negatives, line_dedup, pii_disclosure, simhash_golay, spaced_seeds, stream_dedup, suffix_dedup, text_density
-from .common import table
+from .common import file_row, table
 from .oracle import ORACLE  # noqa: F401
 
 #: vocabulary of the BPE query, in the public_tokenizers package
@@ -43,8 +43,7 @@ def op3_ftrl_toxicity(spark, sf_dir):
 
 @query
 def op4_suffix_dedup(spark, sf_dir):
-    row = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-    return suffix_dedup.cut(table(spark, sf_dir, "documents"), length=50, row=row)
+    return suffix_dedup.cut(table(spark, sf_dir, "documents"), length=50, row=file_row())
 
 
 @query
@@ -54,7 +53,7 @@ def op5_text_density(spark, sf_dir):
 
 @query
 def op6_segment_line_dedup(spark, sf_dir):
-    kept = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    kept = line_dedup.deduplicate(table(spark, sf_dir, "documents"), row=file_row())
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
