@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardstat.llm import bpe_chunks, fm_quality, line_dedup, sieve, simhash_golay, spaced_seeds
-from wardstat.llm.common import table
+from wardstat.llm.common import file_row, table
 from wardstat.llm.queries import vocabulary_path
 from wardstat.session import checkpoint_dir, cut_lineage
 
@@ -22,9 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that an earlier line repeats, exactly or but for an edit.
-    Every document stays; n_chars follows the text where lines went."""
+    Every document stays; n_chars follows the text where lines went.  ``docs``
+    is a table read from files, whose rows are told apart by their place."""
     other = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
-    kept = line_dedup.deduplicate(docs.select("doc_id", "text", other.alias("__row")))
+    numbered = docs.select("doc_id", "text", other.alias("__row"), file_row().alias("__key"))
+    kept = line_dedup.deduplicate(numbered, row=F.col("__key"))
     size = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("__row.n_chars")).cast("long")
     new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": size}
     return kept.select(*[new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
