@@ -12,7 +12,11 @@ the path from it to the body, is left out: it takes headings and short
 paragraphs of the text too (figures in the README).
 Elements that say themselves what they are (menus, headers, footers, asides,
 forms, adverts, notices, comment sections, scripts, styles) are taken out
-before, and an ``article`` or ``main`` element around the chosen subtree is
+before.  A class or id says so where it is such a name as a whole, ends in one
+(``site-header``), or begins with one before words of layout (``comment-list``);
+a name with a modifier (``has-sidebar``, ``ad-free``, ``comments-open``) says
+something else, and one that holds the page's ``h1`` or ``main`` or nearly all
+of its text is not believed.  An ``article`` or ``main`` element around the chosen subtree is
 kept whole.  Inside these two only the listed kinds go: headers, link-rich
 lists and tables, and blocks named after a search, sharing or related matter
 stay, and no heading is judged by its class or id.
@@ -59,39 +63,67 @@ OUTSIDE_NAMES = frozenset("header masthead search share sharing social related r
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def _is_noise(name: str, attrs: str, in_article: bool) -> bool:
+#: words that turn a name into a statement about something else
+MODIFIERS = frozenset("has no not non with without is free open opened closed enabled disabled hide hidden less ready".split())
+#: words of layout that may follow a name
+LAYOUT = frozenset("list area section box container wrapper wrap inner outer item items block content main left right top bottom bar "
+                   "slot unit form link links button buttons title body thread count posts articles stories primary secondary row "
+                   "col column group panel panels text message messages holder region zone module icon icons".split())
+#: share of the page's text that no element of such a name can hold
+NEARLY_ALL = 0.9
+
+HARD, SOFT = 2, 1
+
+
+def _says(value: str, names: frozenset) -> bool:
+    """Whether one of the names of a class or id attribute says ``names``."""
+    for one in value.split():
+        words = [w for w in re.split(r"[^a-z]+", one) if w]
+        if not words or not MODIFIERS.isdisjoint(words):
+            continue
+        if words[-1] in names or words[0] in names and LAYOUT.issuperset(words[1:]):
+            return True
+    return False
+
+
+def _noise(name: str, attrs: str, in_article: bool) -> int:
+    """HARD for what the element, its role or style says, SOFT for its class or id."""
     if name in NOISE_TAGS or name == "header" and not in_article:
-        return True
+        return HARD
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return 0
     low = attrs.lower()
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", low) or re.search(r"display\s*:\s*none", low):
-        return True
+        return HARD
     names = NOISE_NAMES - OUTSIDE_NAMES if in_article else NOISE_NAMES
     if in_article and name in HEADINGS:
         names = frozenset()
+    found = 0
     for m in ATTR.finditer(low):
         value = m[2] or m[3] or m[4] or ""
-        if m[1] in ("class", "id") and not names.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
         if m[1] == "role" and value.strip() in NOISE_ROLES:
-            return True
-    return False
+            return HARD
+        if m[1] in ("class", "id") and _says(value, names):
+            found = SOFT
+    return found
 
 
 class Page:
     """Element tree in flat lists; node 0 is the body."""
 
     def __init__(self, page: str):
-        self.parent, self.name, self.noise, self.inside = [-1], ["body"], [False], [False]
+        self.parent, self.name, self.noise, self.inside, self.soft = [-1], ["body"], [False], [False], [False]
         self.runs: list[tuple[int, str]] = []       # (node, text) in page order; node -1: block break
         self._read(page)
+        self._settle()
 
     def _open(self, name: str, attrs: str, stack: list[int], articles: int) -> int:
         up = stack[-1]
         self.parent.append(up)
         self.name.append(name)
-        self.noise.append(self.noise[up] or _is_noise(name, attrs, articles > 0))
+        kind = _noise(name, attrs, articles > 0)
+        self.noise.append(self.noise[up] or kind == HARD)
+        self.soft.append(kind == SOFT)
         self.inside.append(articles > 0 or name in KEEP_WHOLE)
         return len(self.name) - 1
 
@@ -146,6 +178,24 @@ class Page:
             if self.name[stack[k]] in stops or self.name[stack[k]] in ("td", "th", "li", "button"):
                 return
 
+    def _settle(self) -> None:
+        """Believe what classes and ids say, but for elements that hold the
+        page's own title, its ``main`` or nearly all of its text."""
+        if not any(self.soft):
+            return
+        n = len(self.name)
+        size, title = [0] * n, [x in ("h1", "main") for x in self.name]
+        for node, text in self.runs:
+            if node >= 0:
+                size[node] += len("".join(text.split()))
+        for k in range(n - 1, 0, -1):
+            if not self.noise[k]:
+                size[self.parent[k]] += size[k]
+                title[self.parent[k]] |= title[k]
+        for k in range(1, n):
+            said = self.soft[k] and not title[k] and size[k] < NEARLY_ALL * size[0]
+            self.noise[k] = self.noise[k] or self.noise[self.parent[k]] or said
+
     def densities(self):
         """CTD and density sum of every node, and its characters."""
         n = len(self.name)
