@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -471,7 +472,9 @@ def test_masks_meet_every_window_with_two_substitutions():
 def brute_overlap(doc, item, window=13, most=2):
     a, b = spaced_seeds.tokens(item), spaced_seeds.tokens(doc)
     if len(a) < window:
-        return bool(a) and any(b[k:k + len(a)] == a for k in range(len(b) - len(a) + 1))
+        if not a or len(a) < 5 and len(a) != len(b):
+            return False
+        return any(sum(x != y for x, y in zip(a, b[k:k + len(a)])) <= (len(a) >= 7) for k in range(len(b) - len(a) + 1))
     return any(sum(a[i + k] != b[j + k] for k in range(window)) <= most
                for i in range(len(a) - window + 1) for j in range(len(b) - window + 1))
 
@@ -480,7 +483,7 @@ def brute_overlap(doc, item, window=13, most=2):
 def test_overlaps_as_by_brute_force(spark, block_tokens):
     rng = random.Random(12)
     word = [f"w{k}" for k in range(40)]
-    items = [(k, " ".join(rng.choice(word) for _ in range(rng.choice([4, 13, 20, 30])))) for k in range(12)] + [(50, None), (51, ""), (52, "?!")]
+    items = [(k, " ".join(rng.choice(word) for _ in range(rng.choice([4, 6, 9, 12, 13, 20, 30])))) for k in range(12)] + [(50, None), (51, ""), (52, "?!")]
     docs = []
     for k in range(80):
         t = [rng.choice(word) for _ in range(rng.randint(0, 40))]
@@ -500,3 +503,61 @@ def test_overlaps_as_by_brute_force(spark, block_tokens):
     assert got == want
     left = {r.doc_id for r in spaced_seeds.decontaminate(df, bench, p).collect()}
     assert left == {i for i, w in want.items() if not w}
+
+
+# --- further cases of 5 and 10 ------------------------------------------------------------------
+
+BODY = "<h1>A title of the page</h1>" + "".join(f"<p>Paragraph {k} says something of its own, at some length, about the matter.</p>" for k in range(12))
+
+
+@pytest.mark.parametrize("open_, close", [
+    ('<div class="has-sidebar">', "</div>"), ('<div class="content no-sidebar">', "</div>"), ('<div class="with-nav">', "</div>"),
+    ('<article><div class="ad-free">', "</div></article>"), ('<article><div class="entry comments-open">', "</div></article>"),
+    ('<article><div id="alert-systems">', "</div></article>"), ('<div class="widget">', "</div>"), ('<div class="plain">', "</div>")])
+def test_names_that_do_not_mean_noise(open_, close):
+    page = f'<body><nav>Home About</nav>{open_}{BODY}{close}<div class="comment-list"><p>first!</p></div><div class="site-footer">legal words</div></body>'
+    text = text_density.main_text(page)
+    assert text.startswith("A title of the page Paragraph 0 says") and text.endswith("about the matter.") and "Paragraph 11" in text
+    assert "first!" not in text and "legal" not in text and "Home" not in text
+
+
+def test_long_comments_stay_out():
+    page = f'<body><article>{BODY}</article><section id="comments">' + "<article class='comment'><p>a reader says a lot of things here, on and on</p></article>" * 60 + "</section></body>"
+    assert "a reader" not in text_density.main_text(page)
+
+
+def test_short_items(spark):
+    bench = [(1, "Paris"), (2, "one two three four five six seven eight nine ten eleven twelve"), (3, "alpha beta gamma delta epsilon zeta eta"),
+             (4, "red green blue white black grey")]
+    docs = [(1, "We flew to Paris in May"), (2, "PARIS!"), (3, "so one two three four five six SEVENTY eight nine ten eleven twelve it is"),
+            (4, "one two three four five six x eight nine y eleven twelve"), (5, "a alpha beta gamma delta epsilon zeta theta b"),
+            (6, "alpha beta gamma DELTA x zeta eta"), (7, "red green blue white black gray"), (8, "x red green blue white black grey y")]
+    for tokens in (2_000_000, 5):
+        p = spaced_seeds.SeedParams(block_tokens=tokens)
+        found = spaced_seeds.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), p)
+        got = {r.doc_id: sorted(o.item_id for o in r.overlaps) for r in found.collect()}
+        assert got == {1: [], 2: [1], 3: [2], 4: [], 5: [3], 6: [3], 7: [], 8: [4]}
+
+
+def test_ftrl_is_the_update_coordinate_by_coordinate():
+    p = ftrl_toxicity.FtrlParams(epochs=2, l1=0.7, l2=0.1, alpha=0.5)
+    rng = random.Random(33)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randint(0, 9))), np.int32), rng.randint(0, 1)) for _ in range(60)]
+    bias_at, z, n = 1 << ftrl_toxicity.BITS, {}, {}
+
+    def weight(i):
+        zi, l1 = z.get(i, 0.0), 0.0 if i == bias_at else p.l1
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((p.beta + math.sqrt(n.get(i, 0.0))) / p.alpha + p.l2)
+    order = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for k in order.permutation(len(rows)):
+            ids, y = [*rows[k][0].tolist(), bias_at], rows[k][1]
+            w = {i: weight(i) for i in ids}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in ids:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / p.alpha * w[i]
+                n[i] = old + g * g
+    bias, used, weights = ftrl_toxicity.fit(rows, p)
+    want = {i: weight(i) for i in z if i != bias_at and weight(i)}
+    assert bias == pytest.approx(weight(bias_at)) and dict(zip(used.tolist(), weights)) == pytest.approx(want) and 0 < len(want) < 40

@@ -4,16 +4,20 @@ Fixed masks of kept (1) and ignored (0) token positions slide over the
 benchmark items and over every training text; equal hashes of the kept
 tokens are hits, and around each hit the two token sequences are compared
 on its diagonal.  A text overlaps an item where a window of ``window``
-aligned tokens differs in at most ``substitutions`` of them (items shorter
-than the window: the whole item, without substitutions).  The two masks of
+aligned tokens differs in at most ``substitutions`` of them.  The two masks of
 weight six have a placement without error inside every 13-token window with
 any 2 substitutions (a test goes through all of them), so the search is
-exact for the default window.
+exact for the default window.  Shorter items must match as a whole: with one
+substitution from ``tolerant`` tokens on (their masks are their halves, one of
+which is then without error), without any below; and an item of fewer than
+``least`` tokens says too little inside a longer text, so it overlaps only a
+text that consists of it.
 
 Scale: training texts are read once, in place, with no shuffle.  The seeds
 of the benchmark go to the executors in blocks of at most ``block_tokens``
 tokens; their size is summed before anything is sent, and a benchmark beyond
-one block makes further passes over the texts, so no size is cut off.
+one block makes further passes over the texts, each written before the next,
+so that a task holds one block at a time.
 
 Defined results: null, empty and token-less texts overlap nothing; tokens
 are lower-cased words stripped of outer punctuation; repeated items or rows
@@ -30,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import cut_lineage
 from .common import WordHash
 
 MASKS = ("11010111", "111001011")
@@ -40,6 +45,8 @@ class SeedParams:
     masks: tuple[str, ...] = MASKS
     window: int = 13
     substitutions: int = 2
+    tolerant: int = 7                 # tokens from which on a short item may differ in one
+    least: int = 5                    # tokens of an item that is looked for inside longer texts
     block_tokens: int = 2_000_000     # bound of what one pass broadcasts
 
 
@@ -85,16 +92,19 @@ def seed_hashes(h: np.ndarray, offsets: list[int]) -> np.ndarray:
     return out
 
 
-def overlap_runs(a: list[str], b: list[str], shift: int, window: int, substitutions: int):
+def overlap_runs(a: list[str], b: list[str], shift: int, p: SeedParams = SeedParams()):
     """Runs of item tokens ``a`` covered by a window that matches ``b`` on the
     diagonal ``shift`` (b index = a index + shift), as (first, last) in b."""
-    lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+    window, allowed = p.window, p.substitutions
     if len(a) < window:
-        return [(shift, shift + len(a) - 1)] if lo == 0 and hi == len(a) and a == b[shift:shift + len(a)] else []
+        window, allowed = len(a), min(allowed, int(len(a) >= p.tolerant))
+    if len(a) < p.least and len(a) != len(b):
+        return []
+    lo, hi = max(0, -shift), min(len(a), len(b) - shift)
     if hi - lo < window:
         return []
     miss = np.cumsum([0] + [a[k] != b[k + shift] for k in range(lo, hi)])
-    good = np.flatnonzero(miss[window:] - miss[:-window] <= substitutions)
+    good = np.flatnonzero(miss[window:] - miss[:-window] <= allowed)
     runs: list[list[int]] = []
     for g in good.tolist():
         first, last = lo + shift + g, lo + shift + g + window - 1
@@ -105,18 +115,26 @@ def overlap_runs(a: list[str], b: list[str], shift: int, window: int, substituti
     return [tuple(r) for r in runs]
 
 
+def item_masks(n: int, p: SeedParams) -> list[tuple[tuple[int, ...], list[int] | None]]:
+    """Masks of an item of ``n`` tokens, as kept offsets, and where they are
+    placed (None: everywhere)."""
+    if n >= p.window:
+        return [(tuple(i for i, c in enumerate(m) if c == "1"), None) for m in p.masks]
+    if n >= p.tolerant and p.substitutions:
+        return [(tuple(range(n // 2)), [0, n - n // 2])]
+    return [(tuple(range(n)), None)] if n else []
+
+
 def _seed_table(items: list[tuple], p: SeedParams):
-    """Sorted seed hashes with item and offset, for each mask; short items get
-    a seed of all their tokens."""
+    """Sorted seed hashes with item and offset, for each mask."""
     toks = [tokens(t) for _, t in items]
     masks: dict[tuple[int, ...], list] = {}
     for k, words in enumerate(toks):
         h = np.array([hash_of(w) for w in words], np.uint64)
-        kept = ([tuple(i for i, c in enumerate(m) if c == "1") for m in p.masks] if len(words) >= p.window
-                else [tuple(range(len(words)))] if words else [])
-        for offsets in kept:
+        for offsets, places in item_masks(len(words), p):
             for at, s in enumerate(seed_hashes(h, list(offsets)).tolist()):
-                masks.setdefault(offsets, []).append((s, k, at))
+                if places is None or at in places:
+                    masks.setdefault(offsets, []).append((s, k, at))
     table = {}
     for offsets, rows in masks.items():
         rows.sort()
@@ -157,7 +175,7 @@ def _scan(sent, p: SeedParams, names: list[str]):
                         words = tokens(text)
                         for k, shift in sorted(pairs):
                             found += [{"item_id": ids[k], "first": x, "last": y} for x, y in
-                                      overlap_runs(items[k], words, shift, p.window, p.substitutions)]
+                                      overlap_runs(items[k], words, shift, p)]
                     out.append(found)
             merged = [(x or []) + y for x, y in zip(before.to_pylist(), out)]
             yield pa.RecordBatch.from_arrays(
@@ -181,6 +199,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, p: SeedParams = SeedParams()
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         sent = spark.sparkContext.broadcast(_seed_table(rows, p))
         src = src.mapInArrow(_scan(sent, p, keep), src.schema)
+        if blocks > 1:
+            src = cut_lineage(src, "decontamination")
+            sent.destroy()
     return src.drop("_text").withColumn("overlaps", F.coalesce("overlaps", F.array().cast(OVERLAP)))
 
 
