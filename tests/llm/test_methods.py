@@ -295,9 +295,9 @@ def brute_lines(docs, threshold, min_chars):
         x for k, x in enumerate(t.split("\n")) if x not in first or (x not in late and first[x][2:4] == (row, k))) for row, (i, t) in enumerate(docs)]
 
 
-@pytest.mark.parametrize("threshold, written", [(1, False), (2, False), (1, True)])
-def test_lines_go_as_by_brute_force(spark, tmp_dir, threshold, written):
-    """Shared and null ids, equal rows, short and blank lines."""
+@pytest.mark.parametrize("threshold, written, hot", [(1, False, 256), (2, False, 256), (1, True, 256), (1, False, 2), (2, False, 1)])
+def test_lines_go_as_by_brute_force(spark, tmp_dir, threshold, written, hot):
+    """Shared and null ids, equal rows, short and blank lines; with and without hot keys."""
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 30))) for _ in range(25)] + ["", " ", "x"]
     docs = []
@@ -306,7 +306,7 @@ def test_lines_go_as_by_brute_force(spark, tmp_dir, threshold, written):
         docs.append((rng.choice([i, i, i % 9, None]), None if i % 13 == 0 else "\n".join(lines)))
     docs += rng.sample(docs, 10)
     docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
-    p = line_dedup.LineParams(threshold=threshold, min_chars=8)
+    p = line_dedup.LineParams(threshold=threshold, min_chars=8, hot=hot)
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     if written:
         df.write.parquet(f"{tmp_dir}/lines")
@@ -320,6 +320,36 @@ def test_lines_go_as_by_brute_force(spark, tmp_dir, threshold, written):
         assert r.n_lines == (0 if t is None else t.count("\n") + 1)
 
 
+def test_lines_with_a_common_half_do_not_all_meet(spark):
+    """Log lines: the same front, a number, the same end; every tenth has a near one."""
+    rng = random.Random(3)
+    lines = [f"2026-01-01 the service answered the request of number {k * 7919 % 100_003:05d}{k * 104_729 % 99_991:05d} without any delay" for k in range(1500)]
+    lines += [x[:20] + x[21:] for x in lines[::10]]
+    rng.shuffle(lines)
+    p = line_dedup.LineParams(hot=16)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    line = F.col("text")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), line.alias("line"),
+                       line_dedup.letter_counts(line).alias("letters"), line_dedup.segment_keys(line, line_dedup._own(line, p)).alias("index"),
+                       line_dedup.segment_keys(line, line_dedup._others(line, p)).alias("probe"))
+    met = {(r.a, r.b) for r in line_dedup.candidates(rows.drop("line"), rows.select("h1", "h2", "line"), p).collect()}
+    assert len(met) < 40 * len(lines)                    # all pairs would be 680 a line
+    by_gap = {}                                          # lines one substitution apart agree without that place, others without one character
+    for i, x in enumerate(lines):
+        for k in range(len(x)):
+            by_gap.setdefault(x[:k] + x[k + 1:], set()).add(i)
+        by_gap.setdefault(x, set()).add(i)
+    near = {(a, b) for group in by_gap.values() for a in group for b in group if a < b and abs(len(lines[a]) - len(lines[b])) <= 1
+            and within_one(lines[a], lines[b])}
+    assert near and near <= met
+
+
+def within_one(a: str, b: str) -> bool:
+    a, b = sorted((a, b), key=len)
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[k + (len(a) == len(b)):] == b[k + 1:]
+
+
 def test_rows_of_one_id_lose_their_own_lines_only(spark):
     rows = [(1, "a line that comes again and again\nthe rest of one"), (7, "something else, but unique here\nb"), (7, "a line that comes again and again\nc")]
     got = sorted(r.text for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())

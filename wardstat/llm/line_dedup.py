@@ -9,7 +9,10 @@ two lines within the threshold, one segment of the shorter stands unchanged
 in the longer one, at a place that its own length and the difference in
 length bound closely.  The segments of every distinct line form an index
 keyed on (length, segment number, content); every line probes it with its
-few fitting substrings.  Pairs whose letter counts differ by more than the
+few fitting substrings.  Where many lines share a segment (a common prefix
+or suffix), what is left of each of them is cut and probed in the same way,
+again and again, so no key holds a large group of lines that are not near.
+Pairs whose letter counts differ by more than the
 threshold allows are not let through the join; the others are verified by a
 banded bit-parallel edit distance: one word of 2 * threshold + 1 bits per
 error count, moved along the diagonal with three shifts and masks a
@@ -43,6 +46,7 @@ from . import sieve
 class LineParams:
     threshold: int = 1      # edits
     min_chars: int = 20     # shorter lines go for equal ones only
+    hot: int = 256          # lines under one key from which on their rests are cut too; routing only
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -80,20 +84,16 @@ def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
     return F.lit(1) + base * i + F.greatest(F.lit(0), late), base + F.when(late >= 0, 1).otherwise(0)
 
 
-def index_keys(line: Column, p: LineParams) -> Column:
+def _own(line: Column, p: LineParams) -> list[tuple]:
+    """(length, segment number, first position, size) of the segments of a line."""
     n, parts = F.length(line), p.threshold + 1
-    keys = []
-    for i in range(parts):
-        at, size = _segment(n, i, parts)
-        keys.append(F.xxhash64(n, F.lit(i), F.substring(line, at, size)))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, p: LineParams) -> Column:
-    """Keys of the substrings that can equal a segment of a line at most
-    ``threshold`` shorter (or as long), besides the line's own segments,
-    whose keys are those of the index."""
-    parts, keys = p.threshold + 1, []
+    return [(n, i, *_segment(n, i, parts)) for i in range(parts)]
+
+
+def _others(line: Column, p: LineParams) -> list[tuple]:
+    """The substrings that can equal a segment of a line at most ``threshold``
+    shorter (or as long), besides the line's own segments."""
+    parts, found = p.threshold + 1, []
     for delta in range(p.threshold + 1):
         n = F.length(line) - delta
         for i in range(parts):
@@ -101,8 +101,20 @@ def probe_keys(line: Column, p: LineParams) -> Column:
             right = p.threshold - i              # errors that may stand right of segment i
             for move in range(max(-i, delta - right), min(i, delta + right) + 1):
                 if delta or move:
-                    keys.append(F.xxhash64(n, F.lit(i), F.substring(line, at + move, size)))
-    return F.array(*keys)
+                    found.append((n, i, at + move, size))
+    return found
+
+
+def segment_keys(line: Column, segments: list[tuple]) -> Column:
+    return F.array(*[F.xxhash64(n, F.lit(i), F.substring(line, at, size)) for n, i, at, size in segments])
+
+
+def _cut(line: Column, segments: list[tuple], *parent: Column) -> Column:
+    """(key, rest) for each segment: its key, below that of a parent, and the
+    line without it."""
+    return F.array(*[F.struct(
+        F.xxhash64(*parent, n, F.lit(i), F.substring(line, at, size)).alias("key"),
+        F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + size, F.length(line))).alias("rest")) for n, i, at, size in segments])
 
 
 def _let(value: Column, body) -> Column:
@@ -190,19 +202,60 @@ def _within_bits(a: Column, b: Column, threshold: int) -> Column:
     return (goal >= 0) & (goal <= 2 * t) & _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
 
 
+def _texts(ids: DataFrame, distinct: DataFrame, keyed: DataFrame, name: str) -> DataFrame:
+    """id, letters, line of some of the distinct lines."""
+    asked = cut_lineage(ids.distinct().join(distinct.select("id", "h1", "h2", "letters"), "id"), f"{name}_ids")
+    return cut_lineage(sieve.sift(keyed.select("h1", "h2", "line"), "h1", cut_lineage(sieve.build(asked, "h1"), f"{name}_sieve"))
+                       .groupBy("h1", "h2").agg(F.first("line").alias("line")).join(asked, ["h1", "h2"]).select("id", "letters", "line"), name)
+
+
+def _hot(index: DataFrame, p: LineParams) -> DataFrame | None:
+    """Sieve of the keys that more than ``hot`` lines have and that can be cut
+    further, None if there are none."""
+    divisible = F.max(F.length("rest")) > p.threshold if "rest" in index.columns else F.lit(True)
+    keys = index.groupBy("key").agg(F.count("*").alias("n"), divisible.alias("divisible")).where((F.col("n") > p.hot) & F.col("divisible"))
+    found = cut_lineage(sieve.build(keys, "key"), "hot_segments")
+    return None if found.isEmpty() else found
+
+
+def _meet(index: DataFrame, probe: DataFrame, hot: DataFrame | None, p: LineParams) -> DataFrame:
+    """Pairs of ids that share a key which is not hot and may be near."""
+    sides = [x if hot is None else sieve.sift(x, "key", hot, inside=False) for x in (index, probe)]
+    a, b = (x.select("key", F.col("id").alias(k), F.col("letters").alias(f"letters_{k}")) for x, k in zip(sides, "ab"))
+    alike = counts_differ(F.col("letters_a"), F.col("letters_b")) <= 2 * p.threshold
+    return cut_lineage(a.join(b, "key").where((F.col("a") != F.col("b")) & alike)
+                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line_pairs")
+
+
+def candidates(distinct: DataFrame, keyed: DataFrame, p: LineParams) -> DataFrame:
+    """Pairs ``a, b`` that share a segment.  Lines under a hot key have the
+    threshold left for their rests, so there the rests are cut in the same way
+    and meet by a segment of the rest too, until no key is hot."""
+    index = distinct.select("id", "letters", F.explode("index").alias("key"))
+    probe = distinct.select("id", "letters", F.explode(F.concat("index", "probe")).alias("key"))
+    hot = _hot(index, p)
+    pairs = _meet(index, probe, hot, p)
+    if hot is None:
+        return pairs
+    ids = [sieve.sift(x, "key", hot).select("id") for x in (index, probe)]
+    lines, line = _texts(ids[0].union(ids[1]), distinct, keyed, "hot_lines"), F.col("line")
+    index = lines.select("id", "letters", F.inline(_cut(line, _own(line, p))))
+    probe = lines.select("id", "letters", F.inline(_cut(line, _own(line, p) + _others(line, p))))
+    rest, key = F.col("rest"), F.col("key")
+    while hot is not None:
+        index = cut_lineage(sieve.sift(index, "key", hot).select("id", "letters", F.inline(_cut(rest, _own(rest, p), key))), "rest_index")
+        probe = cut_lineage(sieve.sift(probe, "key", hot).select("id", "letters", F.inline(_cut(rest, _own(rest, p) + _others(rest, p), key))), "rest_probe")
+        hot = _hot(index, p)
+        pairs = pairs.union(_meet(index, probe, hot, p))
+    return pairs.distinct()
+
+
 def near_lines(distinct: DataFrame, keyed: DataFrame, p: LineParams) -> DataFrame:
     """Pairs ``a, b`` of ids of distinct lines within the threshold.
     ``distinct``: id, digests h1 and h2, letters, index, probe; ``keyed``: h1, h2 and
     line of every line."""
-    index = distinct.select(F.explode("index").alias("key"), F.col("id").alias("a"), F.col("letters").alias("letters_a"))
-    probe = distinct.select(F.explode(F.concat("index", "probe")).alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
-    alike = counts_differ(F.col("letters_a"), F.col("letters_b")) <= 2 * p.threshold
-    pairs = cut_lineage(index.join(probe, "key").where((F.col("a") != F.col("b")) & alike)
-                        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line_pairs")
-    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-                        .join(distinct.select("id", "h1", "h2"), "id"), "asked_lines")
-    texts = cut_lineage(sieve.sift(keyed.select("h1", "h2", "line"), "h1", cut_lineage(sieve.build(asked, "h1"), "asked_sieve"))
-                        .groupBy("h1", "h2").agg(F.first("line").alias("line")).join(asked, ["h1", "h2"]).select("id", "line"), "line_texts")
+    pairs = candidates(distinct, keyed, p)
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), distinct, keyed, "line_texts").drop("letters")
     return (pairs.join(texts.withColumnsRenamed({"id": "a", "line": "line_a"}), "a")
             .join(texts.withColumnsRenamed({"id": "b", "line": "line_b"}), "b")
             .where(within(F.col("line_a"), F.col("line_b"), p.threshold)).select("a", "b"))
@@ -216,8 +269,8 @@ def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     none = F.array().cast("array<long>")
     distinct = cut_lineage(
         keyed.select("h1", "h2", "_doc", "_key", "pos", F.when(long_one, letter_counts(F.col("line"))).alias("letters"),
-                     F.when(long_one, index_keys(F.col("line"), p)).otherwise(none).alias("index"),
-                     F.when(long_one, probe_keys(F.col("line"), p)).otherwise(none).alias("probe"))
+                     F.when(long_one, segment_keys(F.col("line"), _own(F.col("line"), p))).otherwise(none).alias("index"),
+                     F.when(long_one, segment_keys(F.col("line"), _others(F.col("line"), p))).otherwise(none).alias("probe"))
         .groupBy("h1", "h2").agg(F.min(F.struct(F.col("_doc").isNull().alias("no_id"), "_doc", "_key", "pos")).alias("first"), F.first("letters").alias("letters"),
                                  F.first("index").alias("index"), F.first("probe").alias("probe"), F.count("*").alias("n"))
         .withColumn("id", F.monotonically_increasing_id()), "distinct_lines")
