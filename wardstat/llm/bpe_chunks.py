@@ -78,10 +78,12 @@ class ChunkEncoder:
         self.added = added
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.piece: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chunk: dict[str, tuple[list[bytes], np.ndarray]] = {}
         self.piece_limit, self.chunk_limit = pieces, chunks
         self.encoded = self.reused = self.repaired = 0
-        self._bytes = None
+        self._bytes = token_bytes(self.tok)
+        self.spaced = np.array([b[:1] == b" " for b in self._bytes])
 
     def split(self, text: str) -> list[str]:
         if self.odd(text) is None:
@@ -97,25 +99,30 @@ class ChunkEncoder:
             return list(map(self.piece.__getitem__, pieces))
 
     def _remember(self, pieces: set[str]) -> None:
-        known = self.piece
-        new = pieces.difference(known)
-        if len(known) + len(new) > self.piece_limit:
-            known.clear()
-            new = pieces
-        # words with a leading space split again at the same places when they
-        # stand in one text, so one call encodes them all
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        e = self.tok.encode("".join(words), add_special_tokens=False)
-        of = np.array(e.word_ids, np.int64)
-        at = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-        if len(at) == len(words) + 1:
-            raw = np.array(e.ids, "<u4").tobytes()
-            known.update(zip(words, [raw[4 * a:4 * b] for a, b in zip(at, at[1:])]))
-            new = list(new.difference(words))
-        else:
-            new = list(new)
-        for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<u4").tobytes()
+        """Make the pieces known.  A full memory becomes the older one, from
+        which pieces that come again are taken over, and the one before goes."""
+        new = pieces.difference(self.piece)
+        if len(self.piece) + len(new) > self.piece_limit:
+            self.older, self.piece, new = self.piece, {}, pieces
+        known, older = self.piece, self.older
+        if older:
+            known.update({p: older[p] for p in new if p in older})
+            new = new.difference(known)
+        if len(new) > 32:
+            # words with a leading space split again at the same places when they
+            # stand in one text, so one call encodes them all, and every word begins
+            # with the one code of its own that holds a space
+            words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+            ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            at = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
+            if len(at) == len(words) + 1:
+                raw = ids.tobytes()
+                known.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:])]))
+                new = new.difference(words)
+        rest = list(new)
+        if rest:
+            for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
+                known[p] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, texts: list[str]) -> None:
         """Encode the chunks of a batch that are not known yet, in one call."""
@@ -197,8 +204,6 @@ class ChunkEncoder:
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        if self._bytes is None:
-            self._bytes = token_bytes(self.tok)
         return b"".join(self._bytes[ids].tolist()).decode("utf-8", "replace")
 
 
