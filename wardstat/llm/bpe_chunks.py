@@ -60,16 +60,29 @@ def cuts(text: str) -> list[int]:
     return at[at < len(cp)].tolist()
 
 
+def loaded(path: str):
+    """The tokenizer of a file and the bytes of its ids, loaded once per Python worker,
+    which runs many tasks: loading takes time, and what a dropped tokenizer held
+    is not all given back.  Kept with the library's module, since the functions
+    of this one travel by value and each task has globals of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    known = vars(tokenizers).setdefault("_loaded_by_path", {})
+    if path not in known:
+        tok = tokenizers.Tokenizer.from_file(path)
+        tok.no_padding()
+        tok.no_truncation()
+        known[path] = tok, token_bytes(tok)
+    return known[path]
+
+
 class ChunkEncoder:
     """Encoder of one task: remembers pieces and chunks up to fixed limits."""
 
     def __init__(self, path: str, pieces: int = 200_000, chunks: int = 8_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_padding()
-        self.tok.no_truncation()
+        self.tok, self._bytes = loaded(path)
+        self.spaced = np.array([b[:1] == b" " for b in self._bytes])
         # the same pattern for PLAIN text, where letters are the ASCII and Latin ones
         self.find = re.compile(SPLIT.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{LETTERS}{DIGITS}]").replace(r"\p{L}", f"[{LETTERS}]")
                                .replace(r"\p{N}", f"[{DIGITS}]")).findall
@@ -82,8 +95,6 @@ class ChunkEncoder:
         self.chunk: dict[str, tuple[list[bytes], np.ndarray]] = {}
         self.piece_limit, self.chunk_limit = pieces, chunks
         self.encoded = self.reused = self.repaired = 0
-        self._bytes = token_bytes(self.tok)
-        self.spaced = np.array([b[:1] == b" " for b in self._bytes])
 
     def split(self, text: str) -> list[str]:
         if self.odd(text) is None:
