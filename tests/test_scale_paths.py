@@ -274,3 +274,12 @@ def test_label_index_of_many_levels(spark):
 def test_threshold_grid_is_half_open():
     assert len(ev.threshold_grid(0.1, 0.9, 0.05)) == 16 and len(ev.threshold_grid(0.1, 0.9, 0.01)) == 80
     assert max(ev.threshold_grid(0.1, 0.9, 0.01)) == 0.89
+
+def test_rare_levels_of_all_columns_in_one_pass(spark):
+    from wardstat.operators import stats
+    rows = [("a", 1, None)] * 6 + [("b", 2, "x")] * 3 + [(None, 3, "y")]
+    df = spark.createDataFrame(rows, "p string, q int, r string")
+    got = sorted(map(tuple, stats.collapse_rare_levels(df, ["p", "q", "r"], min_share=0.3).collect()), key=str)
+    assert got == sorted([("a", "1", None)] * 6 + [("b", "2", "x")] * 3 + [(None, "Other", "Other")], key=str)
+    assert stats.collapse_rare_levels(df.limit(0), ["p", "r"]).collect() == []
+    assert stats.collapse_rare_levels(df, ["p"], min_share=0).columns == df.columns

@@ -323,16 +323,25 @@ def with_z_pvalues(t: DataFrame) -> DataFrame:
 
 # #91
 def collapse_rare_levels(df: DataFrame, cols, min_share: float = 0.01, other: str = "Other") -> DataFrame:
-    """Levels whose share of rows is under ``min_share`` become ``other``.
+    """Levels whose share of rows is under ``min_share`` become ``other``; nulls stay.
 
-    Level shares come from one grouped count per column (bounded by the
-    number of levels) and are joined back."""
-    n = df.count()
-    out = df
-    for c in cols:
-        keep = (df.groupBy(col_of(c).alias("_lvl")).agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") / F.lit(n) >= min_share).select("_lvl", F.lit(True).alias("_keep")))
-        out = out.join(keep, col_of(c).eqNullSafe(F.col("_lvl")), "left")
-        out = out.withColumn(c, F.when(F.col("_keep") | col_of(c).isNull(), col_of(c)).otherwise(F.lit(other))) \
-            .drop("_lvl", "_keep")
-    return out
+    One pass counts the levels of all columns.  At most 1 / min_share levels
+    of a column have that share, so the kept ones are one short row that goes
+    to every task: no join by level and no job per column.  Columns of
+    other types become text."""
+    cols = list(cols)
+    if not cols or min_share <= 0:
+        return df
+    level = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), col_of(c).cast("string").alias("_lvl")) for i, c in enumerate(cols)]))
+    counts = cut_lineage(df.select(level.alias("_x")).groupBy("_x._i", "_x._lvl").agg(F.count("*").alias("_n")), "level_counts")
+    total = counts.where("_i = 0").agg(F.sum("_n").alias("_total"))                       # one row
+    kept = (counts.crossJoin(F.broadcast(total)).where(F.col("_lvl").isNotNull() & (F.col("_n") / F.col("_total") >= min_share))
+            .groupBy("_i").agg(F.collect_list("_lvl").alias("_levels"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("_i", "_levels"))).alias("_kept")))
+
+    def shown(i, c):
+        text = col_of(c).cast("string")
+        common = F.coalesce(F.array_contains(F.col("_kept")[i], text), F.lit(False))
+        return F.when(common | text.isNull(), text).otherwise(F.lit(other))
+
+    return df.crossJoin(F.broadcast(kept)).withColumns({c: shown(i, c) for i, c in enumerate(cols)}).drop("_kept")

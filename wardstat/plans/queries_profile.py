@@ -450,3 +450,15 @@ SELECT encounter_id, CASE WHEN diag_1 IS NULL OR diag_1 IN (SELECT lvl FROM s) T
 FROM cleaned""")
 def q_collapse(spark, sf):
     return st.collapse_rare_levels(cleaned(spark, sf, ["encounter_id", "diag_1"]), ["diag_1"])
+
+
+@register("collapse_rare_three_diagnoses", O.CLEANED + """
+, n AS (SELECT count(*) * 0.01 AS least FROM cleaned)
+, s AS (SELECT diag, lvl FROM (UNPIVOT (SELECT diag_1, diag_2, diag_3 FROM cleaned) ON diag_1, diag_2, diag_3 INTO NAME diag VALUE lvl)
+        GROUP BY diag, lvl HAVING count(*) >= (SELECT least FROM n))
+SELECT encounter_id, """ + ", ".join(
+    f"CASE WHEN {c} IS NULL OR {c} IN (SELECT lvl FROM s WHERE diag = '{c}') THEN {c} ELSE 'Other' END AS {c}"
+    for c in ("diag_1", "diag_2", "diag_3")) + " FROM cleaned")
+def q_collapse_three(spark, sf):
+    cols = ["diag_1", "diag_2", "diag_3"]
+    return st.collapse_rare_levels(cleaned(spark, sf, ["encounter_id", *cols]), cols)
