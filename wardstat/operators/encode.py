@@ -207,10 +207,9 @@ def mutual_information(df: DataFrame, cols, k: int | None = None, bins: int = 10
     d = discretise(df.withColumnRenamed(target, codes.TARGET) if target != codes.TARGET else df, cols, bins)
     d = d.filter(F.col("bin").isNotNull())
     joint = d.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("nxy"))
-    px = joint.groupBy("feature", "bin").agg(F.sum("nxy").alias("nx"))
-    py = joint.groupBy("feature", "y").agg(F.sum("nxy").alias("ny"))
-    n = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
-    j = joint.join(px, ["feature", "bin"]).join(py, ["feature", "y"]).join(n, "feature")
+    def total(*keys):                                             # joint has a few rows a bin
+        return F.sum("nxy").over(Window.partitionBy(*keys))
+    j = joint.withColumns({"nx": total("feature", "bin"), "ny": total("feature", "y"), "n": total("feature")}).filter(F.col("y").isNotNull())
     term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
     mi = j.groupBy("feature").agg(F.sum(term).alias("mi"))
     w = Window.orderBy(F.col("mi").desc(), F.col("feature"))
