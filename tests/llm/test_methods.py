@@ -481,6 +481,21 @@ def test_chunked_bpe_equals_the_library(monkeypatch):
     assert enc.repaired > 100 and enc.encoded > 100
 
 
+def test_bpe_with_a_small_memory_equals_the_library():
+    """Pieces move between the two generations of the memory many times."""
+    import public_tokenizers
+    enc = bpe_chunks.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), pieces=300, chunks=20)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 12))) for _ in range(900)]
+    for _ in range(12):
+        texts = [" ".join(rng.choices(words, k=rng.randint(1, 150))) for _ in range(8)]
+        enc.learn(texts)
+        for t in texts:
+            got = enc.encode(t)
+            assert got.tolist() == enc.tok.encode(t, add_special_tokens=False).ids and enc.decode(got) == t
+    assert enc.older
+
+
 def test_shared_chunks_are_encoded_once():
     import public_tokenizers
     enc = bpe_chunks.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
