@@ -4,6 +4,7 @@ hash-bucket ranks, multi-pivot kNN) give the same answers as brute force."""
 import hashlib
 import os
 import random
+import tracemalloc
 import subprocess
 import sys
 
@@ -253,6 +254,40 @@ def test_bounds_hold_and_leave_few_pairs_to_measure(spark):
     assert pairs < 0.05 * len(x) ** 2
 
 
+def test_few_pairs_are_measured_beside_a_far_value():
+    """One far component does not make the other rows alike."""
+    x = np.random.default_rng(4).normal(size=(1500, 8))
+    x[7, 3] = 1e6
+    every = np.arange(len(x))
+    q, c, dist, pairs = nb.nearest(x, every, every, 5)
+    assert len(q) == 5 * len(x) and pairs < 0.05 * len(x) ** 2
+    for i in range(0, len(x), 100):
+        true = ((x - x[i]) ** 2).sum(axis=1)
+        assert list(c[q == i]) == list(np.lexsort((every, np.where(every == i, np.inf, true)))[:5])
+
+
+def test_memory_of_a_group_does_not_grow_with_its_pairs():
+    x = np.random.default_rng(5).normal(size=(6000, 16))
+    x[:, 0] = np.arange(6000) % 2
+    x[3000:, 1:] = 0.0
+    x[3000:, 1] = np.arange(3000) % 50                     # many rows of the same distances
+    half = np.arange(3000)
+    tracemalloc.start()
+    nb.nearest(x, np.arange(6000), np.arange(6000), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6, peak
+    limit = np.full(6000, 4.0)
+    tracemalloc.start()
+    q, c, dist, _ = nb.nearest_across(x, half, half + 3000, 5, limit)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    true = ((x[:3000, None] - x[None, 3000:]) ** 2).sum(axis=2)
+    want = {(i, j + 3000) for i in half for j in [j for j in np.lexsort((half, true[i]))[:5] if true[i, j] <= 4.0]}
+    want |= {(j + 3000, i) for j in half for i in [i for i in np.lexsort((half, true[:, j]))[:5] if true[i, j] <= 4.0]}
+    assert set(zip(q.tolist(), c.tolist())) == want and len(q) == len(want)
+
+
 def test_null_labels_keep_their_rows(spark):
     df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "encounter_id long, y int")
     assert bal.stratified_split(df, 0.2, "y").count() == 100

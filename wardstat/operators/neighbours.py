@@ -9,11 +9,16 @@ handled in ``knn``):
 2. In a group each component is rounded to ``BITS`` bits of a common step.
    With ``e`` the length of what rounding left of a vector, the distance of
    two vectors lies within ``e + e'`` of the distance of their
-   approximations, which is one product of small integers.
-3. Rows whose lower bound is above the k-th smallest upper bound of a query
-   cannot be among its neighbours in the group; only the others are measured
-   exactly, and the ``k`` nearest of each query leave the group.
-4. The ``k`` nearest over all groups of a query are its neighbours.
+   approximations, which comes from one product in single precision, whose
+   own error is bounded by the vectors' lengths.
+3. Each tile is searched alone first: the ``k`` rows of the smallest bounds
+   are measured, and only rows whose lower bound is not above the largest of
+   them are measured too.  The distance of a row's k-th neighbour in its own
+   tile is its limit.
+4. A pair of tiles is bounded once for both directions, and only pairs within
+   the limit of one of their rows are measured.  ``PAIRS`` pairs are bounded
+   at once, so the memory of a group does not depend on its distances.
+5. The ``k`` nearest over all groups of a query are its neighbours.
 
 No column grows with the table, and nothing is sent to the driver.  Distances
 are squared Euclidean, summed left to right over the vector; ties go by
@@ -32,34 +37,51 @@ from ..functions.columns import col_of
 from ..session import cut_lineage
 from .balance import hash_rank, md5_number, md5_text, minority_majority
 
-TILE_ROWS = 8192
-#: bits of an approximation's component
-BITS = 8
-#: queries of a tile that are bounded at once, and pairs that are measured at once
-QUERY_ROWS = 1024
+TILE_ROWS = 16384
+#: bits of an approximation's component; 24 at most, what single precision holds
+BITS = 24
+#: rows of a tile, and pairs, that are bounded and measured at once
+QUERY_ROWS = 512
 PAIRS = 1 << 20
 #: share of a bound that covers the rounding of its own arithmetic
 TOLERANCE = 1e-6
 
 
 def approximate(x: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Integer codes of the rows (less each column's least value, in steps of
-    one common size), the length of each row's rounding error, and the step."""
-    low = x.min(axis=0) if len(x) else np.zeros(x.shape[1])
-    step = float((x - low).max(initial=0.0)) / ((1 << bits) - 1) or 1.0
-    codes = np.rint((x - low) / step)
-    return codes, np.sqrt((((x - low) - codes * step) ** 2).sum(axis=1)), step
+    """Integer codes of the rows (less each column's median, in steps of one
+    common size), the length of each row's rounding error, and the step."""
+    gap = x - np.median(x, axis=0) if len(x) else x
+    step = float(np.abs(gap).max(initial=0.0)) / ((1 << bits) - 1) or 1.0
+    codes = np.rint(gap / step)
+    return codes.astype(np.float32), np.sqrt(((gap - codes * step) ** 2).sum(axis=1)), step
+
+
+def sides(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two matrices whose rows' products are the squared distances of the codes
+    less a bound of their rounding, and each row's part of that bound: with
+    ``u = 2^-24``, a product of ``d`` terms is off by ``d u`` of the sum of their
+    sizes at most, which is twice the squared lengths."""
+    share = (2 * codes.shape[1] + 32) * 2.0 ** -24
+    long = np.square(codes, dtype=np.float64).sum(axis=1)
+    least, one = ((1 - share) * long).astype(np.float32)[:, None], np.ones((len(codes), 1), np.float32)
+    return np.hstack([codes, least, one]), np.hstack([-2 * codes, one, least]), share * long
 
 
 def bounds(codes: np.ndarray, error: np.ndarray, step: float, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the distances of rows ``a`` to rows ``b``."""
-    # sums of at most 2^24 are exact in single precision
-    kind = np.float32 if codes.shape[1] * float(codes.max(initial=0)) ** 2 < 2 ** 24 else np.float64
-    left, right = codes[a].astype(kind), codes[b].astype(kind)
-    square = (left * left).sum(axis=1)[:, None] + (right * right).sum(axis=1) - 2 * (left @ right.T)
-    near = np.sqrt(np.maximum(square, 0)) * kind(step)
-    slack = (error[a][:, None] + error[b]).astype(kind) + kind(TOLERANCE * step) + kind(TOLERANCE) * near
-    return near - slack, near + slack
+    left, right, off = sides(codes)
+    least = left[a] @ right[b].T
+    slack = error[a][:, None] + error[b] + TOLERANCE * step
+    low = np.sqrt(np.maximum(least, 0, dtype=np.float64)) * step
+    high = np.sqrt(np.maximum(least + 2 * (off[a][:, None] + off[b]), 0)) * step
+    return low * (1 - TOLERANCE) - slack, high * (1 + TOLERANCE) + slack
+
+
+def code_limit(limit: np.ndarray, error: np.ndarray, step: float) -> np.ndarray:
+    """Squared distances as limits of the products of ``sides``: no row within the limit is above."""
+    reach = (np.sqrt(limit) * (1 + TOLERANCE) + 2 * error.max(initial=0.0)) / step + TOLERANCE
+    with np.errstate(over="ignore"):
+        return np.square(reach * (1 + TOLERANCE)).astype(np.float32)
 
 
 def measured(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,34 +95,84 @@ def measured(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_k(q: np.ndarray, c: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` pairs of each ``q`` that are first by distance, then ``c``."""
+    order = np.lexsort((c, dist, q))
+    q, c, dist = q[order], c[order], dist[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[kept], c[kept], dist[kept]
+
+
+def _parts(n: int, size: int):
+    return (slice(at, at + size) for at in range(0, n, size))
+
+
 def nearest(x: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Of rows ``a``, the ``k`` nearest other rows among ``b`` (ties: the first
     of ``b``): pairs (a, b), their squared distances, and how many pairs were
     measured."""
     codes, error, step = approximate(x, bits)
-    own, out, n = np.zeros(len(x), np.int64) - 1, [], 0
+    left, right, _ = sides(codes)
+    right = right[b].T
+    own, out, n = np.zeros(len(x), np.int64) - 1, [(a[:0], b[:0], np.zeros(0))], 0
     own[b] = np.arange(len(b))
-    for at in range(0, len(a), QUERY_ROWS):
-        part = a[at:at + QUERY_ROWS]
-        low, high = bounds(codes, error, step, part, b)
-        here = np.flatnonzero(own[part] >= 0)
-        low[here, own[part[here]]] = np.inf
-        high[here, own[part[here]]] = np.inf
-        if high.shape[1] > k:
-            low[low > np.partition(high, k - 1, axis=1)[:, k - 1][:, None]] = np.inf
-        q, c = np.nonzero(low < np.inf)
-        dist = measured(x, part[q], b[c])
+    for part in _parts(len(a), max(1, min(QUERY_ROWS, PAIRS // max(1, len(b))))):
+        rows = a[part]
+        least = left[rows] @ right
+        here = np.flatnonzero(own[rows] >= 0)
+        least[here, own[rows[here]]] = np.inf
+        wanted = np.ones(least.shape, bool)
+        if len(b) > k:
+            some = np.argpartition(least, k - 1, axis=1)[:, :k]
+            limit = measured(x, np.repeat(rows, k), b[some].ravel()).reshape(-1, k).max(axis=1)
+            n += some.size
+            wanted = ~(least > code_limit(limit, error, step)[:, None])      # what is no number stays
+        wanted[here, own[rows[here]]] = False
+        q, c = np.nonzero(wanted)
         n += len(q)
-        order = np.lexsort((c, dist, q))
-        q, c, dist = q[order], c[order], dist[order]
-        first = np.searchsorted(q, np.arange(len(part)))
-        kept = np.arange(len(q)) - first[q] < k
-        out.append((part[q[kept]], b[c[kept]], dist[kept]))
-    if not out:
-        return a[:0], b[:0], np.zeros(0), n
+        q, c, dist = first_k(q, c, measured(x, rows[q], b[c]), k)
+        out.append((rows[q], b[c], dist))
     return *(np.concatenate(z) for z in zip(*out)), n
 
 
+class Nearest:
+    """The ``k`` first pairs of each query of those added."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.n = k, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, q: np.ndarray, c: np.ndarray, dist: np.ndarray) -> None:
+        self.parts.append((q, c, dist))
+        self.n += len(q)
+        if self.n > PAIRS:
+            self.pairs()
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.parts, self.n = [first_k(*(np.concatenate(z) for z in zip(*self.parts)), self.k)], 0
+        return self.parts[0]
+
+
+def nearest_across(x: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, limit: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """``nearest`` of rows ``a`` among ``b`` and of rows ``b`` among ``a``, which
+    have no row in common, as far as within each row's ``limit`` (a squared
+    distance)."""
+    codes, error, step = approximate(x, bits)
+    left, right, _ = sides(codes)
+    most, one, two, n = code_limit(limit, error, step), Nearest(k), Nearest(k), 0
+    for i in _parts(len(a), QUERY_ROWS):
+        for j in _parts(len(b), QUERY_ROWS):
+            least = left[a[i]] @ right[b[j]].T
+            q, c = np.nonzero(~(least > np.maximum.outer(most[a[i]], most[b[j]])))
+            q, c = q + i.start, c + j.start
+            dist = measured(x, a[q], b[c])
+            n += len(q)
+            near, back = ~(dist > limit[a[q]]), ~(dist > limit[b[c]])
+            one.add(q[near], c[near], dist[near])
+            two.add(c[back], q[back], dist[back])
+    (p, q, d), (s, t, e) = one.pairs(), two.pairs()
+    return np.concatenate([a[p], b[s]]), np.concatenate([b[q], a[t]]), np.concatenate([d, e]), n
+
+
 def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.combine_chunks()
     size = np.diff(rows.offsets.to_numpy())
@@ -121,21 +193,31 @@ def _knn_distinct(pts: DataFrame, k: int, block) -> DataFrame:
     dealt = pts.join(tiles, here) if block else pts.crossJoin(F.broadcast(tiles))      # without a block, tiles is one row
     dealt = dealt.select(*[col_of(b).alias(n) for b, n in zip(block, names)], "_id", "_v", md5_text("_id").alias("_h"),
                          F.pmod(F.xxhash64("_id"), F.col("_tiles")).cast("int").alias("_tile"), "_tiles")
-    pairs = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).select(
-        *names, "_id", "_v", "_h", "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
     kind = pts.schema["_id"].dataType.simpleString()
     schema = f"_q {kind}, nb_key {kind}, dist2 double"
 
-    def search(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("_h", "ascending"), ("_id", "ascending")])
-        x, tile, ids = _rows_of(group["_v"]), group["_tile"].to_numpy(), group["_id"].combine_chunks()
-        i, j = group["_i"][0].as_py(), group["_j"][0].as_py()
-        first, second = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        found = [nearest(x, first, second, k)] + ([nearest(x, second, first, k)] if i != j else [])
-        q, c, dist = (np.concatenate([f[z] for f in found]) for z in range(3))
+    def result(ids, q, c, dist, _):
         return pa.table({"_q": ids.take(pa.array(q)), "nb_key": ids.take(pa.array(c)), "dist2": pa.array(dist)})
 
-    near = pairs.groupBy(*names, "_i", "_j").applyInArrow(search, schema)
+    def inside(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_h", "ascending"), ("_id", "ascending")])
+        x = _rows_of(group["_v"])
+        return result(group["_id"].combine_chunks(), *nearest(x, np.arange(len(x)), np.arange(len(x)), k))
+
+    def across(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_h", "ascending"), ("_id", "ascending")])
+        x, first = _rows_of(group["_v"]), group["_tile"].to_numpy() == group["_i"][0].as_py()
+        return result(group["_id"].combine_chunks(), *nearest_across(x, np.flatnonzero(first), np.flatnonzero(~first), k, group["_limit"].to_numpy()))
+
+    # read for the limits and for the result
+    own = cut_lineage(dealt.groupBy(*names, "_tile").applyInArrow(inside, schema), "knn_own")
+    limits = own.groupBy(F.col("_q").alias("_l")).agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("dist2")).otherwise(F.lit(float("inf"))).alias("_limit"))
+    limited = dealt.filter(F.col("_tiles") > 1).join(limits, F.col("_id").eqNullSafe(F.col("_l")), "left")
+    pairs = limited.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).filter("_other <> _tile").select(
+        *names, "_id", "_v", "_h", "_tile", F.coalesce("_limit", F.lit(float("inf"))).alias("_limit"),
+        F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
+    near = own.unionByName(pairs.groupBy(*names, "_i", "_j").applyInArrow(across, schema))
     w = Window.partitionBy("_q").orderBy("dist2", md5_text("nb_key"), "nb_key")
     return near.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
 
