@@ -176,3 +176,10 @@ def test_correlations_of_pairs_with_nulls(spark):
         both = ~gaps[:, i] & ~gaps[:, j]
         want = None if 3 in (i, j) else np.corrcoef(x[both, i], x[both, j])[0, 1]
         assert got["abcd"[i], "abcd"[j]] == (want if want is None else pytest.approx(want, abs=1e-6))
+
+
+
+def test_cleaning_report_reads_the_raw_joins_once(spark):
+    from wardstat.plans import pipeline as P
+    plan = P.cleaning_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan

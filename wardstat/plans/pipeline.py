@@ -46,9 +46,10 @@ DERIVED = (
 
 
 def clean_encounters(raw: DataFrame, threshold: float = SPARSE_THRESHOLD,
-                     cut: bool = True, columns=None) -> DataFrame:
+                     cut: bool = True, columns=None, first: bool = True) -> DataFrame:
     """``columns`` names the cleaned columns that are asked for: then only
-    they and their sources are read, written and counted.
+    they and their sources are read, written and counted.  Without ``first``
+    all encounters of a patient stay.
 
     Automated-path cleaning: markers to null, A1C 'NoTest', sparse columns
     dropped, ICD groups, diabetes fields, per-day rates, target, imputation,
@@ -75,6 +76,8 @@ def clean_encounters(raw: DataFrame, threshold: float = SPARSE_THRESHOLD,
     # derived columns are null-free by construction
     derived = {c: 0 for c in df.columns if c not in counts}
     df = clean.impute(df, counts={**counts, **derived})
+    if not first:
+        return df
     df = clean.first_encounter_per_patient(df)
     return df if columns is None else df.select(*dict.fromkeys(columns))
 
@@ -147,17 +150,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaning_report(spark: SparkSession, sf_dir: str, threshold: float = SPARSE_THRESHOLD) -> DataFrame:
     """``(ord, metric, value)``: initial / final rows and columns, rows
     removed, columns dropped, '?' markers converted, missing cells left."""
-    raw = raw_encounters(spark, sf_dir)
-    c = cleaned(spark, sf_dir)
-    filled = clean.fill_marker(clean.null_if_marker(raw), "A1Cresult", "NoTest")
-    dropped = len(clean.sparse_columns(filled, threshold))
-    mk = clean.marker_count(raw)
-    a = raw.agg(F.count(F.lit(1)).alias("ir")).crossJoin(mk)
+    raw = cut_lineage(raw_encounters(spark, sf_dir), "raw")      # three passes read it
+    c = clean_encounters(raw, threshold, cut=False, first=False)
+    dropped = len([x for x in raw.columns if x not in c.columns])
+    a = raw.agg(F.count(F.lit(1)).alias("ir")).crossJoin(clean.marker_count(raw))
     nulls = None
     for col in c.columns:
-        e = F.sum(F.col(f"`{col}`").isNull().cast("bigint"))
+        e = F.col(f"`{col}`").isNull().cast("bigint")
         nulls = e if nulls is None else nulls + e
-    b = c.agg(F.count(F.lit(1)).alias("fr"), nulls.alias("fm"))
+    # a row's nulls are counted before the first encounters are looked for: the cells are not shuffled
+    rows = clean.first_encounter_per_patient(c.select("patient_nbr", "encounter_id", nulls.alias("_nulls")))
+    b = rows.agg(F.count(F.lit(1)).alias("fr"), F.sum("_nulls").alias("fm"))
     ab = a.crossJoin(b)
     items = [("initial_rows", F.col("ir")), ("final_rows", F.col("fr")),
              ("rows_removed", F.col("ir") - F.col("fr")), ("initial_columns", F.lit(len(raw.columns))),
