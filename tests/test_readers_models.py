@@ -179,6 +179,32 @@ def test_correlations_of_pairs_with_nulls(spark):
 
 
 
+def test_cross_validation_scores_each_fold_once(spark):
+    """A metric row per fold, one without rows too, and few jobs behind them."""
+    from pyspark.ml.linalg import Vectors
+    from wardstat.operators.evaluate import binary_metrics, roc_auc
+    rows = [(Vectors.dense([float(i % 13), float(i % 5)]), float((i % 13) + (i % 3) > 8), i % 3) for i in range(300)]
+    data = spark.createDataFrame(rows, ["features", "label", "fold"]).withColumn("fold", F.col("fold").cast("int"))
+    calls = []
+
+    def estimator():
+        return ml.logistic(20, 0.01)
+
+    score = ml.score
+    try:
+        ml.score = lambda *a, **b: calls.append(1) or score(*a, **b)
+        got = {r["fold"]: (r["f1"], r["roc_auc"]) for r in ml.cross_val_metrics(data, estimator, 4).collect()}
+    finally:
+        ml.score = score
+    assert len(calls) == 4 and set(got) == {-1, 0, 1, 2, 3} and got[3] == (0.0, None)
+    for f in range(3):
+        s = score(estimator().fit(data.where(F.col("fold") != f)), data.where(F.col("fold") == f), key="none")
+        assert got[f] == (binary_metrics(s, 0.5).first()["f1"], roc_auc(s).first()["roc_auc"])
+    out = ml.cross_val_metrics(data, estimator, 2)
+    assert "MLPredict" not in out._jdf.queryExecution().toString() and "UDF" not in out._jdf.queryExecution().toString()
+
+
+
 def test_cleaning_report_reads_the_raw_joins_once(spark):
     from wardstat.plans import pipeline as P
     plan = P.cleaning_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
