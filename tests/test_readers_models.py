@@ -179,6 +179,24 @@ def test_correlations_of_pairs_with_nulls(spark):
 
 
 
+def test_trees_of_wide_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """A row of many levels is an int a level in the trees: few rows go to a task."""
+    monkeypatch.setattr(ml, "TREE_TASK_BYTES", 20_000, raising=False)
+    rows = [(float(i % 7), f"level{i % 200}", i % 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "n double, s string, y int").coalesce(2)
+    seen = []
+
+    class Forest:
+        def fit(self, data):
+            seen.extend(data.rdd.glom().map(len).collect())
+            return ml.forest(3, 3).fit(data)
+
+    found = ml.encoded_forest_importance(df, ["n"], ["s"], target="y", estimator=Forest())
+    assert sum(seen) == 1000 and max(seen) * 200 * 4 <= 1.5 * 20_000
+    assert found.where("feature = 'n' OR feature LIKE 's_level%'").count() == found.count()
+
+
+
 def test_cross_validation_scores_each_fold_once(spark):
     """A metric row per fold, one without rows too, and few jobs behind them."""
     from pyspark.ml.linalg import Vectors

@@ -232,6 +232,17 @@ def forest_importance(train: DataFrame, names, threshold: float = 0.001) -> Data
     return importance_table(train.sparkSession, m, names).filter(F.col("importance") > threshold)
 
 
+#: most bytes of a task's rows as Spark's trees keep them: an int a feature, zeros too
+TREE_TASK_BYTES = 512 * 1024 * 1024
+
+
+def dealt_for_trees(data: DataFrame, width: int) -> DataFrame:
+    """``data`` over so many partitions that a task's rows, of ``width`` features
+    each, stay under ``TREE_TASK_BYTES``; as it is where that holds already."""
+    parts = math.ceil(data.count() * width * 4 / TREE_TASK_BYTES)
+    return data.repartition(parts) if parts > data.rdd.getNumPartitions() else data
+
+
 def encoded_forest_importance(df: DataFrame, numeric, categorical, target: str = codes.TARGET, estimator=None) -> DataFrame:
     """``(feature, importance)`` of a forest over the numerics and the sparse
     one-hot vectors (first levels left out) of the text columns.  The names
@@ -241,7 +252,8 @@ def encoded_forest_importance(df: DataFrame, numeric, categorical, target: str =
     hot = enc.one_hot_vectors(df, categorical, dictionary, drop_first=True)
     hot = hot.select(*[col_of(c).cast("double").alias(c) for c in numeric], *[f"oh_{c}" for c in categorical], col_of(target).cast("double").alias("label"))
     data = VectorAssembler(inputCols=[*numeric, *[f"oh_{c}" for c in categorical]], outputCol="features").transform(hot).select("features", "label")
-    model = (estimator or forest()).fit(cut_lineage(data, "encoded"))
+    width = len(numeric) + sum(enc.vector_sizes(dictionary, categorical, drop_first=True).values())
+    model = (estimator or forest()).fit(dealt_for_trees(cut_lineage(data, "encoded"), width))
     weights = model.featureImportances
     found = df.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(weights.indices, weights.values)], "position int, importance double")
     return enc.encoded_places(numeric, dictionary, categorical).join(found, "position").select("feature", "importance")
