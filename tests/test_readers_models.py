@@ -197,6 +197,38 @@ def test_trees_of_wide_rows_are_dealt_over_tasks(spark, monkeypatch):
 
 
 
+def test_forest_keeps_the_nodes_of_rows(spark):
+    """Rows keep their node of every tree between levels; the forest is the one that walks down again."""
+    from pyspark.ml.linalg import Vectors
+    rows = [(Vectors.dense([float(i % 13), float(i % 5), float(i % 3)]), float((i % 13) + (i % 3) > 8)) for i in range(400)]
+    data = spark.createDataFrame(rows, ["features", "label"]).coalesce(2).persist()
+    kept = ml.forest(5, 6)
+    assert kept.getCacheNodeIds()
+    a, b = kept.fit(data), ml.forest(5, 6).setCacheNodeIds(False).fit(data)
+    assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+
+
+def test_forest_of_many_rows_is_dealt_evenly_over_the_cores(spark, monkeypatch):
+    """Every level waits for the largest task: no core is left without rows."""
+    from pyspark.ml.linalg import Vectors
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(ml, "TREE_CORE_ROWS", 50, raising=False)
+    rows = [(Vectors.dense([float(i % 13), float(i % 5)]), float((i % 13) > 8)) for i in range(cores * 50)]
+    data = spark.createDataFrame(rows, ["features", "label"]).coalesce(max(1, cores - 1))
+    plain, seen = ml.forest, []
+
+    class Forest:
+        def fit(self, data):
+            seen.append(data.rdd.glom().map(len).collect())
+            return plain(3, 3).fit(data)
+
+    monkeypatch.setattr(ml, "forest", lambda *a, **k: Forest())
+    ml.forest_importance(data, ["a", "b"]).collect()
+    assert sum(seen[0]) == cores * 50 and len(seen[0]) == cores and min(seen[0]) >= 40
+    few = data.limit(cores * 50 - 1).coalesce(1)
+    assert ml.dealt_for_trees(few, 2).rdd.getNumPartitions() == 1               # few rows stay as they are
+
+
 def test_cross_validation_scores_each_fold_once(spark):
     """A metric row per fold, one without rows too, and few jobs behind them."""
     from pyspark.ml.linalg import Vectors

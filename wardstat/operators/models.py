@@ -67,8 +67,11 @@ def tree(depth: int = 10) -> DecisionTreeClassifier:
 
 
 def forest(n_trees: int = 100, depth: int = 10, weight_col: str | None = None) -> RandomForestClassifier:
-    """``depth=None`` (unlimited in the study) maps to Spark's maximum, 30."""
-    rf = RandomForestClassifier(numTrees=n_trees, maxDepth=30 if depth is None else depth, seed=SEED)
+    """``depth=None`` (unlimited in the study) maps to Spark's maximum, 30.
+    Each row keeps its node of every tree (an int a tree) from level to level:
+    the same trees, but no row walks down from the roots again."""
+    rf = RandomForestClassifier(numTrees=n_trees, maxDepth=30 if depth is None else depth, seed=SEED,
+                                cacheNodeIds=True, checkpointInterval=-1)
     return rf.setWeightCol(weight_col) if weight_col else rf
 
 
@@ -227,22 +230,28 @@ def coefficient_table(spark: SparkSession, model, names, k: int | None = None) -
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
-def forest_importance(train: DataFrame, names, threshold: float = 0.001) -> DataFrame:
-    m = forest().fit(train)
-    return importance_table(train.sparkSession, m, names).filter(F.col("importance") > threshold)
-
-
 #: most bytes of a task's rows as Spark's trees keep them: an int a feature, zeros too
 TREE_TASK_BYTES = 512 * 1024 * 1024
+#: rows a core from which a table is dealt evenly over all cores
+TREE_CORE_ROWS = 20_000
 
 
 def dealt_for_trees(data: DataFrame, width: int) -> DataFrame:
     """``data`` over so many partitions that a task's rows, of ``width`` features
-    each, stay under ``TREE_TASK_BYTES``; as it is where that holds already."""
-    parts = math.ceil(data.count() * width * 4 / TREE_TASK_BYTES)
+    each, stay under ``TREE_TASK_BYTES``, and evenly over all cores where it has
+    ``TREE_CORE_ROWS`` for each; as it is where that holds already."""
+    rows, cores = data.count(), data.sparkSession.sparkContext.defaultParallelism
+    parts = math.ceil(rows * width * 4 / TREE_TASK_BYTES)
+    if rows >= cores * TREE_CORE_ROWS:             # every level waits for the last task: equal tasks, a multiple of the cores
+        return data.repartition(cores * max(1, math.ceil(parts / cores)))
     return data.repartition(parts) if parts > data.rdd.getNumPartitions() else data
 
 
+def forest_importance(train: DataFrame, names, threshold: float = 0.001) -> DataFrame:
+    m = forest().fit(dealt_for_trees(train, len(names)))
+    return importance_table(train.sparkSession, m, names).filter(F.col("importance") > threshold)
+
+
 def encoded_forest_importance(df: DataFrame, numeric, categorical, target: str = codes.TARGET, estimator=None) -> DataFrame:
     """``(feature, importance)`` of a forest over the numerics and the sparse
     one-hot vectors (first levels left out) of the text columns.  The names
