@@ -210,9 +210,10 @@ def tuned_scores(spark, sf):
     tuned = ml.grid_search(folded(smote_train(train)), grid=small_grid(rf), estimator=rf).bestModel
     weighted = cut_lineage(bal.with_weights(train.withColumn("_y", F.col("label").cast("int")), "_y").drop("_y"))
     reg = ml.l2_reg_param(weighted.count())
+    dealt = ml.dealt_for_trees(weighted, len(MODEL_FEATURES))
     models = {"Random Forest (Tuned)": tuned, "Logistic Regression (Balanced)": ml.logistic(reg=reg, weight_col="weight").fit(weighted),
-              "Random Forest (Balanced)": ml.forest(50, weight_col="weight").fit(weighted),
-              "Gradient Boosting (Balanced)": ml.boosted(20, weight_col="weight").fit(weighted)}
+              "Random Forest (Balanced)": ml.forest(50, weight_col="weight").fit(dealt),
+              "Gradient Boosting (Balanced)": ml.boosted(20, weight_col="weight").fit(dealt)}
     out = None
     for name, m in models.items():
         s = ml.score(m, test).select(F.lit(name).alias("model"), "encounter_id", "label", "score")
