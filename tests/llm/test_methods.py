@@ -106,6 +106,24 @@ def test_components_are_the_reachable_sets(spark):
     assert got == {x: root(x) for p in pairs for x in p if p[0] != p[1]}
 
 
+def test_simhash_joins_send_no_rows_through_the_driver(spark, monkeypatch):
+    """Sides that grow with the table meet by shuffle, though a small one would fit a broadcast."""
+    plans, cut = [], simhash_golay.cut_lineage
+
+    def seen(df, name="stage"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    monkeypatch.setattr(simhash_golay, "cut_lineage", seen)
+    monkeypatch.setattr(components, "cut_lineage", seen)
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + " more"), (4, "something else"), (5, None)], "doc_id long, text string")
+    out = simhash_golay.near_duplicates(docs, max_bits=3)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r.doc_id: r.component_id for r in out.collect()}[2] == 1
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_simhash_query_against_brute_force(spark):
     docs = common.table(spark, "/root/testdata/sf0.001", "documents")
     got = {r.doc_id: r for r in simhash_golay.near_duplicates(docs).collect()}

@@ -20,6 +20,22 @@ def file_row() -> Column:
     return F.xxhash64("_metadata.file_path", "_metadata.row_index")
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """A side of a join whose sides both grow with the table: rows meet by a
+    shuffle, whatever their size.  (A broadcast is built in the driver, so a
+    few of tens of MB at a time take all its memory.)"""
+    return df.hint("merge")
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``totals``, a grouped aggregate by ``key``
+    (never null), by a shuffle.  The null-safe comparison deals the totals anew
+    instead of leaving the rows to the aggregate's partitions: only then can AQE
+    split the rows of a hot key."""
+    of = totals.withColumnRenamed(key, "_key")
+    return rows.join(by_key(of), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is divisible by 5 (null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -2,7 +2,8 @@
 
 Every round is joins and grouped minima over the remaining links, written as
 a table in the shared checkpoint folder, so the lineage stays short and a
-lost executor costs one round at most.  Nothing is collected but a count.
+lost executor costs one round at most.  Nothing is collected but a count, and
+no join is broadcast.
 """
 
 from __future__ import annotations
@@ -10,17 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
+from .common import join_totals
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b")
+    return join_totals(both.where("b > a"), low, "a").select(F.col("m").alias("a"), "b").where("a < b")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     low = e.groupBy("b").agg(F.min("a").alias("m"))
-    joined = e.join(low, "b")
+    joined = join_totals(e, low, "b")
     return (joined.select(F.col("m").alias("x"), F.col("a").alias("y"))
             .unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
             .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())

@@ -19,7 +19,8 @@ shingles.  Fingerprints that differ in at most 3 bits are linked:
 
 The join runs over distinct fingerprints, so a group of copies is one row,
 and fingerprints that many documents share are never paired.  Components
-are built from the links by star contraction (``components``).
+are built from the links by star contraction (``components``).  All joins
+are by shuffle, so the driver holds no rows.
 
 Defined results: null, empty and blank texts have fingerprint zero and link
 like any other; texts shorter than a shingle hash their whole word sequence;
@@ -36,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
+from .common import by_key, join_totals
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))      # (lowest bit, width)
@@ -178,7 +180,7 @@ def links(distinct_fp: DataFrame, max_bits: int = SIMHASH_BITS) -> DataFrame:
     for p in (1, 0):
         i, j = PAIRS[p]
         first = F.when((err[i] <= 1) & (err[j] <= 1), F.lit(p)).otherwise(first)
-    return (probe.join(index, "key")
+    return (probe.join(by_key(index), "key")
             .where((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits)
                    & (F.shiftright("key", 24) == first))
             .select("a", "b"))
@@ -193,9 +195,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = SIMHASH_B
     fp = cut_lineage(fingerprints(docs, shingle, keep), "fingerprints")
     groups = fp.groupBy("fp").agg(F.min("doc_id").alias("low"))
     root = components(links(cut_lineage(groups.select("fp"), "distinct_fp"), max_bits), "a", "b")
-    named = (groups.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    named = (groups.join(by_key(root.select(F.col("node").alias("fp"), "root")), "fp", "left")
              .withColumn("root", F.coalesce("root", "fp")))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.select("fp", "root").join(low, "root").select("fp", "root", "component_id")
-    return (fp.join(ids, "fp")
+    ids = join_totals(named.select("fp", "root"), low, "root").select("fp", "root", "component_id")
+    return (fp.join(by_key(ids), "fp")
             .select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"))
