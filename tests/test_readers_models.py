@@ -259,3 +259,48 @@ def test_cleaning_report_reads_the_raw_joins_once(spark):
     from wardstat.plans import pipeline as P
     plan = P.cleaning_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "l_orderkey" not in plan and "o_orderkey" not in plan
+
+
+def _encoded_rows(spark, n=1200):
+    """Rows with places of text levels as ``sparse_forest`` takes them, and as Spark's trees do."""
+    from pyspark.ml.linalg import Vectors
+    rng = random.Random(9)
+    rows, wide = [], []
+    for i in range(n):
+        a, b, s, t = rng.randint(0, 300) / 7, float(rng.randint(0, 4)), rng.randint(0, 12), rng.choice([None, 0, 1, 2])
+        y = int(rng.random() < .2 + .4 * (a > 25 and s < 5) + .3 * (t == 2))
+        rows.append((a, b, None if s == 0 else 1 + s, None if not t else 13 + t, y))
+        x = {0: a, 1: b} | ({1 + s: 1.0} if s else {}) | ({13 + t: 1.0} if t else {})
+        wide.append((Vectors.sparse(16, x), float(y)))
+    return (spark.createDataFrame(rows, "a double, b double, s int, t int, y int").repartition(3),
+            spark.createDataFrame(wide, ["features", "label"]).persist())
+
+
+def test_sparse_forest_grows_the_trees_of_spark(spark, monkeypatch):
+    """Without draws there is one tree, in blocks of any size: the splits, joined leaves and importances of Spark's."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from wardstat.operators import sparse_forest as sf
+    rows, wide = _encoded_rows(spark)
+    monkeypatch.setattr(sf, "BLOCK_ROWS", 100)
+    for depth in (2, 7):
+        want = DecisionTreeClassifier(maxDepth=depth).fit(wide).featureImportances.toArray()
+        got = sf.importances(rows, ["a", "b"], {"s": 12, "t": 2}, "y", 1200, trees=1, depth=depth, drawn=16, bagged=False)
+        assert got == pytest.approx(want, abs=1e-9) and got.sum() == pytest.approx(1)
+    forest = sf.importances(rows, ["a", "b"], {"s": 12, "t": 2}, "y", 1200, trees=60, depth=3)
+    assert np.corrcoef(forest, ml.forest(60, 3).fit(wide).featureImportances.toArray())[0, 1] > 0.9
+    monkeypatch.setattr(sf, "COUNT_BYTES", 1)                          # a pass a tree
+    assert sf.importances(rows, ["a", "b"], {"s": 12, "t": 2}, "y", 1200, trees=3, depth=2).sum() == pytest.approx(1)
+    with pytest.raises(Exception, match="null or NaN in a"):
+        sf.importances(rows.withColumn("a", F.lit(None).cast("double")), ["a", "b"], {"s": 12, "t": 2}, "y", 1200, trees=1, depth=1)
+
+
+def test_encoded_forest_makes_no_wide_rows_of_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(ml, "TREE_TASK_BYTES", 1000)
+    monkeypatch.setattr(ml, "VectorAssembler", None)
+    plain = ml.forest
+    monkeypatch.setattr(ml, "forest", lambda *a, **k: plain(10, 3))
+    rows = [(float(i % 7), f"level{i % 40:02d}", "one", int(i % 7 > 3)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "n double, s string, k string, readmitted_binary int")
+    got = {r.feature: r.importance for r in ml.encoded_forest_importance(df, ["n"], ["s", "k"]).collect()}
+    assert sum(got.values()) == pytest.approx(1) and set(got) <= {"n", *[f"s_level{i:02d}" for i in range(1, 40)]}
+    assert max(got, key=got.get) == "n" and len(got) > 5

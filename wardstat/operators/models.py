@@ -255,19 +255,44 @@ def forest_importance(train: DataFrame, names, threshold: float = 0.001) -> Data
 def encoded_forest_importance(df: DataFrame, numeric, categorical, target: str = codes.TARGET, estimator=None) -> DataFrame:
     """``(feature, importance)`` of a forest over the numerics and the sparse
     one-hot vectors (first levels left out) of the text columns.  The names
-    come from the level dictionary, joined by position."""
+    come from the level dictionary, joined by position.  Where the rows would
+    take more than ``TREE_TASK_BYTES`` as Spark's trees keep them, and no
+    ``estimator`` is given, the same kind of forest grows over rows that are not
+    made wide (``sparse_forest``), with other draws of bags and features."""
     from . import encode as enc
     dictionary = cut_lineage(enc.level_dictionary(df, categorical), "dictionary")
-    hot = enc.one_hot_vectors(df, categorical, dictionary, drop_first=True)
-    hot = hot.select(*[col_of(c).cast("double").alias(c) for c in numeric], *[f"oh_{c}" for c in categorical], col_of(target).cast("double").alias("label"))
-    data = VectorAssembler(inputCols=[*numeric, *[f"oh_{c}" for c in categorical]], outputCol="features").transform(hot).select("features", "label")
-    width = len(numeric) + sum(enc.vector_sizes(dictionary, categorical, drop_first=True).values())
-    model = (estimator or forest()).fit(dealt_for_trees(cut_lineage(data, "encoded"), width))
-    weights = model.featureImportances
-    found = df.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(weights.indices, weights.values)], "position int, importance double")
+    sizes = enc.vector_sizes(dictionary, categorical, drop_first=True)
+    width = len(numeric) + sum(sizes.values())
+    y = col_of(target).cast("double")
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max((~y.isin(0.0, 1.0)).cast("int")), F.lit(0)).alias("other")).first() if estimator is None else None
+    if seen and not seen["other"] and seen["rows"] * width * 4 > TREE_TASK_BYTES:
+        found = _sparse_importance(df, numeric, categorical, target, dictionary, sizes, seen["rows"])
+    else:
+        hot = enc.one_hot_vectors(df, categorical, dictionary, drop_first=True)
+        hot = hot.select(*[col_of(c).cast("double").alias(c) for c in numeric], *[f"oh_{c}" for c in categorical], y.alias("label"))
+        data = VectorAssembler(inputCols=[*numeric, *[f"oh_{c}" for c in categorical]], outputCol="features").transform(hot).select("features", "label")
+        model = (estimator or forest()).fit(dealt_for_trees(cut_lineage(data, "encoded"), width))
+        found = zip(model.featureImportances.indices, model.featureImportances.values)
+    found = df.sparkSession.createDataFrame([(int(i), float(v)) for i, v in found], "position int, importance double")
     return enc.encoded_places(numeric, dictionary, categorical).join(found, "position").select("feature", "importance")
 
 
+def _sparse_importance(df: DataFrame, numeric, categorical, target: str, dictionary: DataFrame, sizes: dict, n: int):
+    """``(position, importance)`` of the features that ``forest()`` would split at."""
+    from . import encode as enc, sparse_forest
+    places, at = [], len(list(numeric))
+    for c in categorical:
+        index = F.col(f"`{c}__idx`")
+        places.append(F.when(index > 0, index + (at - 1)).cast("int").alias(f"{c}__idx"))
+        at += sizes[c]
+    rows = enc.index_levels(df, categorical, dictionary).select(
+        *[col_of(c).cast("double").alias(c) for c in numeric], *places, col_of(target).cast("int").alias("__label"))
+    like = forest()
+    found = sparse_forest.importances(cut_lineage(rows, "encoded"), numeric, {f"{c}__idx": sizes[c] for c in categorical}, "__label", n,
+                                      like.getNumTrees(), like.getMaxDepth(), SEED)
+    return [(i, v) for i, v in enumerate(found) if v > 0]
+
+
 # #117
 def interaction_features(fit_on: DataFrame, numeric, categorical):
     """Fitted stages that add ``features``: a sparse vector of all main terms
